@@ -31,7 +31,7 @@ PART = 1 << 16
 LONG_RUN = 1 << 10
 
 # The characters with the Unicode property White_Space.
-_WHITE = "\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
+_WHITE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
 _RUN = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
 _SAFE = re.compile(r"(?<=[!-~])[ \n]")
 

@@ -31,7 +31,7 @@ PART = 1 << 16
 LONG_RUN = 1 << 10
 
 # The characters with the Unicode property White_Space.
-_WHITE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
+_WHITE = "".join(map(chr, [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _RUN = re.compile(f"[{_WHITE}]{{{LONG_RUN},}}")
 _SAFE = re.compile(r"(?<=[!-~])[ \n]")
 

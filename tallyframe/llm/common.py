@@ -58,7 +58,7 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFr
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star.
 
-    ``edges`` has two bigint columns ``a`` and ``b``; nulls and loops are left
+    ``edges`` has two columns ``a`` and ``b`` of one type, numbers or strings; nulls and loops are left
     out.  Returns (node, component): every node with an edge, and the smallest
     node of its component.  Each round is two aggregations and two joins on the
     node; a hub's neighbours meet only in a partial minimum and in a join that
@@ -85,5 +85,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.col("u") % 1_000_003).alias("s")).first()
+    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u", F.lit(1))).alias("y")).first()
     return tuple(row)

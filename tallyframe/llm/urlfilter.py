@@ -84,10 +84,10 @@ def resolve_link(base: Column, link: Column) -> Column:
     folder = F.regexp_extract(path_of(base), r"^(.*/)?[^/]*$", 1)
     return (
         F.when(link == "", None)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(F.regexp_extract(link, r"^[A-Za-z][A-Za-z0-9+.-]*://", 0) != "", link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(site, link))
-        .when(link.startswith("#") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(link.startswith("#") | (F.regexp_extract(link, r"^[A-Za-z][A-Za-z0-9+.-]*:", 0) != ""), None)
         .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), link))
     )
 
@@ -97,10 +97,12 @@ def page_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     html, url = F.col(html_col), F.col(url_col)
     tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), 0), lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh\b"))
     some = pages.where(html.rlike(r"(?i)canonical|refresh") & (F.instr(url, "://") > 0)).select(url.alias("url"), F.explode(tags).alias("tag"))
+    some = materialize(some, "tags")
     href = F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     link = F.when(F.col("tag").rlike(r"(?i)^<link"), href).otherwise(refresh)
     joined = some.select(node_of(F.col("url")).alias("a"), node_of(resolve_link(F.col("url"), link)).alias("b"))
+    joined = materialize(joined, "targets")
     return joined.where("b is not null and b <> '/' and a <> b").distinct()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and the five ASCII controls 9 to 13.
@@ -58,32 +58,29 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFr
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star.
 
-    ``edges`` has two columns ``a`` and ``b`` of one type, numbers or strings; nulls and loops are left
-    out.  Returns (node, component): every node with an edge, and the smallest
-    node of its component.  Each round is two aggregations and two joins on the
-    node; a hub's neighbours meet only in a partial minimum and in a join that
-    AQE may split, never in one group.  Rounds go on until the edges stay the
-    same, about log(n) times.
+    ``edges`` has two columns ``a`` and ``b`` of one type, numbers or strings;
+    nulls and loops are left out.  Returns (node, component): every node with an
+    edge, and the smallest node of its component.  Each round is two
+    aggregations and two joins on the node; a hub's neighbours meet only in a
+    partial minimum and in a join that AQE may split, never in one group.
+    Rounds go on until the edges stay the same, about log(n) times.
     """
-    e = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = materialize(e.where("u <> v").distinct(), "edges")
-    seen = _digest(now)
+    now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    seen, written = None, None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialize(rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        was, seen = seen, _digest(after)
-        discard(now)
-        now = after
+        watch = Observation()
+        after = rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        after = materialize(after.observe(watch, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u")).alias("y")), "stars")
+        was, seen = seen, watch.get
+        if written is not None:
+            discard(written)
+        now = written = after
         if was == seen:
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
-
-
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.xxhash64("v", "u", F.lit(1))).alias("y")).first()
-    return tuple(row)

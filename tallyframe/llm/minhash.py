@@ -17,15 +17,19 @@ How the work is kept linear in the input:
 * documents with equal sets are one class, represented by its smallest id, so
   exact copies cost one signature in the bands however many there are;
 * a band key is kept only if at least two classes have it;
-* within a key no pairs are emitted wholesale: in each round a few members of
+* within a key no pairs are emitted wholesale: in each round some members of
   each key (its hubs) are compared with those members that are not yet in the
   hub's component.  Pairs inside a component need no comparison, as they can't
   change it.  Hubs that have been compared leave; keys whose remaining members
-  are all in one component leave; rounds go on until no key is left, with more
-  hubs each time.  So every pair that shares a key is compared or already
-  connected, without a limit on members or partners;
-* pairs are first sieved by set size, which is exact, and by one bit of each of
-  the minima: the expected agreement at the threshold, less five deviations.
+  are all in one component leave; members outside a key's largest component are
+  its next hubs, and rounds go on until no key is left.  So every pair that
+  shares a key is compared or already connected, without a limit on members or
+  partners;
+* a pair with several common keys is compared in the smallest of them alone;
+* pairs are first sieved by set size, which is exact, and by the signature of
+  the candidates: one bit of each of ``SKETCH`` minima, which must agree as
+  expected at the threshold, less 4.5 deviations (a link at the very threshold
+  is lost with a probability below 4e-6).
 
 Defined results: a null or empty text has ``n_shingles`` 0 and stands alone; a
 null id stands alone with null component and ``kept`` true; rows that repeat an
@@ -46,15 +50,16 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, connected_components, discard, materialize
 from .textbytes import U64, chunks, mix, words
 
-#: 51 bands of 5 minima: a pair at similarity 0.75 shares no band with probability 1e-6.
-BANDS, ROWS = 51, 5
-HASHES = 256
-#: Members of a key that are compared with the rest of it, by round.
-HUBS = (1, 16, 128, 1000)
+#: 32 bands of 4 minima: a pair at similarity 0.75 shares no band with probability 5e-6.
+BANDS, ROWS = 32, 4
+#: Minima of candidates whose lowest bits make up the signature for verification.
+SKETCH = 1024
+#: Members of a key that are compared with the rest of it: in the first round, and in later ones.
+FIRST_HUBS, HUBS = 1, 1000
 
 _rng = np.random.Generator(np.random.PCG64(977))
-_A = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_B = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
+_A = (_rng.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_B = _rng.integers(0, 2**32, SKETCH, dtype=np.uint32)[:, None]
 _BAND = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * U64(2) + U64(1)
 _STEP = _rng.integers(0, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -82,44 +87,51 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             at += count
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The minimum under each of the universal hash functions a*x+b modulo 2^32."""
+def minima(shingles: np.ndarray, hashes: int) -> np.ndarray:
+    """The minimum under each of the first universal hash functions a*x+b modulo 2^32."""
     x = (shingles >> U64(32)).astype(np.uint32)
-    low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 512):
-        values = _A * x[None, i : i + 512]
-        values += _B
+    low = np.full(hashes, 0xFFFFFFFF, np.uint32)
+    step = max(64, (1 << 17) // hashes)
+    for i in range(0, len(x), step):
+        values = _A[:hashes] * x[None, i : i + step]
+        values += _B[:hashes]
         np.minimum(low, values.min(axis=1), out=low)
     return low
 
 
+def band_keys(low: np.ndarray) -> np.ndarray:
+    rows = low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    return mix((rows * _BAND).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, bands, sketches = [], [], [], []
+            counts, digests, bands = [], [], []
             for s in shingle_sets(batch.column(1), width):
                 counts.append(len(s))
-                if not len(s):
-                    digests.append(None)
-                    bands.append(None)
-                    sketches.append((0, 0, 0, 0))
-                    continue
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                low = minima(s)
-                keys = mix((low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))
-                bands.append(keys.view(np.int64))
-                bits = (low * np.uint32(0x9E3779B1)) >> np.uint32(31)
-                sketches.append(tuple(np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()))
-            parts = [pa.array([s[k] for s in sketches], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *parts], names=["id", "n", "digest", "bands", "s0", "s1", "s2", "s3"])
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                bands.append(band_keys(minima(s, BANDS * ROWS)) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "digest", "bands"])
 
     return run
 
 
-def _sets(width: int):
+def _candidates(width: int):
+    """Set, signature and short band keys of each candidate."""
+    words = SKETCH // 64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), width)], pa.binary())], names=["id", "shingles"])
+            counts, sets, bands, bits = [], [], [], []
+            for s in shingle_sets(batch.column(1), width):
+                low = minima(s, SKETCH)
+                counts.append(len(s))
+                sets.append(s.tobytes())
+                bands.append(band_keys(low).astype(np.int32))
+                bits.append(np.packbits(((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).view(np.int64))
+            table = np.array(bits, np.int64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int32())), *(pa.array(table[:, k]) for k in range(words))], names=["id", "n", "shingles", "short", *(f"s{k}" for k in range(words))])
 
     return run
 
@@ -147,56 +159,65 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, id_co
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialize(texts.mapInArrow(_signatures(width), "id long, n long, digest binary, bands array<long>, s0 long, s1 long, s2 long, s3 long"), "signatures")
+    signed = materialize(texts.mapInArrow(_signatures(width), "id long, n long, digest binary, bands array<long>"), "signatures")
 
     # classes of equal sets
     copies = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("digest", "rep")
     members = materialize(signed.select("id", "n", "digest").join(copies, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "classes")
 
     # members of keys that at least two classes have
-    alone = signed.where("n > 0 and id is not null").join(copies.select("digest"), "digest", "left_anti")
-    firsts = signed.where("n > 0").join(copies, "digest").where("id = rep").drop("rep").dropDuplicates(["id"])
-    classes = materialize(alone.dropDuplicates(["id"]).select("id", "n", "bands", "s0", "s1", "s2", "s3").unionByName(firsts.select("id", "n", "bands", "s0", "s1", "s2", "s3")), "representatives")
-    banded = classes.select("id", F.explode("bands").alias("key"))
+    banded = signed.where("id is not null").join(members.where("n > 0 and id = rep").select("id").distinct(), "id", "left_semi")
+    banded = banded.dropDuplicates(["id"]).select("id", F.explode("bands").alias("key"))
+    banded = materialize(banded, "banded")
     shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    open_rows = materialize(banded.join(shared, "key").join(classes.drop("bands"), "id").withColumn("comp", F.col("id")), "keys")
-    discard(classes)
+    open_rows = materialize(banded.join(shared, "key").select("key", "id"), "keys")
+    discard(banded)
 
-    # the full sets of those
+    # sets and signatures of those
     wanted = materialize(open_rows.select("id").distinct(), "wanted")
-    sets = materialize(texts.where("id is not null").join(broadcast_if_small(wanted, wanted.count()), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, shingles binary"), "sets")
-
-    low = int(HASHES * (0.5 + percent / 200) - 5 * (HASHES * (0.5 + percent / 200) * (0.5 - percent / 200)) ** 0.5)
+    chosen = texts.where("id is not null").join(broadcast_if_small(wanted, wanted.count()), "id", "left_semi").dropDuplicates(["id"])
+    bits = [f"s{k}" for k in range(SKETCH // 64)]
+    candidates = materialize(chosen.mapInArrow(_candidates(width), "id long, n long, shingles binary, short array<int>, " + ", ".join(f"{k} long" for k in bits)), "candidates")
+    signatures = candidates.select("id", "n", "short", *bits)
+    sets = candidates.select("id", "shingles")
+
+    agree = 0.5 + percent / 200
+    low = int(SKETCH * agree - 4.5 * (SKETCH * agree * (1 - agree)) ** 0.5)
     near = (
-        (F.col("x.comp") != F.col("h.comp"))
-        & (F.col("x.id") > F.col("h.id"))
+        (F.col("x.key") == F.col("h.key"))
+        & (F.col("x.comp") != F.col("h.comp"))
+        & (F.col("x.id") != F.col("h.id"))
         & (100 * F.least("x.n", "h.n") >= percent * F.greatest("x.n", "h.n"))
-        & (sum(F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"h.s{k}"))) for k in range(4)) <= HASHES - low)
+        & (sum(F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"h.{k}"))) for k in bits) <= SKETCH - low)
+        & (F.array_min(F.array_intersect("x.short", "h.short")) == F.shiftright(F.shiftleft("x.key", 32), 32).cast("int"))
     )
-    edges = None
-    round_no = 0
-    comps = spark.createDataFrame([], "node long, component long")
+    labels = wanted.withColumn("comp", F.col("id"))
+    open_rows = open_rows.withColumn("comp", F.col("id")).withColumn("major", F.lit(None).cast("long"))
+    hubs_per_key = FIRST_HUBS
     while not open_rows.isEmpty():
-        hubs_per_key = HUBS[min(round_no, len(HUBS) - 1)]
-        order = Window.partitionBy("key").orderBy("id")
-        hubs = open_rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= hubs_per_key).drop("at")
-        hubs = materialize(hubs, "hubs")
-        pairs = open_rows.alias("x").join(hubs.alias("h"), (F.col("x.key") == F.col("h.key")) & near).select(F.col("h.id").alias("a"), F.col("x.id").alias("b")).distinct()
+        order = Window.partitionBy("key").orderBy(F.col("comp").eqNullSafe(F.col("major")), "id")
+        hubs = materialize(open_rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= hubs_per_key).drop("at"), "hubs")
+        x, h = open_rows.join(signatures, "id").alias("x"), hubs.join(signatures, "id").alias("h")
+        ends = [F.struct(F.col(f"{side}.id").alias("id"), F.col(f"{side}.comp").alias("comp")) for side in "xh"]
+        pairs = x.join(h, near).select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
+        pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"))
         with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
-        full = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").select("a", "b", "left", "right")
-        found = materialize(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        comps = connected_components(edges)
-        left = open_rows.drop("comp").join(hubs.select("key", "id"), ["key", "id"], "left_anti")
-        left = left.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        full = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").select("ca", "cb", "left", "right")
+        # only components are left to find, so a link counts as one between its ends' components so far
+        found = materialize(full.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
+        if not found.isEmpty():
+            merged = connected_components(found)
+            after = labels.join(merged.withColumnRenamed("node", "comp"), "comp", "left")
+            labels = materialize(after.select("id", F.coalesce("component", "comp").alias("comp")), "labels")
+        left = open_rows.select("key", "id").join(hubs.select("key", "id"), ["key", "id"], "left_anti").join(labels, "id")
         left = materialize(left, "members")
-        split = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        rest = materialize(left.join(split, "key", "left_semi"), "keys")
-        discard(left)
-        discard(hubs)
-        discard(open_rows)
-        open_rows = rest
-        round_no += 1
+        by_comp = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        split = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("key", "major")
+        rest = materialize(left.join(split, "key"), "keys")
+        for done in (left, hubs, open_rows, found):
+            discard(done)
+        open_rows, hubs_per_key = rest, HUBS
+    comps = labels.select(F.col("id").alias("node"), F.col("comp").alias("component"))
 
     out = members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")

@@ -13,6 +13,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .syncmers import compare_with_edits
 

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textbytes import chunks
 
@@ -185,20 +186,25 @@ def viterbi(scores: np.ndarray, count: np.ndarray, switch: float) -> np.ndarray:
     return labels
 
 
-def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: dict, *, keep: list[str] | None = None, text_col: str = "text", with_spans: bool = False) -> DataFrame:
     """``lang_pred`` and ``score`` of every text, and its ``spans`` if asked for.
 
+    ``keep`` names the columns to carry along, the id by default; columns named
+    like those three give way to them.
+
     Spans are array<struct<start,end,lang>> in code points, one for each run of
     words with one label.
     """
     langs, logp, allowed = model["langs"], model["logp"], model["allowed"]
+    made = ["lang_pred", "score", *["spans"] * with_spans]
+    kept = [c for c in (["doc_id"] if keep is None else keep) if c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, shares, spans = [], [], []
             held: list[Letters] = []
             parts: list[np.ndarray] = []
-            for chunk in chunks(batch.column(1)) if langs else []:
+            for chunk in chunks(batch.column(0)) if langs else []:
                 w = Letters(chunk)
                 if len(w.start):
                     s = np.add.reduceat(logp[w.bucket], w.first, axis=0)
@@ -217,7 +223,7 @@ def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: s
             best = letters.argmax(axis=1)
             names = [langs[b] if t else "und" for b, t in zip(best, total, strict=True)]
             shares = np.where(total > 0, letters.max(axis=1) / np.maximum(total, 1), 0.0)
-            columns = [batch.column(0), pa.array(names, pa.string()), pa.array(shares, pa.float64())]
+            columns = [*batch.columns[1:], pa.array(names, pa.string()), pa.array(shares, pa.float64())]
             if with_spans:
                 at = 0
                 for w in held:
@@ -231,15 +237,19 @@ def predict(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: s
                         at += c
                         where += c
                 columns.append(pa.array(spans or [[] for _ in names], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "lang_pred", "score", "spans"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
 
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * with_spans
-    return docs.select(id_col, text_col).mapInArrow(lambda it: (b.rename_columns([id_col, *b.schema.names[1:]]) for b in run(it)), schema)
+    picked = docs.select(F.col(text_col).alias("_text"), *kept)
+    fields = [*picked.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    if with_spans:
+        span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])
+        fields.append(T.StructField("spans", T.ArrayType(span)))
+    return picked.mapInArrow(run, T.StructType(fields))
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, with_spans: bool = False) -> DataFrame:
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, keep: list[str] | None = None, with_spans: bool = False) -> DataFrame:
     """Learn from the rows whose crc32 of the id modulo ``folds`` is not ``held`` and predict all."""
     fold = F.crc32(F.col(id_col).cast("string")) % folds
     model = train(docs.where(fold != held), text_col=text_col, lang_col=lang_col)
-    out = predict(docs, model, id_col=id_col, text_col=text_col, with_spans=with_spans)
+    out = predict(docs, model, keep=[id_col, *[c for c in keep or [] if c != id_col]], text_col=text_col, with_spans=with_spans)
     return out.withColumn("held_out", F.coalesce(fold == held, F.lit(False)))

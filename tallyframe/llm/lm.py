@@ -9,7 +9,7 @@ small batch after the other; a final table, indexed by the bits so far and the
 mixer's own log odds, refines the probability by what came true.
 
 What is gathered.  All training texts are counted: their words, and their
-5-byte sequences (context and next byte), first within tasks and then by Spark.
+6-byte sequences (context and next byte), first within tasks and then by Spark.
 The predictors' tables, the weights and the refinement are all learned from the
 counted sequences, each weighted by its count, and each taken out of its own
 contexts' counts by one occurrence, as an online model would not have seen it.
@@ -17,7 +17,7 @@ The model's size is fixed (``1 << BITS`` slots for each order), so it can travel
 to all tasks; the counts stay distributed.
 
 Scoring.  A text's score is the sum over its bytes; a task keeps the scores of
-recent 5-byte sequences in a table of fixed size and evaluates the model for
+recent 6-byte sequences in a table of fixed size and evaluates the model for
 those it lacks.  The base score needs the training count of each word: the
 ``COMMON`` most frequent words (a fixed number) are looked up in the task, and
 the others go through a join on the word's 64-bit hash.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .textbytes import U64, chunks, words
 
-ORDER = 4
+ORDER = 5
 BITS = 21
 COMMON = 1 << 18
 CACHE_BITS = 20

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
+from .textbytes import runs
 
 BITS = 64
 BLOCK = 1024
@@ -77,27 +78,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The runs of rows with equal first columns, of a sorted partition."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows - 1, bool)
-        for k in range(keys):
-            c = batch.column(k).to_numpy(zero_copy_only=False)
-            change |= c[1:] != c[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            part = batch.slice(i, j - i)
-            if held and any(held[-1].column(k)[-1] != part.column(k)[0] for k in range(keys)):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _neighbours(threshold: float, window: int):
     """Edges (a, b) from each vector to the smallest of those it is joined with in a stretch of the order."""
 
@@ -125,7 +105,7 @@ def _neighbours(threshold: float, window: int):
             # the last rows of the batch before come again, so that windows reach over its end
             table = pa.Table.from_batches([tail, batch] if tail is not None else [batch]).combine_chunks()
             whole = table.to_batches()[0] if table.num_rows else batch
-            for run_ in _groups(iter([whole]), 2):
+            for run_ in runs(iter([whole]), 2):
                 if run_.num_rows > 1:
                     t = run_.combine_chunks()
                     a, b = stretch(t.column("id").to_numpy(), _matrix(t.column("unit").combine_chunks()))
@@ -137,7 +117,7 @@ def _neighbours(threshold: float, window: int):
 
 def _count(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in _groups(batches, 3):
+        for tile in runs(batches, 3):
             tile = tile.combine_chunks()
             i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
             ids, copies = tile.column("id").to_numpy(), tile.column("copies").to_numpy().astype(np.float64)

@@ -17,14 +17,13 @@ How the work is kept linear in the input:
 * documents with equal sets are one class, represented by its smallest id, so
   exact copies cost one signature in the bands however many there are;
 * a band key is kept only if at least two classes have it;
-* within a key no pairs are emitted wholesale: in each round some members of
-  each key (its hubs) are compared with those members that are not yet in the
-  hub's component.  Pairs inside a component need no comparison, as they can't
-  change it.  Hubs that have been compared leave; keys whose remaining members
-  are all in one component leave; members outside a key's largest component are
-  its next hubs, and rounds go on until no key is left.  So every pair that
-  shares a key is compared or already connected, without a limit on members or
-  partners;
+* within a key no pairs are emitted.  First each member is compared with one hub
+  of its key; that joins most of a group.  Keys that still hold several
+  components are dealt to blocks of bounded size, and every two blocks of a key
+  are compared inside a task, which returns no pairs but only those links that
+  join two components.  Pairs inside a component need no comparison, as they
+  can't change it.  So every pair that shares a key is compared or already
+  connected, without a limit on members or partners;
 * a pair with several common keys is compared in the smallest of them alone;
 * pairs are first sieved by set size, which is exact, and by the signature of
   the candidates: one bit of each of ``SKETCH`` minima, which must agree as
@@ -44,18 +43,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, connected_components, discard, materialize
-from .textbytes import U64, chunks, mix, words
+from .textbytes import U64, chunks, mix, runs, words
 
 #: 32 bands of 4 minima: a pair at similarity 0.75 shares no band with probability 5e-6.
 BANDS, ROWS = 32, 4
 #: Minima of candidates whose lowest bits make up the signature for verification.
 SKETCH = 1024
-#: Members of a key that are compared with the rest of it: in the first round, and in later ones.
-FIRST_HUBS, HUBS = 1, 1000
+#: Members, and bytes of their sets, in a block of a key.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 _rng = np.random.Generator(np.random.PCG64(977))
 _A = (_rng.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -131,7 +130,7 @@ def _candidates(width: int):
                 bands.append(band_keys(low).astype(np.int32))
                 bits.append(np.packbits(((low * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).view(np.int64))
             table = np.array(bits, np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int32())), *(pa.array(table[:, k]) for k in range(words))], names=["id", "n", "shingles", "short", *(f"s{k}" for k in range(words))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int32())), pa.array([b.tobytes() for b in bits], pa.binary()), *(pa.array(table[:, k]) for k in range(words))], names=["id", "n", "shingles", "short", "bits", *(f"s{k}" for k in range(words))])
 
     return run
 
@@ -150,6 +149,60 @@ def _confirm(percent: int):
     return run
 
 
+def _compare_blocks(percent: int, most_differ: int):
+    """Links between components (a, b) within two blocks of a key; a tile is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in runs(batches, 3):
+            tile = tile.combine_chunks()
+            key = tile.column("key")[0].as_py() & 0xFFFFFFFF
+            key = key - (1 << 32) if key >> 31 else key
+            i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+            comp, n, block = (tile.column(c).to_numpy() for c in ("comp", "n", "block"))
+            bits = np.frombuffer(b"".join(tile.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+            short = np.array(tile.column("short").to_pylist(), np.int64).reshape(len(n), -1)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.column("shingles").combine_chunks()]
+            root = {c: c for c in comp.tolist()}
+
+            def find(c: int, root: dict = root) -> int:
+                while root[c] != c:
+                    root[c] = root[root[c]]
+                    c = root[c]
+                return c
+
+            now = comp.copy()
+            links = []
+            for a in range(len(n)) if i == j else np.flatnonzero(block == i):
+                others = np.arange(a + 1, len(n)) if i == j else np.flatnonzero(block == j)
+                others = others[(now[others] != now[a]) & (100 * np.minimum(n[others], n[a]) >= percent * np.maximum(n[others], n[a]))]
+                others = others[np.bitwise_count(bits[others] ^ bits[a]).sum(axis=1) <= most_differ]
+                common = np.where(short[others] == short[a], short[others], np.int64(1) << 40)
+                others = others[common.min(axis=1, initial=np.int64(1) << 41) == key]
+                if not len(others):
+                    continue
+                every = np.concatenate([sets[b] for b in others])
+                at = np.minimum(np.searchsorted(sets[a], every), len(sets[a]) - 1)
+                same = np.add.reduceat((sets[a][at] == every).astype(np.int64), np.cumsum(n[others]) - n[others])
+                for b in others[100 * same >= percent * (n[a] + n[others] - same)]:
+                    x, y = find(int(comp[a])), find(int(comp[b]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        links.append((x, y))
+                        now[(now == x) | (now == y)] = min(x, y)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, comp) after links between components."""
+    if links.isEmpty():
+        return labels
+    merged = connected_components(links)
+    after = labels.join(merged.withColumnRenamed("node", "comp"), "comp", "left")
+    return materialize(after.select("id", F.coalesce("component", "comp").alias("comp")), "labels")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its set size, component, and whether it is kept.
 
@@ -177,7 +230,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, id_co
     wanted = materialize(open_rows.select("id").distinct(), "wanted")
     chosen = texts.where("id is not null").join(broadcast_if_small(wanted, wanted.count()), "id", "left_semi").dropDuplicates(["id"])
     bits = [f"s{k}" for k in range(SKETCH // 64)]
-    candidates = materialize(chosen.mapInArrow(_candidates(width), "id long, n long, shingles binary, short array<int>, " + ", ".join(f"{k} long" for k in bits)), "candidates")
+    candidates = materialize(chosen.mapInArrow(_candidates(width), "id long, n long, shingles binary, short array<int>, bits binary, " + ", ".join(f"{k} long" for k in bits)), "candidates")
     signatures = candidates.select("id", "n", "short", *bits)
     sets = candidates.select("id", "shingles")
 
@@ -185,38 +238,31 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, id_co
     low = int(SKETCH * agree - 4.5 * (SKETCH * agree * (1 - agree)) ** 0.5)
     near = (
         (F.col("x.key") == F.col("h.key"))
-        & (F.col("x.comp") != F.col("h.comp"))
         & (F.col("x.id") != F.col("h.id"))
         & (100 * F.least("x.n", "h.n") >= percent * F.greatest("x.n", "h.n"))
         & (sum(F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"h.{k}"))) for k in bits) <= SKETCH - low)
         & (F.array_min(F.array_intersect("x.short", "h.short")) == F.shiftright(F.shiftleft("x.key", 32), 32).cast("int"))
     )
-    labels = wanted.withColumn("comp", F.col("id"))
-    open_rows = open_rows.withColumn("comp", F.col("id")).withColumn("major", F.lit(None).cast("long"))
-    hubs_per_key = FIRST_HUBS
-    while not open_rows.isEmpty():
-        order = Window.partitionBy("key").orderBy(F.col("comp").eqNullSafe(F.col("major")), "id")
-        hubs = materialize(open_rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= hubs_per_key).drop("at"), "hubs")
-        x, h = open_rows.join(signatures, "id").alias("x"), hubs.join(signatures, "id").alias("h")
-        ends = [F.struct(F.col(f"{side}.id").alias("id"), F.col(f"{side}.comp").alias("comp")) for side in "xh"]
-        pairs = x.join(h, near).select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
-        pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"))
-        with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
-        full = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").select("ca", "cb", "left", "right")
-        # only components are left to find, so a link counts as one between its ends' components so far
-        found = materialize(full.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
-        if not found.isEmpty():
-            merged = connected_components(found)
-            after = labels.join(merged.withColumnRenamed("node", "comp"), "comp", "left")
-            labels = materialize(after.select("id", F.coalesce("component", "comp").alias("comp")), "labels")
-        left = open_rows.select("key", "id").join(hubs.select("key", "id"), ["key", "id"], "left_anti").join(labels, "id")
-        left = materialize(left, "members")
-        by_comp = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        split = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1").select("key", "major")
-        rest = materialize(left.join(split, "key"), "keys")
-        for done in (left, hubs, open_rows, found):
-            discard(done)
-        open_rows, hubs_per_key = rest, HUBS
+    # one hub for each key
+    hubs = open_rows.groupBy("key").agg(F.min("id").alias("id"))
+    hubs, x = hubs.join(signatures, "id").alias("h"), open_rows.join(signatures, "id").alias("x")
+    pairs = x.join(hubs, near).select(F.col("h.id").alias("a"), F.col("x.id").alias("b")).distinct()
+    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
+    full = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").select("a", "b", "left", "right")
+    found = materialize(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
+    labels = _relabel(wanted.withColumn("comp", F.col("id")), found)
+
+    # what is left: keys with several components, block against block
+    rows = materialize(open_rows.join(labels, "id").join(signatures.select("id", "n"), "id"), "members")
+    by_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    several = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum("n").alias("n")).where("comps > 1")
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("n") * 8 / BLOCK_BYTES)).cast("int")
+    dealt = rows.drop("n").join(several.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
+    dealt = dealt.join(candidates.select("id", "n", "short", "bits", "shingles"), "id").select("key", F.inline(tiles), "id", "comp", "n", "block", "short", "bits", "shingles")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = materialize(dealt.mapInArrow(_compare_blocks(percent, SKETCH - low), "a long, b long").distinct(), "links")
+    labels = _relabel(labels, found)
     comps = labels.select(F.col("id").alias("node"), F.col("comp").alias("component"))
 
     out = members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -108,3 +108,24 @@ def words(chunk: Chunk) -> Words:
     np.cumsum(_BYTE[_LOWER[data]] * up[:n], out=sums[1:])
     h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
     return Words(start, end, np.repeat(np.arange(len(chunk)), count), count, h)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows with equal first columns, of a sorted partition."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, bool)
+        for k in range(keys):
+            c = batch.column(k).to_numpy(zero_copy_only=False)
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(i, j - i)
+            if held and any(held[-1].column(k)[-1] != part.column(k)[0] for k in range(keys)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -30,6 +30,7 @@ learn from every bit has probability 1/2; further columns are not looked at.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,6 +179,14 @@ class Model:
         self.weights[:, -1] = 0
         self.refined: np.ndarray | None = None
 
+    def __getstate__(self) -> dict:
+        """Tables travel compressed: most slots are empty or hold small counts."""
+        return self.__dict__ | {"table": zlib.compress(self.table.tobytes(), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.table = np.frombuffer(zlib.decompress(state["table"]), np.uint16).reshape(-1, 2)
+
     def inputs(self, contexts: list[np.ndarray], place: int, bit: np.ndarray, node: np.ndarray, leave: bool) -> tuple[np.ndarray, np.ndarray]:
         """Log odds of each predictor with a constant, and the gate."""
         x = np.empty((len(bit), INPUTS), np.float32)

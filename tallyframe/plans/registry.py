@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import transforms as t
+from ..functions.checkpoints import ensure_checkpoint_dir
 from ..operators import cluster, drift, mapping, profile, review, rowshape, scoring, tuning
 from ..sources import artifacts
 from ..sources.tables import target_fields
@@ -106,7 +107,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Tables without doubles and maps, whose text differs between engines; times as ISO dates."""
     df = read(spark, sf_dir, name)
-    keep = [F.date_format(c, "yyyy-MM-dd").alias(c) if k == "timestamp" else F.col(c) for c, k in df.dtypes if k not in ("double",)]
+    keep = [F.date_format(c, "yyyy-MM-dd").alias(c) if k.startswith("timestamp") else F.col(c) for c, k in df.dtypes if k not in ("double",)]
     return df.select(keep)
 
 
@@ -149,12 +150,18 @@ def rowshape_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- mapping
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A catalog-sized table cut from its lineage: profiles aren't computed again by each of its readers."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile rows ready for mapping: two sources, policy names on both."""
     c = cells(spark, sf_dir)
     rows = profile.profile(c).join(profile.samples(c), ["table_name", "column_name"], "left")
     rows = rows.withColumn("source_name", F.when(F.col("table_name") == "legacy", "pasl").otherwise("shop")).withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
-    return rows.withColumn("schema_key", F.when(F.col("table_name").isin("orders", "events"), "customer_table").otherwise("policy"))
+    return settled(rows.withColumn("schema_key", F.when(F.col("table_name").isin("orders", "events"), "customer_table").otherwise("policy")))
 
 
 def target_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,11 +250,11 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast("array<string>")
     vocabulary = F.array_distinct(F.concat(F.coalesce("top", none), F.transform(F.coalesce("samples", none), lambda v: F.upper(v))))
     bounded = F.col("is_coded") | F.col("top").isNotNull()
-    return rows.select(F.col("table_name").alias("source_name"), F.regexp_replace("column_name", "^[a-z]_", "").alias("column_name"), "ordinal", "inferred_type", "is_id", "is_coded", "is_cents", F.when(F.col("row_count") > 0, F.col("exact_distinct") / F.col("row_count")).otherwise(0.0).alias("distinct_ratio"), "null_rate", F.when(bounded, vocabulary).otherwise(none).alias("vocabulary"))
+    return settled(rows.select(F.col("table_name").alias("source_name"), F.regexp_replace("column_name", "^[a-z]_", "").alias("column_name"), "ordinal", "inferred_type", "is_id", "is_coded", "is_cents", F.when(F.col("row_count") > 0, F.col("exact_distinct") / F.col("row_count")).otherwise(0.0).alias("distinct_ratio"), "null_rate", F.when(bounded, vocabulary).otherwise(none).alias("vocabulary")))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.pair_scores(_catalog(spark, sf_dir))
+    return settled(cluster.pair_scores(_catalog(spark, sf_dir)))
 
 
 _ENDS = ["a_source_name", "a_column_name", "b_source_name", "b_column_name"]
@@ -265,9 +272,6 @@ def cluster_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K9-K10."""
-    from ..functions.checkpoints import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     return cluster.clusters(_catalog(spark, sf_dir), _pairs(spark, sf_dir))
 
 
@@ -517,7 +521,7 @@ def review_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.upsert(h, new, ["id"], "reviewer_action")
 
 
-_HELPERS = {"read", "legacy", "staging", "cells", "profile_input", "profiled", "target_tables", "history", "tool_calls", "target_fields", "reduce", "queries"}
+_HELPERS = {"read", "legacy", "staging", "cells", "profile_input", "profiled", "target_tables", "history", "tool_calls", "target_fields", "settled", "reduce", "queries"}
 
 
 def queries() -> dict:

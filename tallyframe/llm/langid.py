@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbytes import chunks
+from .textbytes import chunks, slices
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -38,6 +38,8 @@ SWITCH = 12.0
 CANDIDATE = 0.001
 SMOOTH = 0.5
 MAX_LANGUAGES = 256
+#: Bytes of text whose words a task labels at a time.
+PIECE = 12 << 20
 
 # Unicode blocks by script, as (first, last, script).
 SCRIPTS = ["none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "devanagari", "bengali", "thai", "georgian", "hangul", "kana", "han", "other"]
@@ -91,10 +93,10 @@ class Letters:
         cuts = np.flatnonzero(new)
         runs = kind[cuts[:-1]] if n else np.zeros(0, np.uint8)
         full = runs > 0
-        self.start, self.end, self.script = cuts[:-1][full], cuts[1:][full], runs[full]
+        self.start, self.end, self.script = cuts[:-1][full].astype(np.int32), cuts[1:][full].astype(np.int32), runs[full]
         self.count = np.diff(np.searchsorted(self.start, self.doc_start))
         # trigrams of each word with one boundary before and one after it
-        size = self.end - self.start + 1
+        size = (self.end - self.start + 1).astype(np.int64)
         self.first = np.cumsum(size) - size
         total = int(size.sum())
         letters = np.zeros(total + 2, np.uint32)
@@ -200,7 +202,7 @@ def predict(docs: DataFrame, model: dict, *, keep: list[str] | None = None, text
     kept = [c for c in (["doc_id"] if keep is None else keep) if c not in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0, PIECE):
             names, shares, spans = [], [], []
             held: list[Letters] = []
             parts: list[np.ndarray] = []
@@ -211,11 +213,14 @@ def predict(docs: DataFrame, model: dict, *, keep: list[str] | None = None, text
                     s[~allowed[w.script]] = -1e5
                 else:
                     s = np.zeros((0, len(langs)), np.float32)
-                del w.bucket
+                del w.bucket, w.first, w.script
                 held.append(w)
                 parts.append(s)
             count = np.concatenate([w.count for w in held]) if held else np.zeros(batch.num_rows, np.int64)
-            labels = viterbi(np.concatenate(parts), count, SWITCH) if held else np.zeros(0, np.int16)
+            scores = np.concatenate(parts) if held else np.zeros((0, 1), np.float32)
+            parts.clear()
+            labels = viterbi(scores, count, SWITCH)
+            del scores
             size = np.concatenate([w.end - w.start for w in held]) if held else np.zeros(0, np.int64)
             doc = np.repeat(np.arange(len(count)), count)
             letters = np.bincount(doc * max(1, len(langs)) + labels, weights=size, minlength=len(count) * max(1, len(langs))).reshape(len(count), -1)

@@ -114,7 +114,7 @@ def plan_mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "te
     ``shards`` lists the output shard of each copy of the document; ``taken`` is
     its size times their number.  ``keep`` names columns to carry along.
     """
-    held = [F.col(c).alias(f"_{c}") for c in keep or []]
+    held = [F.col(c).alias(f"__{c}") for c in keep or []]
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *held)
     sized = materialize(base, "sizes") if not held else base
     plan = materialize(targets(sized.select("source", "size"), weights, max_epochs), "targets")
@@ -149,13 +149,13 @@ def plan_mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "te
     times = F.col("passes") + partial.cast("long")
     mine = F.transform(F.filter(F.coalesce("dealt", F.array().cast("array<struct<copy:bigint,shard:bigint>>")), lambda d: d["copy"] < times), lambda d: d["shard"])
     rows = rows.withColumn("shards", mine)
-    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", *[F.col(f"_{c}") for c in keep or []])
+    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", *[F.col(f"__{c}") for c in keep or []])
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixture itself: the input's columns, a row for each copy, dealt to shards and shuffled there."""
     planned = plan_mix(docs, id_col=id_col, keep=docs.columns, **options)
-    copies = planned.select(*[F.col(f"_{c}").alias(c) for c in docs.columns if c not in ("shard", "copy")], F.posexplode("shards").alias("copy", "shard"))
+    copies = planned.select(*[F.col(f"__{c}").alias(c) for c in docs.columns if c not in ("shard", "copy")], F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64(F.lit(SEED + 1), F.col("shard"), F.col(id_col), F.col("copy"))
     return copies.repartition("shard").sortWithinPartitions("shard", order)
 

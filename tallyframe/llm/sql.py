@@ -1,5 +1,36 @@
-"""DuckDB SQL for those numbered operators that SQL can express."""
+"""DuckDB SQL for those numbered operators that SQL can express over whole tables."""
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
+
+OP1 = f"""with recursive w as (select doc_id, {_WORDS} as w from documents),
+shingles as (select distinct doc_id, s from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from w)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as same from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * same >= 75 * (p.n + q.n - same)),
+both_ as (select x, y from links union select y, x from links),
+reach as (select doc_id as x, doc_id as y from documents union select r.x, b.y from reach r join both_ b on r.y = b.x)
+select d.doc_id, coalesce(n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join sizes using (doc_id) join (select x as doc_id, min(y) as component_id from reach group by x) c using (doc_id)"""
+
+OP5 = """with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+rules(h, r, action) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+best as (select page_id, h || r as rule, action from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, r) qualify row_number() over (partition by page_id order by length(h || r) desc) = 1)
+select p.page_id, host, path, rule, coalesce(action, 'allow') as verdict from p left join best using (page_id)"""
+
+OP6 = """with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) > 0 and not list_contains(list_transform(embedding, lambda x: x is null or not isfinite(x)), true)),
+good as (select * from v where list_sum(list_transform(e, lambda x: abs(x))) > 0),
+both_ as (select a.vec_id as x, b.vec_id as y from good a join good b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (select vec_id as x, vec_id as y from embeddings union select r.x, b.y from reach r join both_ b on r.y = b.x)
+select m.vec_id, coalesce(n, 0) as n_links, c.component_id, m.vec_id = c.component_id as kept
+from embeddings m left join (select x as vec_id, count(*) as n from both_ group by x) using (vec_id) join (select x as vec_id, min(y) as component_id from reach group by x) c using (vec_id)"""
+
+OP10 = """with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h, max(page_id) over (partition by coalesce(html, '')) as best from pages),
+d as (select *, list_transform(range(0, 32), lambda i: ((strpos('0123456789abcdef', h[i * 5 // 4 + 1]) - 1) * 16 + case when i * 5 // 4 + 2 <= 40 then strpos('0123456789abcdef', h[i * 5 // 4 + 2]) - 1 else 0 end) // cast(pow(2, 3 - i * 5 % 4) as int) % 32) as five from p)
+select page_id, payload_bytes, array_to_string(list_transform(five, lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[k + 1]), '') as payload_digest,
+case when page_id = best then 'response' else 'revisit' end as record_type, case when page_id <> best then best end as refers_to from d"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_minhash_near_dedup": OP1, "op5_url_filter": OP5, "op6_embedding_near_dedup": OP6, "op10_warc_revisits": OP10}

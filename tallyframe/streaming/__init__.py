@@ -1 +1,5 @@
+"""Nothing here streams: the work this library covers has no unbounded input.
 
+Incremental runs append: :func:`tallyframe.operators.drift.next_versions` and
+:func:`tallyframe.sources.artifacts.backfill` give the rows to add.
+"""

@@ -1,8 +1,9 @@
-"""The folder for checkpoints: the cluster's, or a temporary one in a local session."""
+"""The shared folder for checkpoints: the cluster's, or a temporary one in a local session."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -11,3 +12,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in that folder, for files that a job writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{base}/tallyframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

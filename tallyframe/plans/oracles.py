@@ -202,6 +202,46 @@ union all select 'pasl', 'added', null, new_name, null, new_type, null, false fr
 union all select 'pasl', 'type_changed', name, name, old_type, new_type, null, true from both_ where old_type <> new_type"""
 
 
+_GRID = "grid as (select (i * (43 - i) / 2 + j)::int as point, i / 20 as wa, j / 20 as wb, (20 - i - j) / 20 as wc from range(21) a(i), range(21) b(j) where i + j <= 20)"
+_TUNE_LABELS = """labels(column_name, truth, is_hard) as (values ('POL_NO', 'policy_id', true), ('EFF_DT', 'start_date', true), ('PREM_AMT', 'premium_amount', true), ('DEDUCT', 'policy_deductible', false), ('WINBK_FLG', 'win_back_eligible', false), ('POL_STAT_CD', 'policy_status', false), ('INS_NM', null, false), ('ISO_DT', null, false), ('SIGN_DT', null, false), ('CLAIMS_IND', null, false), ('POL_NO_SEQ', null, false))"""
+TUNE = f"""{MAPPED}, {_GRID}, {_TUNE_LABELS},
+gridded as (select point, column_name, ordinal, field, field_ordinal, secondary, least(1.0::double, wa * name_score + wb * type_score + wc * pattern_score) as confidence from typed, grid where table_name = 'legacy'),
+gbest as (select point, column_name, ordinal, secondary, case when confidence >= 0.30 then field end as target, round_even(confidence, 4) as confidence from gridded qualify row_number() over (partition by point, column_name order by gridded.confidence desc, field_ordinal) = 1),
+gplaced as (select *, row_number() over (partition by point, target order by confidence desc, ordinal) as place from gbest),
+ggaps as (select *, coalesce(round_even(max(case when place = 1 then confidence end) over w - max(case when place = 2 then confidence end) over w, 10) < 0.05, false) as near from gplaced window w as (partition by point, target)),
+gfinal as (select point, column_name, confidence, case when target is null then null when place = 1 then target when place = 2 and near and secondary is not null then secondary end as target from ggaps),
+gscored as (select point, is_hard, case when truth is null and target is null then 'TN' when truth is null then 'FP' when target is null then 'FN' when truth = target then 'TP' else 'WRONG_TARGET' end as verdict, confidence from grid join labels on true join gfinal using (point, column_name)),
+gloss as (select *, round_even(case when is_hard then 2.0 else 1.0 end::double * ((verdict not in ('TP', 'TN'))::int + 0.3::double * round_even((confidence - (verdict in ('TP', 'TN'))::int) * (confidence - (verdict in ('TP', 'TN'))::int), 4)), 4) as loss from gscored),
+gm as (select point, count(*) filter (verdict = 'TP') as tp, count(*) filter (verdict = 'FP') as fp, count(*) filter (verdict = 'FN') as fn, count(*) filter (verdict = 'WRONG_TARGET') as wrong, round_even(avg(loss), 4) as mean_loss from gloss group by all),
+gf as (select *, coalesce(tp / nullif(tp + fp + wrong, 0), 0) as p, coalesce(tp / nullif(tp + fn + wrong, 0), 0) as q from gm)
+select point, tp, fp, fn, wrong, round_even(coalesce(2 * p * q / nullif(p + q, 0), 0), 4) as f1, mean_loss from gf order by mean_loss, f1 desc, point limit 10"""
+SIMILAR = f"""{BASE}, flagged as (select *, {CLEAN.format('column_name')} as a from profile),
+ex_pairs as (select distinct x.a as p, y.a as q from flagged x, flagged y), ex_sets as {token_set('ex_pairs', 'p', 'q', '1 as one')},
+sims as (select x.table_name, x.column_name, y.column_name as example, round_even(0.5::double * ((x.inferred_type is not distinct from y.inferred_type)::int + (x.is_id is not distinct from y.is_id)::int + (x.is_coded is not distinct from y.is_coded)::int + (x.is_cents is not distinct from y.is_cents)::int + (x.date_format is not distinct from y.date_format)::int) / 5 + 0.5::double * greatest({ratio('x.a', 'y.a')}, ts), 4) as similarity
+  from flagged x join flagged y on x.column_name <> y.column_name join ex_sets s on s.p = x.a and s.q = y.a)
+select 'all' as source_name, table_name, column_name, row_number() over (partition by table_name, column_name order by similarity desc, example) as rank, example, similarity from sims where similarity >= 0.35 qualify rank <= 3"""
+_TARGET = "case when {0} in ('name', 'nationkey', 'acctbal') then {0} end"
+CLUSTER_SCORE = f"""{CLUSTER}, best_pairs as (select * from pairs where a_source_name = 'customer' and b_source_name = 'supplier'),
+{_MUTUAL.replace('from pairs', 'from best_pairs')},
+t as (select {_TARGET.format('a_column_name')} as x, {_TARGET.format('b_column_name')} as y from mutual),
+c as (select count(*) filter (coalesce(x = y, false)) as tp, count(*) filter ((x is not null or y is not null) and not coalesce(x = y, false)) as fp, count(*) filter (x is null and y is null) as unscored from t),
+n as (select count(*) as truth from (select column_name from catalog where source_name in ('customer', 'supplier') and column_name in ('name', 'nationkey', 'acctbal') group by all having count(*) = 2)),
+r as (select *, coalesce(tp / nullif(tp + fp, 0), 0) as p, coalesce(tp / nullif(truth, 0), 0) as q from c, n)
+select tp, fp, truth, unscored, 0 as secondary, round_even(p, 4) as precision, round_even(q, 4) as recall, round_even(coalesce(2 * p * q / nullif(p + q, 0), 0), 4) as f1 from r"""
+_SUGGEST = """sug as (select *, case column_name when 'c_custkey' then 'customer_id' when 's_suppkey' then 'no_such_field' when 'INS_NM' then 'policy_type' when 'POL_NO' then 'policy_number' end as s_target from best),
+merged as (select *, case when s_target is not null then 0.8 when confidence < 0.70 then 0.30 end as s_conf from sug),
+taken as (select *, coalesce(s_conf > confidence, false) as better from merged),
+chosen as (select * exclude (target, confidence), case when better then case when s_target in (select f.field from fields f where f.schema_key = taken.schema_key) then s_target end else target end as target, case when better then s_conf else confidence end as confidence, case when better then 'suggested' else 'rule' end as method from taken),
+overridden as (select * exclude (target, method), case column_name when 'ISO_DT' then 'end_date' when 'c_name' then null else target end as target, case when column_name in ('ISO_DT', 'c_name') then 'critic' else method end as method from chosen)"""
+
+
+_TRANSFORM = """case when {0} is null then 'blank_as_null' when target_type = 'date' then case date_format when 'US' then 'us_date' when 'ISO8601' then 'iso_date' else 'compact_date' end when target_type = 'boolean' then case when truth_ then 'true_false' else 'yes_no' end
+  when target_type in ('integer', 'bigint') and prefix is not null then 'prefixed_id' when target_type in ('integer', 'bigint') then 'whole_number' when target_type = 'decimal' and inferred_type = 'integer' and is_cents then 'cents' when target_type = 'decimal' then 'money' else 'blank_as_null' end"""
+_EXPRESSION = """case transform when 'compact_date' then 'try_to_date(' || q || ', ''yyyyMMdd'')' when 'us_date' then 'try_to_date(' || q || ', ''M/d/yyyy'')' when 'iso_date' then 'try_cast(' || q || ' as date)'
+  when 'yes_no' then 'case upper(' || q || ') when ''Y'' then true when ''N'' then false end' when 'true_false' then 'try_cast(lower(' || q || ') as boolean)' when 'prefixed_id' then 'try_cast(replace(' || q || ', ''' || prefix || ''', '''') as bigint)'
+  when 'whole_number' then 'try_cast(' || q || ' as bigint)' when 'cents' then 'cast(try_cast(' || q || ' as decimal(14,0)) / 100 as decimal(14,2))' when 'money' then 'try_cast(' || q || ' as decimal(12,2))' else 'nullif(trim(' || q || '), '''')' end"""
+
+
 def oracle_sql() -> dict[str, str]:
     ends = "a_source_name, a_column_name, b_source_name, b_column_name"
     return {
@@ -212,6 +252,19 @@ def oracle_sql() -> dict[str, str]:
   case trim("POL_STAT_CD") when 'F' then 'Final' when 'O' then 'Open' else trim("POL_STAT_CD") end as policy_status, 'TX' as region_code, length("POL_NO") as number_length, cast(null as bigint) as customer_id,
   '{{"POL_NO_SEQ":"' || "POL_NO_SEQ" || '","CLAIMS_IND":"' || "CLAIMS_IND" || '"}}' as extended_attributes from legacy""",
         "canonical_unmapped": f"with {_fields()} select field as name, required from fields where schema_key = 'policy' and field not in ('policy_id', 'policy_number', 'start_date', 'end_date', 'premium_amount', 'policy_deductible', 'win_back_eligible', 'policy_status', 'region_code') and (select count(*) from orders) > 0",
+        "delimited_scan": f"with {LEGACY} select * exclude (pos) from legacy",
+        "source_row_counts": " union all ".join(f"select '{x}' as table_name, count(*) as row_count from {x}" for x in ("customer", "orders", "supplier", "events", "lineitem", "documents")),
+        "drift_versions": _DRIFT.split("both_ as (")[0].rstrip().rstrip(",") + " select 'new' as source_name, 1 as version, count(*)::int as columns from oprofile union all select 'forced', 2, count(*)::int from nprofile",
+        "tune_grid": TUNE,
+        "tune_simplex": f"{MAPPED}, {_GRID} select point, count(*) as scores, round_even(sum(least(1.0::double, wa * name_score + wb * type_score + wc * pattern_score)), 3)::decimal(18, 3) as total from typed, grid group by all",
+        "similar_examples": SIMILAR,
+        "cluster_score": CLUSTER_SCORE,
+        "map_suggestions": f"""{MAPPED}, {BEST}, {SAMPLES}, {_SUGGEST},
+prefixed as (select c.*, case when len(samples) > 0 and 2 * len(found) >= len(samples) and len(list_distinct(found)) = 1 then found[1] end as prefix, len(samples) > 0 and len(list_filter(samples, lambda s: lower(s) not in ('true', 'false'))) = 0 as truth_, b.target as first_target
+  from overridden c join (select table_name, column_name, target from best) b using (table_name, column_name) join (select *, list_filter(list_transform(samples, lambda s: regexp_extract(s, '^([A-Z]{{2,5}}-)', 1)), lambda p: p <> '') as found from samples) using (table_name, column_name)),
+kinds as (select *, {_TRANSFORM.format('first_target')} as transform, '`' || column_name || '`' as q from prefixed),
+texts as (select *, {_EXPRESSION} as expression from kinds)
+select table_name, column_name, case when target = 'policy_status' then null else target end as target, confidence, method, case when column_name = 'ISO_DT' then 'to_date(ISO_DT)' else expression end as expression, confidence < 0.70 as low from texts""",
         "dedup_latest": "select user_id, event_id, ts, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
         "dedup_cdc": "select user_id, event_type, ts, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
         "profile_columns": f"{BASE} select * exclude (ordinal) from profile",
@@ -229,11 +282,8 @@ select *, round_even(0.5::double * (not key_ok)::int + 0.3::double * (not recenc
         "map_contention": f"""{MAPPED}, {BEST}, {CONTENDED}, {SAMPLES},
 prefixed as (select c.*, case when len(samples) > 0 and 2 * len(found) >= len(samples) and len(list_distinct(found)) = 1 then found[1] end as prefix, len(samples) > 0 and len(list_filter(samples, lambda s: lower(s) not in ('true', 'false'))) = 0 as truth_
   from contended c join (select *, list_filter(list_transform(samples, lambda s: regexp_extract(s, '^([A-Z]{{2,5}}-)', 1)), lambda p: p <> '') as found from samples) using (table_name, column_name)),
-kinds as (select *, case when target is null then 'blank_as_null' when target_type = 'date' then case date_format when 'US' then 'us_date' when 'ISO8601' then 'iso_date' else 'compact_date' end when target_type = 'boolean' then case when truth_ then 'true_false' else 'yes_no' end
-  when target_type in ('integer', 'bigint') and prefix is not null then 'prefixed_id' when target_type in ('integer', 'bigint') then 'whole_number' when target_type = 'decimal' and inferred_type = 'integer' and is_cents then 'cents' when target_type = 'decimal' then 'money' else 'blank_as_null' end as transform, '`' || column_name || '`' as q from prefixed)
-select table_name, column_name, target, confidence, action, final_target, transform, case transform when 'compact_date' then 'try_to_date(' || q || ', ''yyyyMMdd'')' when 'us_date' then 'try_to_date(' || q || ', ''M/d/yyyy'')' when 'iso_date' then 'try_cast(' || q || ' as date)'
-  when 'yes_no' then 'case upper(' || q || ') when ''Y'' then true when ''N'' then false end' when 'true_false' then 'try_cast(lower(' || q || ') as boolean)' when 'prefixed_id' then 'try_cast(replace(' || q || ', ''' || prefix || ''', '''') as bigint)'
-  when 'whole_number' then 'try_cast(' || q || ' as bigint)' when 'cents' then 'cast(try_cast(' || q || ' as decimal(14,0)) / 100 as decimal(14,2))' when 'money' then 'try_cast(' || q || ' as decimal(12,2))' else 'nullif(trim(' || q || '), '''')' end as expression from kinds""",
+kinds as (select *, {_TRANSFORM.format("target")} as transform, '`' || column_name || '`' as q from prefixed)
+select table_name, column_name, target, confidence, action, final_target, transform, {_EXPRESSION} as expression from kinds""",
         "map_missing": f"{MAPPED}, {BEST}, {CONTENDED} select t.table_name, f.field from (select distinct table_name, schema_key from columns_) t join fields f using (schema_key) where required and not exists (select 1 from contended c where c.table_name = t.table_name and c.final_target = f.field)",
         "drift_changes": _DRIFT,
         "cluster_pairs": f"{CLUSTER} select {ends}, round_even(name, 4) as name, round_even(overlap, 4) as overlap, round_even(score, 4) as score from pairs",

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import transforms as t
-from ..functions.checkpoints import ensure_checkpoint_dir
+from ..functions.checkpoints import ensure_checkpoint_dir, new_folder
 from ..operators import cluster, drift, mapping, profile, review, rowshape, scoring, tuning
-from ..sources import artifacts
-from ..sources.tables import target_fields
+from ..sources import artifacts, delimited
+from ..sources.tables import read_text, target_fields
 from . import canonical
 
 TABLES = {"customer": "c_custkey", "orders": "o_orderkey", "supplier": "s_suppkey", "events": "event_id"}
@@ -147,6 +147,23 @@ def rowshape_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rowshape.score(rowshape_infer(spark, sf_dir), truth)
 
 
+# --- sources
+
+
+def delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The legacy extract written as text files with a header, its separator found, read back as text."""
+    path = new_folder(spark, "extract")
+    out = legacy(spark, sf_dir).write.option("header", True).option("sep", "|").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    out.csv(path)
+    return delimited.read(spark, path)
+
+
+def source_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True row counts of tables that are read as text."""
+    parts = [read_text(read(spark, sf_dir, name))[1].select(F.lit(name).alias("table_name"), "row_count") for name in [*TABLES, "lineitem", "documents"]]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- mapping
 
 
@@ -200,6 +217,34 @@ def map_contention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _contended(spark, sf_dir).select("table_name", "column_name", "target", "confidence", "action", "final_target", "transform", "expression")
 
 
+def _named(d: DataFrame, names: dict[str, str], column: str) -> DataFrame:
+    """Rows of the given columns with a value each."""
+    pick = F.create_map(*[F.lit(x) for p in names.items() for x in p])
+    return d.where(F.col("column_name").isin(list(names))).select(*mapping.KEYS, F.element_at(pick, F.col("column_name")).alias(column))
+
+
+def map_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions, overrides, supplied expressions and suppression on the best fields."""
+    fields = target_tables(spark, sf_dir)
+    best = settled(mapping.with_transform(mapping.best_field(_scored(spark, sf_dir))))
+    suggested = _named(best, {"c_custkey": "customer_id", "s_suppkey": "no_such_field", "INS_NM": "policy_type", "POL_NO": "policy_number"}, "s_target").withColumn("s_confidence", F.lit(0.8))
+    merged = mapping.merge_suggestions(best, suggested, fields)
+    merged = mapping.merge_overrides(merged, _named(best, {"ISO_DT": "end_date", "c_name": "None"}, "o_target"))
+    merged = mapping.repair_expressions(merged, _named(best, {"ISO_DT": "to_date(ISO_DT)", "INS_NM": "upper(other)", "PREM_AMT": "PREM_AMT * 2"}, "new_expression"))
+    merged = mapping.suppress(merged, best.select("source_name", "table_name").distinct().withColumn("target", F.lit("policy_status")))
+    low = mapping.low_confidence(merged).select(*mapping.KEYS, F.lit(True).alias("low"))
+    return merged.join(low, mapping.KEYS, "left").select("table_name", "column_name", "target", "confidence", "method", "expression", F.coalesce("low", F.lit(False)).alias("low"))
+
+
+def map_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contested targets, as the first of two near ties is decided for the second."""
+    d = settled(_contended(spark, sf_dir).withColumn("confidence", F.bround("confidence", 1)))
+    again = settled(mapping.contention(d.drop("action", "final_target")))
+    open_ = mapping.contests(again)
+    decisions = open_.select("source_name", "table_name", "target", F.get("columns", F.lit(1)).alias("winner"))
+    return mapping.decide_contests(again, decisions).where("action <> 'unmapped'").select("table_name", "column_name", "target", "action", "final_target")
+
+
 def map_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M21."""
     tables = profiled(spark, sf_dir).select("source_name", "table_name", "schema_key").distinct()
@@ -521,7 +566,7 @@ def review_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.upsert(h, new, ["id"], "reviewer_action")
 
 
-_HELPERS = {"read", "legacy", "staging", "cells", "profile_input", "profiled", "target_tables", "history", "tool_calls", "target_fields", "settled", "reduce", "queries"}
+_HELPERS = {"read", "legacy", "staging", "cells", "profile_input", "profiled", "target_tables", "history", "tool_calls", "target_fields", "settled", "read_text", "new_folder", "reduce", "queries"}
 
 
 def queries() -> dict:

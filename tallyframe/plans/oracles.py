@@ -284,6 +284,10 @@ prefixed as (select c.*, case when len(samples) > 0 and 2 * len(found) >= len(sa
   from contended c join (select *, list_filter(list_transform(samples, lambda s: regexp_extract(s, '^([A-Z]{{2,5}}-)', 1)), lambda p: p <> '') as found from samples) using (table_name, column_name)),
 kinds as (select *, {_TRANSFORM.format("target")} as transform, '`' || column_name || '`' as q from prefixed)
 select table_name, column_name, target, confidence, action, final_target, transform, {_EXPRESSION} as expression from kinds""",
+        "map_contests": f"""{MAPPED}, {BEST}, rounded as (select * exclude (confidence), round_even(confidence, 1) as confidence from best), {CONTENDED.replace('from best', 'from rounded')},
+open_ as (select source_name, table_name, target from contended where action = 'contested')
+select c.table_name, c.column_name, c.target, case when o.target is not null and action in ('contested', 'demoted') then case when place = 2 then 'kept' else 'demoted' end else action end as action, case when o.target is not null and action in ('contested', 'demoted') then case when place = 2 then c.target end else final_target end as final_target
+from contended c left join open_ o using (source_name, table_name, target) where action <> 'unmapped'""",
         "map_missing": f"{MAPPED}, {BEST}, {CONTENDED} select t.table_name, f.field from (select distinct table_name, schema_key from columns_) t join fields f using (schema_key) where required and not exists (select 1 from contended c where c.table_name = t.table_name and c.final_target = f.field)",
         "drift_changes": _DRIFT,
         "cluster_pairs": f"{CLUSTER} select {ends}, round_even(name, 4) as name, round_even(overlap, 4) as overlap, round_even(score, 4) as score from pairs",

@@ -69,7 +69,7 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def fingerprint(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:

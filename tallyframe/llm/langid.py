@@ -53,7 +53,7 @@ RANGES = [
     (0x1100, 0x11FF, "hangul"), (0x3130, 0x318F, "hangul"), (0xAC00, 0xD7AF, "hangul"),
     (0x3040, 0x30FF, "kana"), (0x31F0, 0x31FF, "kana"), (0x3400, 0x4DBF, "han"), (0x4E00, 0x9FFF, "han"), (0xF900, 0xFAFF, "han"),
 ]
-_PLANE = 0x20000  # code points from here on are Han
+_PLANE, _HAN_END = 0x20000, 0x40000  # code points from the first up to the second are Han
 
 
 @lru_cache(1)
@@ -84,7 +84,7 @@ class Letters:
         self.doc_start = ends[chunk.starts]
         small = np.minimum(points, _PLANE - 1)
         kind = script[small]
-        kind[points >= _PLANE] = SCRIPTS.index("han")
+        kind[(points >= _PLANE) & (points < _HAN_END)] = SCRIPTS.index("han")
         n = len(points)
         new = np.zeros(n + 1, bool)  # a word begins or a gap follows one
         new[1:n] = kind[1:] != kind[:-1]

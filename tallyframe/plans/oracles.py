@@ -105,7 +105,7 @@ def _fields() -> str:
 
 CLEAN = "trim(replace(lower(regexp_replace({0}, '^_+', '')), '_', ' '))"
 SCORED = f"""{_fields()},
-columns_ as (select *, case when table_name in ('orders', 'events') then 'customer_table' else 'policy' end as schema_key, case when table_name = 'legacy' then 'pasl' else 'shop' end as source_name from profile where not regexp_matches(column_name, '(?i)^_CDC_')),
+columns_ as (select *, case when table_name in ('orders', 'events') then 'customer_table' else 'policy' end as schema_key, case when table_name = 'legacy' then 'oldsys' else 'shop' end as source_name from profile where not regexp_matches(column_name, '(?i)^_CDC_')),
 names_ as (select schema_key, field, {CLEAN.format('n')} as b from (select schema_key, field, unnest(names) as n from fields)),
 lefts as (select distinct column_name, schema_key, {CLEAN.format('column_name')} as a from columns_),
 joined as (select distinct l.column_name, l.schema_key, l.a, n.field, n.b from lefts l join names_ n using (schema_key)),
@@ -196,10 +196,10 @@ both_ as (select coalesce(o.column_name, n.column_name) as name, o.inferred_type
 removed as (select name as old_name, old_type, lower(name) as a from both_ where new_type is null), added as (select name as new_name, new_type, lower(name) as b from both_ where old_type is null),
 sim as (select *, {ratio('a', 'b')} as s from removed, added),
 renamed as (select * from (select * from sim where s >= 0.85) qualify row_number() over (partition by old_name order by s desc, new_name) = 1 and row_number() over (partition by new_name order by s desc, old_name) = 1)
-select 'pasl' as source_name, 'renamed' as kind, old_name, new_name, old_type, new_type, round_even(s, 3)::double as similarity, false as breaking from renamed
-union all select 'pasl', 'removed', old_name, null, old_type, null, null, true from removed where old_name not in (select old_name from renamed)
-union all select 'pasl', 'added', null, new_name, null, new_type, null, false from added where new_name not in (select new_name from renamed)
-union all select 'pasl', 'type_changed', name, name, old_type, new_type, null, true from both_ where old_type <> new_type"""
+select 'oldsys' as source_name, 'renamed' as kind, old_name, new_name, old_type, new_type, round_even(s, 3)::double as similarity, false as breaking from renamed
+union all select 'oldsys', 'removed', old_name, null, old_type, null, null, true from removed where old_name not in (select old_name from renamed)
+union all select 'oldsys', 'added', null, new_name, null, new_type, null, false from added where new_name not in (select new_name from renamed)
+union all select 'oldsys', 'type_changed', name, name, old_type, new_type, null, true from both_ where old_type <> new_type"""
 
 
 _GRID = "grid as (select (i * (43 - i) / 2 + j)::int as point, i / 20 as wa, j / 20 as wb, (20 - i - j) / 20 as wc from range(21) a(i), range(21) b(j) where i + j <= 20)"

@@ -177,7 +177,7 @@ def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile rows ready for mapping: two sources, policy names on both."""
     c = cells(spark, sf_dir)
     rows = profile.profile(c).join(profile.samples(c), ["table_name", "column_name"], "left")
-    rows = rows.withColumn("source_name", F.when(F.col("table_name") == "legacy", "pasl").otherwise("shop")).withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+    rows = rows.withColumn("source_name", F.when(F.col("table_name") == "legacy", "oldsys").otherwise("shop")).withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
     return settled(rows.withColumn("schema_key", F.when(F.col("table_name").isin("orders", "events"), "customer_table").otherwise("policy")))
 
 
@@ -259,7 +259,7 @@ def _two_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     x = legacy(spark, sf_dir)
     y = x.withColumnsRenamed({"POL_STAT_CD": "POL_STATUS_CD", "WINBK_FLG": "WINBK_FLAG", "INS_NM": "HOLDER"}).drop("CLAIMS_IND").withColumn("SIGN_DT", F.lit("unknown")).withColumn("BATCH_NO", F.lit("7"))
     pos = F.substring("POL_NO", 5, 8).cast("bigint")
-    make = lambda d: profile.profile(profile.melt(d, pos, "legacy")).withColumn("source_name", F.lit("pasl"))
+    make = lambda d: profile.profile(profile.melt(d, pos, "legacy")).withColumn("source_name", F.lit("oldsys"))
     return make(x), make(y)
 
 
@@ -402,7 +402,7 @@ def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of 231 weight points on the legacy extract."""
     s = _scored(spark, sf_dir).where("table_name = 'legacy'")
     truth = spark.createDataFrame([("POL_NO", "policy_id", True), ("EFF_DT", "start_date", True), ("PREM_AMT", "premium_amount", True), ("DEDUCT", "policy_deductible", False), ("WINBK_FLG", "win_back_eligible", False), ("POL_STAT_CD", "policy_status", False), ("INS_NM", None, False), ("ISO_DT", None, False), ("SIGN_DT", None, False), ("CLAIMS_IND", None, False), ("POL_NO_SEQ", None, False)], "column_name string, truth string, is_hard boolean")
-    labels = truth.select(F.lit("pasl").alias("source_name"), F.lit("legacy").alias("table_name"), "column_name", "truth", "is_hard", F.lit(None).cast("double").alias("confidence_floor"), F.lit(None).cast("string").alias("check"))
+    labels = truth.select(F.lit("oldsys").alias("source_name"), F.lit("legacy").alias("table_name"), "column_name", "truth", "is_hard", F.lit(None).cast("double").alias("confidence_floor"), F.lit(None).cast("string").alias("check"))
     measured = tuning.grid_metrics(s, tuning.simplex(spark), labels)
     return tuning.ranked_points(measured, 10).select("point", "tp", "fp", "fn", "wrong", "f1", "mean_loss")
 

@@ -55,6 +55,11 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFr
     return F.broadcast(df) if rows <= limit else df
 
 
+def beside_wide_rows(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
+    """The same for a narrow table joined to wide rows: beyond ``limit`` it is hashed, so that the wide rows aren't sorted."""
+    return F.broadcast(df) if rows <= limit else df.hint("shuffle_hash")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star.
 

@@ -34,7 +34,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, materialize
+from .common import WORD, beside_wide_rows, broadcast_if_small, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = 20240611
@@ -154,8 +154,15 @@ def plan_mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "te
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixture itself: the input's columns, a row for each copy, dealt to shards and shuffled there."""
-    planned = plan_mix(docs, id_col=id_col, keep=docs.columns, **options)
-    copies = planned.select(*[F.col(f"__{c}").alias(c) for c in docs.columns if c not in ("shard", "copy")], F.posexplode("shards").alias("copy", "shard"))
+    own = [c for c in docs.columns if c not in ("shard", "copy")]
+    narrow = materialize(plan_mix(docs, id_col=id_col, **options).select(F.col(id_col).alias("_key"), "shards"), "shards")
+    head = narrow.agg(F.count("*").alias("n"), F.count_distinct("_key").alias("ids")).first()
+    if head["n"] == head["ids"]:  # each id once: texts don't go through the plan
+        planned = docs.join(beside_wide_rows(narrow, head["n"]), F.col(id_col) == F.col("_key"))
+        copies = planned.select(*own, F.posexplode("shards").alias("copy", "shard"))
+    else:
+        planned = plan_mix(docs, id_col=id_col, keep=own, **options)
+        copies = planned.select(*[F.col(f"__{c}").alias(c) for c in own], F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64(F.lit(SEED + 1), F.col("shard"), F.col(id_col), F.col("copy"))
     return copies.repartition("shard").sortWithinPartitions("shard", order)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bpe, langid, minhash, mixing, secret_scan
-from tallyframe.llm.common import materialize
+from tallyframe.llm.common import beside_wide_rows, materialize
 
 ORACLE_SQL = None
 
@@ -30,9 +30,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays."""
-    kept = materialize(minhash.near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("c")), "kept")
-    out = docs.join(kept.select("k"), docs["doc_id"].eqNullSafe(F.col("k")), "left_semi")
-    if not kept.where("c > 1 and k is not null").isEmpty():  # rows that repeat an id are copies too
+    found = materialize(minhash.near_duplicates(docs).select("doc_id", "kept"), "found")
+    gone = materialize(found.where("not kept").select("doc_id").distinct(), "gone")
+    out = docs.join(beside_wide_rows(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    if not found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        # rows that repeat an id are copies too
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
     return out
 

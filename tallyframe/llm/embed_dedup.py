@@ -1,22 +1,27 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-In each of ``passes`` the vectors are put in lexicographic order of a number of
-``BITS`` concatenated random hash bits (signs of projections) and each is compared
-with its ``window`` neighbours; pairs at the threshold or above are united across
-passes by alternating large-star and small-star.  The order is Spark's range
-partitioning and sort, by (pass, hash, id), so equal hashes spread over
+In each pass the vectors are put in lexicographic order of a number of ``BITS``
+concatenated random hash bits (signs of projections), cut into blocks, and each
+block is compared with itself and the next one by one matrix product, so every
+vector meets at least ``window`` neighbours on both sides.  The order is Spark's
+range partitioning and sort, by (pass, hash, id), so equal hashes spread over
 partitions; the pairs that straddle a partition's edge are left to other passes.
 
+How many passes there are is not fixed.  Rounds of ``passes`` passes, each with
+planes of its own, go on until ``IDLE`` rounds in a row join no two components:
+vectors that lie densely (one topic) agree in many bits, so that a pass finds
+fewer of their pairs, and get the rounds that they need.  The window grows with
+the square root of the number of vectors.  Links joined so far are united across
+passes by alternating large-star and small-star.
+
 Links are then counted exactly within each component: its vectors are dealt to
 blocks of about ``BLOCK`` and every two blocks are compared by one matrix
 product, which returns counts and no pairs.  So a group larger than the window
 loses no link between its members.  Vectors with equal components are one class
 and are counted with their number.
 
-A pair at cosine 0.95 agrees in a bit with probability 0.90, at 0.98 with 0.94;
-among n vectors a pass finds it if it agrees in the first log2(n / window) bits,
-at 0.95 and n = 50,000 with 0.31: 16 passes miss one pair in 400, and fewer of
-those whose ends have other neighbours in common.
+What is found is not certain: a pair is missed if all rounds miss it and its ends
+aren't joined by others.  The README has the recall against brute force.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, nor do vectors of different length; a null id
@@ -27,6 +32,7 @@ result; further columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,36 +46,48 @@ from .textbytes import runs
 BITS = 64
 BLOCK = 1024
 SEED = 4127
+#: Rounds in a row without a new link after which the passes end.
+IDLE = 2
+
+
+def _planes(dim: int, passes: int, turn: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([SEED, dim, turn])).standard_normal((dim, passes * BITS))
+
 
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        units: list[bytes | None] = []
+        for cell in batch.column(1):
+            v = None
+            if cell.is_valid and cell.values.null_count == 0 and len(cell.values):
+                v = cell.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if np.isfinite(v).all() and (top := np.abs(v).max()) > 0:
+                    v = v / top  # no overflow in the norm
+                    v /= np.sqrt(v @ v)
+                else:
+                    v = None
+            units.append(None if v is None else v.tobytes())
+        digests = [None if u is None else hashlib.blake2b(u, digest_size=16).digest() for u in units]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary()), pa.array(digests, pa.binary())], names=["id", "unit", "digest"])
 
-def _planes(dim: int, passes: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64([SEED, dim])).standard_normal((dim, passes * BITS))
 
+def _deal(passes: int, turn: int):
+    """Each vector once for each pass of the round, with its hash there."""
 
-def _unit(passes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            units: list[bytes | None] = []
-            hashes: list[np.ndarray | None] = []
-            for cell in batch.column(1):
-                v = None
-                if cell.is_valid and cell.values.null_count == 0 and len(cell.values):
-                    v = cell.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                    if np.isfinite(v).all() and (top := np.abs(v).max()) > 0:
-                        v = v / top  # no overflow in the norm
-                        v /= np.sqrt(v @ v)
-                    else:
-                        v = None
-                units.append(None if v is None else v.tobytes())
-                if v is None:
-                    hashes.append(None)
-                else:
-                    if len(v) not in planes:
-                        planes[len(v)] = _planes(len(v), passes)
-                    hashes.append(np.packbits(v @ planes[len(v)] > 0).view(">i8").astype(np.int64))
-            digests = [None if u is None else hashlib.blake2b(u, digest_size=16).digest() for u in units]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary()), pa.array(digests, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "unit", "digest", "hashes"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                batch = whole.slice(i, 2048)
+                size = np.array([len(u) for u in batch.column(1).to_pylist()])
+                for n in np.unique(size).tolist():
+                    part = batch.take(pa.array(np.flatnonzero(size == n)))
+                    if n not in planes:
+                        planes[n] = _planes(n // 8, passes, turn)
+                    hashes = np.packbits(_matrix(part.column(1)) @ planes[n] > 0, axis=1).view(">i8").astype(np.int64)
+                    for k in range(passes):
+                        same = [pa.array(np.full(len(part), x, np.int32)) for x in (k, n)]
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(hashes[:, k].copy()), *part.columns], names=["pass", "dim", "hash", "id", "unit"])
 
     return run
 
@@ -79,25 +97,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _neighbours(threshold: float, window: int):
-    """Edges (a, b) from each vector to the smallest of those it is joined with in a stretch of the order."""
+    """Edges (a, b) from each vector of a block to the smallest of those it is joined with there."""
 
     def stretch(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
-        for d in range(1, min(window, len(ids) - 1) + 1):
-            i = np.flatnonzero(np.einsum("ij,ij->i", v[d:], v[:-d]) >= threshold)
-            left.append(i)
-            right.append(i + d)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        label = ids.copy()
-        while len(i):
-            low = np.minimum(label[i], label[j])
-            before = label.copy()
-            np.minimum.at(label, i, low)
-            np.minimum.at(label, j, low)
-            if (label == before).all():
-                break
-        joined = label != ids
-        return ids[joined], label[joined]
+        for s in range(0, len(ids), window):
+            block = v[s : s + 2 * window]
+            near = block[:window] @ block.T >= threshold
+            at = np.arange(len(near))
+            near[at, at] = False
+            rows = np.flatnonzero(near.any(axis=1))
+            if not len(rows):
+                continue
+            near, every = near[rows], ids[s : s + len(block)]
+            label = every.copy()
+            while True:
+                low = np.minimum(np.where(near, label, np.iinfo(np.int64).max).min(axis=1), label[rows])
+                after = label.copy()
+                np.minimum.at(after, rows, low)
+                np.minimum(after, np.where(near, low[:, None], np.iinfo(np.int64).max).min(axis=0), out=after)
+                if (after == label).all():
+                    break
+                label = after
+            joined = label != every
+            left.append(every[joined])
+            right.append(label[joined])
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: pa.RecordBatch | None = None
@@ -135,20 +160,32 @@ def _count(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, passes: int = 16, window: int = 32, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, passes: int = 8, window: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: ``n_links``, ``component_id`` and ``kept``."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    units = materialize(rows.mapInArrow(_unit(passes), "id long, unit binary, digest binary, hashes array<long>"), "units")
+    units = materialize(rows.mapInArrow(_unit, "id long, unit binary, digest binary"), "units")
     good = units.where("digest is not null and id is not null")
     classes = good.groupBy("digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
     ranked = materialize(good.select("id", "digest").join(classes, "digest").select("id", "rep", "copies").distinct(), "classes")
     firsts = good.join(ranked.where("id = rep").select("id", "copies").dropDuplicates(["id"]), "id").dropDuplicates(["id"])
-    firsts = materialize(firsts.select("id", "copies", "unit", "hashes"), "firsts")
-
-    dealt = firsts.select("id", "unit", F.posexplode("hashes").alias("pass", "hash")).withColumn("dim", F.octet_length("unit"))
-    dealt = dealt.select("pass", "dim", "hash", "id", "unit").repartitionByRange("pass", "dim", "hash", "id").sortWithinPartitions("pass", "dim", "hash", "id")
-    edges = materialize(dealt.mapInArrow(_neighbours(threshold, window), "a long, b long").distinct(), "pairs")
-    nodes = materialize(connected_components(edges), "components") if not edges.isEmpty() else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    firsts = materialize(firsts.select("id", "copies", "unit"), "firsts")
+
+    reach = max(window, min(4096, 2 * math.isqrt(firsts.count())))
+    nodes, turn, idle = None, 0, 0
+    while idle < IDLE:
+        dealt = firsts.select("id", "unit").mapInArrow(_deal(passes, turn), "pass int, dim int, hash long, id long, unit binary")
+        dealt = dealt.repartitionByRange("pass", "dim", "hash", "id").sortWithinPartitions("pass", "dim", "hash", "id")
+        edges = materialize(dealt.mapInArrow(_neighbours(threshold, reach), "a long, b long").distinct(), "pairs")
+        if nodes is not None:  # links between what is not yet joined
+            a, b = (nodes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+            edges = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+            edges = materialize(edges, "joining")
+        turn, idle = turn + 1, idle + 1 if edges.isEmpty() else 0
+        if not idle:
+            known = edges if nodes is None else edges.unionByName(nodes.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            nodes = materialize(connected_components(known), "components")
+    if nodes is None:
+        nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     sizes = nodes.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     inside = firsts.join(nodes.withColumnRenamed("node", "id"), "id").join(sizes, "component").select("component", "id", "copies", "unit", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))

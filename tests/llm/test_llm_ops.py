@@ -247,6 +247,22 @@ def test_embeddings(spark, monkeypatch):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_one_dense_topic(spark):
+    from tallyframe.llm import embed_dedup
+
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(math.sqrt(0.88) * unit(rng.standard_normal(64)) + math.sqrt(0.12) * unit(rng.standard_normal((12_000, 64))))
+    v = np.concatenate([base, unit(base[:300] + 0.31 * unit(rng.standard_normal((300, 64))))])
+    near = np.zeros(len(v), np.int64)
+    for i in range(0, len(v), 2000):
+        near[i : i + 2000] = (v[i : i + 2000] @ v.T >= 0.95).sum(axis=1) - 1
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(rows).collect()}
+    assert near.sum() > 400 and sum(got[i] for i in range(len(v))) >= 0.98 * near.sum()
+    assert all(got[i] <= near[i] for i in range(len(v)))
+
+
 def test_languages(spark, docs, nothing):
     from tallyframe.llm.langid import identify, predict, train, viterbi
 

@@ -34,7 +34,7 @@ BITS = 18
 BUCKETS = 1 << BITS
 #: Nats that a change of language between two words costs.
 SWITCH = 12.0
-#: Share of a script's letters from which a language is a candidate for it.
+#: Share of a language's own letters in a script from which it is a candidate for that script.
 CANDIDATE = 0.001
 SMOOTH = 0.5
 MAX_LANGUAGES = 256
@@ -150,7 +150,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
         sums[rows["k"].to_numpy(), rows["b"].to_numpy()] = rows["n"].to_numpy()
     grams, scripts = sums[:, :BUCKETS], sums[:, BUCKETS:].astype(float)
     logp = np.log((grams + SMOOTH) / (grams.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)).astype(np.float32)
-    allowed = scripts > CANDIDATE * np.maximum(scripts.sum(axis=0), 1)
+    allowed = scripts > CANDIDATE * np.maximum(scripts.sum(axis=1, keepdims=True), 1)
     allowed[:, ~allowed.any(axis=0)] = True
     return {"langs": langs, "logp": np.ascontiguousarray(logp.T), "allowed": np.ascontiguousarray(allowed.T)}
 

@@ -283,6 +283,18 @@ def test_languages(spark, docs, nothing):
     assert viterbi(scores, np.array([6]), 12.0).tolist() == [0, 0, 0, 1, 1, 1]
 
 
+def test_a_rare_language_is_found(spark):
+    from tallyframe.llm.langid import predict, train
+
+    random.seed(5)
+    kinds = {"aa": "banulo", "rr": "zxqwkj"}
+    text = lambda k: " ".join("".join(random.choices(kinds[k], k=6)) for _ in range(12))
+    rows = [(i, text("rr" if i == 0 else "aa"), "rr" if i == 0 else "aa") for i in range(5000)]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = spark.createDataFrame([(1, text("rr")), (2, text("aa"))], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in predict(new, model).collect()} == {1: "rr", 2: "aa"}
+
+
 def test_mixing(spark, docs, nothing):
     from tallyframe.llm import mixing
 

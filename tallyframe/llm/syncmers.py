@@ -8,11 +8,12 @@ wherever it stands.  Two in five k-mers are anchors, and any run of five k-mers
 holds one.  A text without anchors (fewer than ``K`` words, or a few more) has
 one anchor for the whole sequence; a text without words has none.
 
-The fingerprint keeps the ``SKETCH`` smallest distinct anchor hashes (all of
-them, if there are fewer), in order, as eight hexadecimal digits each.  The
-likeness of two fingerprints is the share of common anchors among the smallest
-``SKETCH`` of both together: the Jaccard similarity of the anchor sets, exact up
-to that size and an estimate with a deviation below 0.05 beyond.
+The fingerprint is the whole sequence of anchors in text order, as eight
+hexadecimal digits each, and the anchors' word positions stand beside it.
+``likeness_edited`` and ``likeness_next`` are the exact Jaccard similarities of
+the whole anchor sets.  ``near_edited`` and ``near_next`` estimate them from the
+``SKETCH`` smallest distinct anchors of both together: exact up to that size,
+with a deviation of about 0.05 beyond.
 
 Everything is a DataFrame expression; :func:`anchors` gives the anchors with
 their positions for positional matching.
@@ -62,17 +63,24 @@ def anchors(docs: DataFrame, *, text_col: str = "text", out_col: str = "anchors"
     return _with_anchors(text, "_t", out_col, positions=True).drop("_t")
 
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the smallest distinct anchors of ``text``, in order, as array<int> ``out``."""
-    df = _with_anchors(df, text, "_a")
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct("_a")), 1, SKETCH)).drop("_a")
+def _set(anchors: Column) -> Column:
+    return F.sort_array(F.array_distinct(anchors))
 
 
-def fingerprint(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
+def fingerprint(hashes: Column) -> Column:
+    return F.array_join(F.transform(hashes, lambda x: F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
+    """The Jaccard similarity of two whole anchor sets."""
+    common = F.size(F.array_intersect(a, b))
+    both = F.size(a) + F.size(b) - common
+    return F.when(both == 0, F.lit(1.0)).otherwise(common / both)
+
+
+def near(a: Column, b: Column) -> Column:
+    """The same, estimated from the smallest anchors of two sorted sets."""
+    a, b = F.slice(a, 1, SKETCH), F.slice(b, 1, SKETCH)
     both = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
     common = F.size(F.array_intersect(F.array_intersect(a, b), both))
     return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.size(both))
@@ -99,10 +107,12 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     The edited text is the text with its last third (of code points, rounded
     down) replaced by the first as many of the next document, in descending
     order of id.  Returns the id, ``n_chars``, ``edited_sha256``,
-    ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and ``near_next``.
+    ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``,
+    ``likeness_edited``, ``likeness_next``, ``words`` and ``edited_words`` (the
+    positions of the fingerprints' anchors).
 
     The texts are shuffled by id once; what a document gives to the one before
-    it (the passage it needs and the sketch) once more.
+    it (the passage it needs and its anchor set) once more.
     """
     given_rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = given_rows.where("id is not null")
@@ -111,24 +121,28 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     repeated = not ids.where("c > 1").isEmpty()
     order = materialize(next_in_order(ids.select("id", "cut")), "next").withColumnRenamed("id", "pred")
 
-    full = with_sketch(base, "text", "sketch")
-    given = full.join(order, full["id"] == order["next"]).select("pred", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("head"), F.col("sketch").alias("next_sketch"), *([F.xxhash64("text").alias("th")] if repeated else []))
+    ahead = _with_anchors(base.join(order, base["id"] == order["next"]).drop("next"), "text", "_a")  # made behind the shuffle that both joins use
+    given = ahead.withColumn("next_set", _set(F.col("_a"))).select("pred", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("head"), "next_set", *([F.xxhash64("text").alias("th")] if repeated else []))
     if repeated:
-        given = given.groupBy("pred").agg(F.min_by(F.struct("head", "next_sketch"), "th").alias("s")).select("pred", "s.head", "s.next_sketch")
-    rows = full.join(given, full["id"] == given["pred"]).drop("pred")
-    nameless = with_sketch(given_rows.where("id is null"), "text", "sketch")
-    rows = rows.unionByName(nameless, allowMissingColumns=True)
+        given = given.groupBy("pred").agg(F.min_by(F.struct("head", "next_set"), "th").alias("s")).select("pred", "s.head", "s.next_set")
+    rows = base.join(given, base["id"] == given["pred"]).drop("pred")
+    rows = rows.unionByName(given_rows.where("id is null"), allowMissingColumns=True)
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.coalesce(F.substring(F.col("head"), F.lit(1), cut), F.lit(""))))
-    rows = with_sketch(rows.drop("text", "head"), "edited", "edited_sketch")
-    empty = F.array().cast("array<int>")
+    rows = _with_anchors(rows.drop("head"), "text", "own", positions=True).drop("text")
+    rows = _with_anchors(rows, "edited", "other", positions=True).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    rows = rows.withColumn("a", _set(F.col("own.hash"))).withColumn("b", _set(F.col("other.hash"))).withColumn("c", F.coalesce("next_set", F.array().cast("array<int>")))
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("sketch")).alias("fingerprint"),
-        fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.coalesce("next_sketch", empty)).alias("near_next"),
+        "edited_sha256",
+        fingerprint(F.col("own.hash")).alias("fingerprint"),
+        fingerprint(F.col("other.hash")).alias("edited_fingerprint"),
+        near(F.col("a"), F.col("b")).alias("near_edited"),
+        near(F.col("a"), F.col("c")).alias("near_next"),
+        likeness(F.col("a"), F.col("b")).alias("likeness_edited"),
+        likeness(F.col("a"), F.col("c")).alias("likeness_next"),
+        F.col("own.word").alias("words"),
+        F.col("other.word").alias("edited_words"),
     )

@@ -178,6 +178,21 @@ def test_syncmers(spark, docs, nothing):
     assert len(set(a) - set(b)) <= 1 and all(b[h] - a[h] == 2 for h in set(a) & set(b))
 
 
+def test_a_short_passage_of_two_long_texts_counts(spark):
+    from tallyframe.llm.syncmers import anchors, compare_with_edits
+
+    text = lambda p, n: " ".join(f"{p}{k * 7919 % 100003}" for k in range(n))
+    shared = text("s", 60)
+    d = spark.createDataFrame([(2, f"{text('a', 8000)} {shared} {text('b', 2000)}"), (1, f"{shared} {text('c', 10000)}")], "doc_id long, text string")
+    whole = {r.doc_id: [(x.word, x.hash & 0xFFFFFFFF) for x in r.anchors] for r in anchors(d).collect()}
+    sets = {k: {h for _, h in v} for k, v in whole.items()}
+    want = len(sets[1] & sets[2]) / len(sets[1] | sets[2])
+    for r in compare_with_edits(d).collect():
+        assert [r.fingerprint[k : k + 8] for k in range(0, len(r.fingerprint), 8)] == [f"{h:08X}" for _, h in whole[r.doc_id]]
+        assert r.words == [w for w, _ in whole[r.doc_id]]
+        assert math.isclose(r.likeness_next, want) and want > 0
+
+
 def test_closed_syncmers_by_hand(spark):
     from tallyframe.llm.syncmers import anchors
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and the five ASCII controls 9 to 13.
@@ -19,23 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` as the cluster names it; only where it is unset (a
-    local session, as in tests) a folder of our own is made and set.
+    ``spark.checkpoint.dir`` as the cluster names it; only in a local session
+    that leaves it unset (as in tests) a folder of our own is made and set.  A
+    cluster without it is refused: a machine-local folder would lose rows there.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tallyframe.shared.dir", "")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("tallyframe.shared.dir", base)
     return f"{base}/tallyframe/{spark.sparkContext.applicationId}"
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, or ``name`` with underscores that no column of the frames has in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Let an Arrow batch hold at most about ``size`` bytes, unless the session asks for less."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > size:
+        spark.conf.set(key, str(size))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs a read, not the steps before.
+    Row groups are small, as a writer holds one in memory.
     """
+    bounded_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -60,6 +81,21 @@ def beside_wide_rows(df: DataFrame, rows: int, limit: int = 500_000) -> DataFram
     return F.broadcast(df) if rows <= limit else df.hint("shuffle_hash")
 
 
+def running_sum(df: DataFrame, by: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """Add the sum of ``value`` over the earlier rows of the same ``by``, in order.
+
+    Rows are dealt by range of (by, order), so a group of any size is spread;
+    only a row for each partition and group meets in a window of its own.
+    """
+    dealt = materialize(df.withColumn("_v", value).repartitionByRange(by, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    earlier = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(by, "_p").agg(F.sum("_v").alias("_t"))
+    parts = parts.select(F.col(by).alias("_by"), F.col("_p").alias("_q"), F.coalesce(F.sum("_t").over(earlier(by).orderBy("_p")), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_v").over(earlier(by, "_p").orderBy(*order)), F.lit(0))
+    joined = dealt.withColumn("_inside", inside).join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_q")))
+    return joined.withColumn(out, F.col("_before") + F.col("_inside")).drop("_v", "_p", "_by", "_q", "_before", "_inside")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star.
 

@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .textbytes import chunks, slices
+from .common import bounded_batches, fresh
+from .textbytes import chunks, pieces
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -39,7 +39,7 @@ CANDIDATE = 0.001
 SMOOTH = 0.5
 MAX_LANGUAGES = 256
 #: Bytes of text whose words a task labels at a time.
-PIECE = 12 << 20
+PIECE = 4 << 20
 
 # Unicode blocks by script, as (first, last, script).
 SCRIPTS = ["none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "devanagari", "bengali", "thai", "georgian", "hangul", "kana", "han", "other"]
@@ -117,12 +117,17 @@ def inner_mask(first: np.ndarray, total: int) -> np.ndarray:
     return mask
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Counts of trigram buckets and scripts by language, over all rows with both columns."""
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> dict:
+    """Counts of trigram buckets and scripts by language, over all rows with both columns.
+
+    A language costs a megabyte wherever the model is held; a label column with
+    more than ``max_languages`` values is refused as a whole, never cut.
+    """
+    bounded_batches(docs.sparkSession)
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().limit(max_languages + 1).collect())
+    if len(langs) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages if the executors' memory allows it")
     width = BUCKETS + len(SCRIPTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,73 +193,87 @@ def viterbi(scores: np.ndarray, count: np.ndarray, switch: float) -> np.ndarray:
     return labels
 
 
+def with_language(docs: DataFrame, model: dict, column: str, *, text_col: str = "text", with_spans: bool = False) -> DataFrame:
+    """The input with ``column``, a struct of ``lang_pred``, ``score`` and, if asked for, ``spans``.
+
+    Only the text travels to the Python workers and only the struct comes back.
+    Spans are array<struct<start,end,lang>> in code points, one for each run of
+    words with one label.
+    """
+    langs, logp, allowed = model["langs"], model["logp"], model["allowed"]
+
+    def label(texts: pa.Array) -> pa.StructArray:
+        spans: list[list[dict]] = []
+        held: list[Letters] = []
+        parts: list[np.ndarray] = []
+        for chunk in chunks(texts) if langs else []:
+            w = Letters(chunk)
+            if len(w.start):
+                s = np.add.reduceat(logp[w.bucket], w.first, axis=0)
+                s[~allowed[w.script]] = -1e5
+            else:
+                s = np.zeros((0, len(langs)), np.float32)
+            del w.bucket, w.first, w.script
+            held.append(w)
+            parts.append(s)
+        count = np.concatenate([w.count for w in held]) if held else np.zeros(len(texts), np.int64)
+        scores = np.concatenate(parts) if held else np.zeros((0, 1), np.float32)
+        parts.clear()
+        labels = viterbi(scores, count, SWITCH)
+        del scores
+        size = np.concatenate([w.end - w.start for w in held]) if held else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(count)), count)
+        letters = np.bincount(doc * max(1, len(langs)) + labels, weights=size, minlength=len(count) * max(1, len(langs))).reshape(len(count), -1)
+        total = letters.sum(axis=1)
+        best = letters.argmax(axis=1)
+        names = [langs[b] if t else "und" for b, t in zip(best, total, strict=True)]
+        shares = np.where(total > 0, letters.max(axis=1) / np.maximum(total, 1), 0.0)
+        columns = [pa.array(names, pa.string()), pa.array(shares, pa.float64())]
+        if with_spans:
+            at = 0
+            for w in held:
+                where = 0
+                for d, c in enumerate(w.count):
+                    own = labels[at : at + c]
+                    cut = np.flatnonzero(np.diff(own)) + 1
+                    begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [c]))
+                    base = w.doc_start[d]
+                    spans.append([{"start": int(w.start[where + i] - base), "end": int(w.end[where + j - 1] - base), "lang": langs[own[i]]} for i, j in zip(begin, end, strict=True)] if c else [])
+                    at += c
+                    where += c
+            columns.append(pa.array(spans or [[] for _ in names], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
+        return pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "spans"][: len(columns)])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.concat_arrays([label(part) for part in pieces(texts, PIECE)])
+
+    kind = "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * with_spans
+    bounded_batches(docs.sparkSession)
+    # not deterministic for Spark, so that a filter on the result doesn't run the model a second time
+    return docs.withColumn(column, F.arrow_udf(run, kind).asNondeterministic()(F.col(text_col)))
+
+
 def predict(docs: DataFrame, model: dict, *, keep: list[str] | None = None, text_col: str = "text", with_spans: bool = False) -> DataFrame:
     """``lang_pred`` and ``score`` of every text, and its ``spans`` if asked for.
 
     ``keep`` names the columns to carry along, the id by default; columns named
     like those three give way to them.
-
-    Spans are array<struct<start,end,lang>> in code points, one for each run of
-    words with one label.
     """
-    langs, logp, allowed = model["langs"], model["logp"], model["allowed"]
     made = ["lang_pred", "score", *["spans"] * with_spans]
     kept = [c for c in (["doc_id"] if keep is None else keep) if c not in made]
+    found = fresh("_found", docs)
+    return with_language(docs, model, found, text_col=text_col, with_spans=with_spans).select(*kept, *[F.col(f"{found}.{c}").alias(c) for c in made])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0, PIECE):
-            names, shares, spans = [], [], []
-            held: list[Letters] = []
-            parts: list[np.ndarray] = []
-            for chunk in chunks(batch.column(0)) if langs else []:
-                w = Letters(chunk)
-                if len(w.start):
-                    s = np.add.reduceat(logp[w.bucket], w.first, axis=0)
-                    s[~allowed[w.script]] = -1e5
-                else:
-                    s = np.zeros((0, len(langs)), np.float32)
-                del w.bucket, w.first, w.script
-                held.append(w)
-                parts.append(s)
-            count = np.concatenate([w.count for w in held]) if held else np.zeros(batch.num_rows, np.int64)
-            scores = np.concatenate(parts) if held else np.zeros((0, 1), np.float32)
-            parts.clear()
-            labels = viterbi(scores, count, SWITCH)
-            del scores
-            size = np.concatenate([w.end - w.start for w in held]) if held else np.zeros(0, np.int64)
-            doc = np.repeat(np.arange(len(count)), count)
-            letters = np.bincount(doc * max(1, len(langs)) + labels, weights=size, minlength=len(count) * max(1, len(langs))).reshape(len(count), -1)
-            total = letters.sum(axis=1)
-            best = letters.argmax(axis=1)
-            names = [langs[b] if t else "und" for b, t in zip(best, total, strict=True)]
-            shares = np.where(total > 0, letters.max(axis=1) / np.maximum(total, 1), 0.0)
-            columns = [*batch.columns[1:], pa.array(names, pa.string()), pa.array(shares, pa.float64())]
-            if with_spans:
-                at = 0
-                for w in held:
-                    where = 0
-                    for d, c in enumerate(w.count):
-                        own = labels[at : at + c]
-                        cut = np.flatnonzero(np.diff(own)) + 1
-                        begin, end = np.concatenate(([0], cut)), np.concatenate((cut, [c]))
-                        base = w.doc_start[d]
-                        spans.append([{"start": int(w.start[where + i] - base), "end": int(w.end[where + j - 1] - base), "lang": langs[own[i]]} for i, j in zip(begin, end, strict=True)] if c else [])
-                        at += c
-                        where += c
-                columns.append(pa.array(spans or [[] for _ in names], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
-
-    picked = docs.select(F.col(text_col).alias("_text"), *kept)
-    fields = [*picked.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    if with_spans:
-        span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])
-        fields.append(T.StructField("spans", T.ArrayType(span)))
-    return picked.mapInArrow(run, T.StructType(fields))
+
+def train_folds(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2) -> dict:
+    """The model of the rows whose crc32 of the id modulo ``folds`` is not ``held``."""
+    return train(docs.where(F.crc32(F.col(id_col).cast("string")) % folds != held), text_col=text_col, lang_col=lang_col)
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, keep: list[str] | None = None, with_spans: bool = False) -> DataFrame:
     """Learn from the rows whose crc32 of the id modulo ``folds`` is not ``held`` and predict all."""
     fold = F.crc32(F.col(id_col).cast("string")) % folds
-    model = train(docs.where(fold != held), text_col=text_col, lang_col=lang_col)
+    model = train_folds(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, folds=folds, held=held)
     out = predict(docs, model, keep=[id_col, *[c for c in keep or [] if c != id_col]], text_col=text_col, with_spans=with_spans)
     return out.withColumn("held_out", F.coalesce(fold == held, F.lit(False)))

@@ -54,7 +54,7 @@ BANDS, ROWS = 32, 4
 #: Minima of candidates whose lowest bits make up the signature for verification.
 SKETCH = 1024
 #: Members, and bytes of their sets, in a block of a key.
-BLOCK, BLOCK_BYTES = 1024, 32 << 20
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 
 _rng = np.random.Generator(np.random.PCG64(977))
 _A = (_rng.integers(0, 2**31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -263,8 +263,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, id_co
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     found = materialize(dealt.mapInArrow(_compare_blocks(percent, SKETCH - low), "a long, b long").distinct(), "links")
     labels = _relabel(labels, found)
+    for step in (signed, open_rows, candidates, rows):
+        discard(step)
     comps = labels.select(F.col("id").alias("node"), F.col("comp").alias("component"))
 
     out = members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -78,17 +78,15 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
         i = j
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of about ``size`` bytes of a text column; a longer text is alone in its piece."""
-    for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(lengths)
-        i = 0
-        while i < batch.num_rows:
-            before = ends[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(ends, before + size, "right")))
-            yield batch.slice(i, j - i)
-            i = j
+def pieces(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """The column in pieces of about ``size`` bytes; a longer text is alone in its piece."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < len(texts) or not i:
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield texts.slice(i, j - i)
+        i = j
 
 
 @dataclass

@@ -223,7 +223,7 @@ def with_language(docs: DataFrame, model: dict, column: str, *, text_col: str =
         del scores
         size = np.concatenate([w.end - w.start for w in held]) if held else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(count)), count)
-        letters = np.bincount(doc * max(1, len(langs)) + labels, weights=size, minlength=len(count) * max(1, len(langs))).reshape(len(count), -1)
+        letters = np.bincount(doc * max(1, len(langs)) + labels, weights=size, minlength=len(count) * max(1, len(langs))).reshape(len(count), max(1, len(langs)))
         total = letters.sum(axis=1)
         best = letters.argmax(axis=1)
         names = [langs[b] if t else "und" for b, t in zip(best, total, strict=True)]
@@ -246,7 +246,8 @@ def with_language(docs: DataFrame, model: dict, column: str, *, text_col: str =
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.concat_arrays([label(part) for part in pieces(texts, PIECE)])
+            done = [label(part) for part in pieces(texts, PIECE)]
+            yield pa.concat_arrays(done) if done else label(texts)
 
     kind = "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * with_spans
     bounded_batches(docs.sparkSession)

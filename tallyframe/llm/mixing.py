@@ -5,20 +5,22 @@ stops at ``max_epochs`` times its source's size and the excess is shared again
 by weight until none is above.
 
 Blocks.  A keyed hash permutes each source's documents and cuts the permutation
-into blocks of about ``block_words`` words.  A source is taken in whole passes
+into blocks of about ``block_words`` words and at most about ``block_rows``
+documents, so that a source of empty texts is cut too.  A source is taken in whole passes
 and one partial pass, which ends in the permuted order where its quota is met, so
 the words taken come within half a document of the target.
 
 Tree.  The blocks to draw, by source, are one vector of exact quotas.  A node of
 the tree halves its output shards and draws the left half's vector from the
-multivariate hypergeometric distribution, one block after the other by a keyed
-hash, so every level is one select of the nodes before and reruns agree.  At the
+multivariate hypergeometric distribution by keyed hashes, at a cost that doesn't
+depend on the number of blocks, so every level is one select of the nodes before and reruns agree.  At the
 leaves each shard owns a disjoint run of each source's permuted draws; within a
 shard the documents are ordered by another keyed hash.
 
 Only DataFrame functions run.  Documents move once, hashed by (source, block), so
 a source that holds most of the rows is spread like any other; the plan's own
-tables have a row for each block or for each shard and source.
+tables have a row for each block or for each shard and source, and what is
+numbered or added up along a source is dealt by range, never sorted in one task.
 
 Defined results: a null text has size 0; null is a source like any other and
 comes last; rows that repeat an id are documents of their own; a source without
@@ -34,10 +36,12 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, beside_wide_rows, broadcast_if_small, materialize
+from .common import WORD, beside_wide_rows, broadcast_if_small, fresh, materialize, running_sum
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = 20240611
+#: Marked items up to which a node draws them one by one, and attempts beyond.
+FEW, TRIES = 32, 80
 
 
 def word_count(text: Column) -> Column:
@@ -50,13 +54,13 @@ def _uniform(*parts) -> Column:
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
-    """One row per source: rank, source, source_size, target.
+    """One row per source: rank, source, source_size, rows, target.
 
     Sorted by the ratio of limit to weight, the sources at their limit are a
     prefix; the share of the rest follows from running sums.  One row for each
     source meets in a window.
     """
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
     ranked = sums.withColumn("rank", (F.row_number().over(by_name) - 1).cast("int")).withColumn("w", w).withColumn("limit", F.col("source_size") * max_epochs)
@@ -67,14 +71,48 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     ranked = ranked.withColumn("share", share)
     first = F.min(F.when(F.col("share") * F.col("w") <= F.col("limit"), F.struct((F.col("limit") / F.col("w")).alias("ratio"), F.col("rank").alias("at"), F.col("share").alias("share")))).over(every)
     ranked = ranked.withColumn("level", first["share"])
-    return ranked.select("rank", "source", "source_size", F.least(F.col("limit").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("limit").cast("double"))).alias("target"))
+    return ranked.select("rank", "source", "source_size", "rows", F.least(F.col("limit").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("limit").cast("double"))).alias("target"))
+
+
+def _log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series, shifted by 8 so that it is exact to about 1e-13 of its value."""
+    x = n + 9.0
+    series = (x - 0.5) * F.ln(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3)))
+    shift = F.ln((n + 1.0) * (n + 2.0) * (n + 3.0) * (n + 4.0)) + F.ln((n + 5.0) * (n + 6.0) * (n + 7.0) * (n + 8.0))
+    return series - shift
 
 
 def _hypergeometric(total: Column, marked: Column, draws: Column, *key) -> Column:
-    """How many of ``marked`` of ``total`` items are among ``draws`` of them: one item after the other."""
-    steps = F.when(marked > 0, F.sequence(F.lit(1).cast("long"), marked)).otherwise(F.array().cast("array<long>"))
+    """How many of ``marked`` of ``total`` items are among ``draws`` of them.
+
+    Few marked items are drawn one after the other.  Many are drawn by ratio of
+    uniforms: keyed points in the box around the square root of the
+    distribution, of which the first beneath it counts; more than half are, so
+    that ``TRIES`` of them all fail with a probability below 1e-20, whatever the
+    numbers.  So a node costs the same at every size.
+    """
+    no_longs = F.array().cast("array<long>")
+    steps = F.when((marked > 0) & (marked <= FEW), F.sequence(F.lit(1).cast("long"), marked)).otherwise(no_longs)
     hit = lambda x, j: (_uniform(*key, j) * (total - j + 1) < draws - x).cast("long")
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda x, j: x + hit(x, j))
+    one_by_one = F.aggregate(steps, F.lit(0).cast("long"), lambda x, j: x + hit(x, j))
+
+    share = marked / total
+    mode = F.floor((draws + 1.0) * (marked + 1.0) / (total + 2.0))
+    spread = F.sqrt(draws * share * (1 - share) * (total - draws) / F.greatest(total - 1, F.lit(1)) + 0.5)
+    weight = lambda k: -(_log_factorial(k) + _log_factorial(marked - k) + _log_factorial(draws - k) + _log_factorial(total - marked - draws + k))
+    low, high = F.greatest(F.lit(0.0), (draws + marked - total).cast("double")), F.least(draws, marked).cast("double")
+    box = spread * 1.7155277699214135 + 0.8989161620588988  # 2 sqrt(2/e) and 3 - 2 sqrt(3/e), as for any distribution of this kind
+
+    def attempt(found: Column, j: Column) -> Column:
+        u = _uniform(*key, F.lit("u"), j) + 1e-16
+        k = F.floor(draws * share + 0.5 + box * (_uniform(*key, F.lit("v"), j) - 0.5) / u)
+        inside = F.greatest(low, F.least(high, k))
+        fits = (k >= low) & (k <= high) & (2 * F.ln(u) <= weight(inside) - weight(mode))
+        return F.coalesce(found, F.when(fits, k.cast("long")))
+
+    tries = F.when(marked > FEW, F.sequence(F.lit(1), F.lit(TRIES))).otherwise(F.array().cast("array<int>"))
+    drawn = F.aggregate(tries, F.lit(None).cast("long"), attempt)
+    return F.when(marked <= FEW, one_by_one).when(draws <= 0, F.lit(0)).when(draws >= total, marked).otherwise(F.coalesce(drawn, mode.cast("long")))
 
 
 def _draw_source(level: int):
@@ -108,38 +146,38 @@ def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
     return nodes.select(F.col("node").alias("shard"), F.posexplode("q").alias("rank", "quota"))
 
 
-def plan_mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = 3, block_words: int = 1 << 18, shard_words: int = 1 << 22) -> DataFrame:
+def plan_mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = 3, block_words: int = 1 << 18, block_rows: int = 1 << 14, shard_words: int = 1 << 22) -> DataFrame:
     """One row per document: size, source_size, target, taken and ``shards``.
 
     ``shards`` lists the output shard of each copy of the document; ``taken`` is
     its size times their number.  ``keep`` names columns to carry along.
     """
-    held = [F.col(c).alias(f"__{c}") for c in keep or []]
+    held = [F.col(f"`{c}`").alias(f"__{c}") for c in keep or []]
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *held)
     sized = materialize(base, "sizes") if not held else base
     plan = materialize(targets(sized.select("source", "size"), weights, max_epochs), "targets")
     head = plan.agg(F.count("*").alias("k"), F.sum("source_size").alias("words")).first()
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    sources = plan.select("rank", F.col("source").alias("_s"), "source_size", "target", passes.alias("passes"), (F.col("target") - passes * F.col("source_size")).alias("part"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long").alias("blocks"))
+    sources = plan.select("rank", F.col("source").alias("_s"), "source_size", "target", passes.alias("passes"), (F.col("target") - passes * F.col("source_size")).alias("part"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words), F.ceil(F.col("rows") / block_rows)).cast("long").alias("blocks"))
 
     place = F.pmod(F.xxhash64(F.lit(SEED), F.col("id"), F.col("size")), F.lit(1 << 32))
     rows = sized.join(broadcast_if_small(sources, head["k"]), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("place", place)
     rows = rows.withColumn("block", F.floor(F.col("place") * F.col("blocks") / F.lit(float(1 << 32))).cast("long"))
     # a wide table is read again rather than written a second time
     totals = (rows.select("rank", "block", "size", "passes", "part")).groupBy("rank", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("part").alias("part"))
-    ahead = F.coalesce(F.sum("words").over(Window.partitionBy("rank").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = materialize(totals.withColumn("ahead", ahead), "blocks")
+    totals = materialize(running_sum(totals, "rank", ["block"], F.col("words"), "ahead"), "blocks")
 
     # draws: whole passes over all blocks, and the partial pass over those it reaches
     copies = F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("ahead") < F.col("part"), 0).otherwise(1))
     draws = totals.where((F.col("passes") > 0) | (F.col("ahead") < F.col("part"))).select("rank", "block", F.explode(copies).alias("copy"))
-    draws = draws.withColumn("draw", F.row_number().over(Window.partitionBy("rank").orderBy(_uniform(F.lit("draw"), "rank", "copy", "block"), "copy", "block")).cast("long"))
-    draws = materialize(draws, "draws")
+    draws = draws.withColumn("at", _uniform(F.lit("draw"), "rank", "copy", "block"))
+    draws = running_sum(draws, "rank", ["at", "copy", "block"], F.lit(1).cast("long"), "earlier")
+    draws = materialize(draws.select("rank", "block", "copy", (F.col("earlier") + 1).alias("draw")), "draws")
     shards = 1 << max(0, ceil(log2(max(1.0, (head["words"] or 0) / shard_words))))
     quotas = plan.select("rank").join(draws.groupBy("rank").agg(F.count("*").alias("quota")), "rank", "left").select("rank", F.coalesce("quota", F.lit(0)).cast("long").alias("quota"))
     leaves = materialize(split_quotas(quotas, shards), "leaves")
-    before = F.coalesce(F.sum("quota").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = leaves.withColumn("at", before).where("quota > 0").select("rank", "shard", F.explode(F.sequence(F.col("at") + 1, F.col("at") + F.col("quota"))).alias("draw"))
+    runs = running_sum(leaves, "rank", ["shard"], F.col("quota"), "at").where("quota > 0")
+    runs = runs.select("rank", "shard", F.explode(F.sequence(F.col("at") + 1, F.col("at") + F.col("quota"))).alias("draw"))
     dealt = draws.join(runs, ["rank", "draw"]).groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("dealt"))
     blocks = materialize(totals.select("rank", "block", "ahead").join(dealt, ["rank", "block"], "left"), "dealt")
 
@@ -149,20 +187,21 @@ def plan_mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "te
     times = F.col("passes") + partial.cast("long")
     mine = F.transform(F.filter(F.coalesce("dealt", F.array().cast("array<struct<copy:bigint,shard:bigint>>")), lambda d: d["copy"] < times), lambda d: d["shard"])
     rows = rows.withColumn("shards", mine)
-    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", *[F.col(f"__{c}") for c in keep or []])
+    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", *[F.col(f"`__{c}`") for c in keep or []])
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mixture itself: the input's columns, a row for each copy, dealt to shards and shuffled there."""
-    own = [c for c in docs.columns if c not in ("shard", "copy")]
-    narrow = materialize(plan_mix(docs, id_col=id_col, **options).select(F.col(id_col).alias("_key"), "shards"), "shards")
-    head = narrow.agg(F.count("*").alias("n"), F.count_distinct("_key").alias("ids")).first()
+    own = [c for c in docs.columns if c.lower() not in ("shard", "copy")]
+    key, places = fresh("_key", docs), fresh("_places", docs)
+    plan = lambda rows, keep=None: plan_mix(rows, id_col=id_col, source_col=source_col, text_col=text_col, keep=keep, **options)
+    narrow = materialize(plan(docs.select(*{id_col: 0, source_col: 0, text_col: 0})).select(F.col(id_col).alias(key), F.col("shards").alias(places)), "shards")
+    head = narrow.agg(F.count("*").alias("n"), F.count_distinct(key).alias("ids")).first()
     if head["n"] == head["ids"]:  # each id once: texts don't go through the plan
-        planned = docs.join(beside_wide_rows(narrow, head["n"]), F.col(id_col) == F.col("_key"))
-        copies = planned.select(*own, F.posexplode("shards").alias("copy", "shard"))
+        planned = docs.join(beside_wide_rows(narrow, head["n"]), F.col(id_col) == F.col(key))
+        copies = planned.select(*[F.col(f"`{c}`") for c in own], F.posexplode(places).alias("copy", "shard"))
     else:
-        planned = plan_mix(docs, id_col=id_col, keep=own, **options)
-        copies = planned.select(*[F.col(f"__{c}").alias(c) for c in own], F.posexplode("shards").alias("copy", "shard"))
+        planned = plan(docs, own)
+        copies = planned.select(*[F.col(f"`__{c}`").alias(c) for c in own], F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64(F.lit(SEED + 1), F.col("shard"), F.col(id_col), F.col("copy"))
     return copies.repartition("shard").sortWithinPartitions("shard", order)
-

@@ -10,10 +10,10 @@ one anchor for the whole sequence; a text without words has none.
 
 The fingerprint is the whole sequence of anchors in text order, as eight
 hexadecimal digits each, and the anchors' word positions stand beside it.
-``likeness_edited`` and ``likeness_next`` are the exact Jaccard similarities of
-the whole anchor sets.  ``near_edited`` and ``near_next`` estimate them from the
-``SKETCH`` smallest distinct anchors of both together: exact up to that size,
-with a deviation of about 0.05 beyond.
+``near_edited`` and ``near_next`` are the exact Jaccard similarities of the whole
+sets of anchors.  ``placed_edited`` and ``placed_next`` match by position: the
+same similarity of the anchors each taken with its distance in words to the next
+anchor, so that anchors that moved against their neighbours don't count.
 
 Everything is a DataFrame expression; :func:`anchors` gives the anchors with
 their positions for positional matching.
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 K = 6
-SKETCH = 128
 _WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -63,29 +62,23 @@ def anchors(docs: DataFrame, *, text_col: str = "text", out_col: str = "anchors"
     return _with_anchors(text, "_t", out_col, positions=True).drop("_t")
 
 
-def _set(anchors: Column) -> Column:
-    return F.sort_array(F.array_distinct(anchors))
-
-
 def fingerprint(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda x: F.lpad(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
+def placed(anchors: Column) -> Column:
+    """Each anchor of array<struct<word,hash>> with its distance to the next one, hashed; the last with 0."""
+    later = F.concat(F.slice(anchors, 2, F.greatest(F.size(anchors) - 1, F.lit(0))), F.slice(anchors, -1, 1))
+    return F.when(F.size(anchors) == 0, F.array().cast("array<bigint>")).otherwise(F.zip_with(anchors, later, lambda x, y: F.xxhash64(x["hash"], y["word"] - x["word"])))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """The Jaccard similarity of two whole anchor sets."""
+    """The Jaccard similarity of two arrays as sets; two empty ones are alike."""
     common = F.size(F.array_intersect(a, b))
-    both = F.size(a) + F.size(b) - common
+    both = F.size(F.array_union(a, b))
     return F.when(both == 0, F.lit(1.0)).otherwise(common / both)
 
 
-def near(a: Column, b: Column) -> Column:
-    """The same, estimated from the smallest anchors of two sorted sets."""
-    a, b = F.slice(a, 1, SKETCH), F.slice(b, 1, SKETCH)
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect(a, b), both))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(common / F.size(both))
-
-
 def next_in_order(ids: DataFrame) -> DataFrame:
     """(id, next, cut) in descending order of id; after the last comes the first.
 
@@ -108,11 +101,11 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     down) replaced by the first as many of the next document, in descending
     order of id.  Returns the id, ``n_chars``, ``edited_sha256``,
     ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``,
-    ``likeness_edited``, ``likeness_next``, ``words`` and ``edited_words`` (the
+    ``placed_edited``, ``placed_next``, ``words`` and ``edited_words`` (the
     positions of the fingerprints' anchors).
 
     The texts are shuffled by id once; what a document gives to the one before
-    it (the passage it needs and its anchor set) once more.
+    it (the passage it needs and its anchors) once more.
     """
     given_rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = given_rows.where("id is not null")
@@ -121,10 +114,10 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     repeated = not ids.where("c > 1").isEmpty()
     order = materialize(next_in_order(ids.select("id", "cut")), "next").withColumnRenamed("id", "pred")
 
-    ahead = _with_anchors(base.join(order, base["id"] == order["next"]).drop("next"), "text", "_a")  # made behind the shuffle that both joins use
-    given = ahead.withColumn("next_set", _set(F.col("_a"))).select("pred", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("head"), "next_set", *([F.xxhash64("text").alias("th")] if repeated else []))
+    ahead = _with_anchors(base.join(order, base["id"] == order["next"]).drop("next"), "text", "next_anchors", positions=True)  # made behind the shuffle that both joins use
+    given = ahead.select("pred", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("head"), "next_anchors", *([F.xxhash64("text").alias("th")] if repeated else []))
     if repeated:
-        given = given.groupBy("pred").agg(F.min_by(F.struct("head", "next_set"), "th").alias("s")).select("pred", "s.head", "s.next_set")
+        given = given.groupBy("pred").agg(F.min_by(F.struct("head", "next_anchors"), "th").alias("s")).select("pred", "s.head", "s.next_anchors")
     rows = base.join(given, base["id"] == given["pred"]).drop("pred")
     rows = rows.unionByName(given_rows.where("id is null"), allowMissingColumns=True)
     n = F.length("text")
@@ -132,17 +125,17 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.coalesce(F.substring(F.col("head"), F.lit(1), cut), F.lit(""))))
     rows = _with_anchors(rows.drop("head"), "text", "own", positions=True).drop("text")
     rows = _with_anchors(rows, "edited", "other", positions=True).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
-    rows = rows.withColumn("a", _set(F.col("own.hash"))).withColumn("b", _set(F.col("other.hash"))).withColumn("c", F.coalesce("next_set", F.array().cast("array<int>")))
+    rows = rows.withColumn("next", F.coalesce("next_anchors", F.slice("own", 1, 0)))
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
         fingerprint(F.col("own.hash")).alias("fingerprint"),
         fingerprint(F.col("other.hash")).alias("edited_fingerprint"),
-        near(F.col("a"), F.col("b")).alias("near_edited"),
-        near(F.col("a"), F.col("c")).alias("near_next"),
-        likeness(F.col("a"), F.col("b")).alias("likeness_edited"),
-        likeness(F.col("a"), F.col("c")).alias("likeness_next"),
+        likeness(F.col("own.hash"), F.col("other.hash")).alias("near_edited"),
+        likeness(F.col("own.hash"), F.col("next.hash")).alias("near_next"),
+        likeness(placed(F.col("own")), placed(F.col("other"))).alias("placed_edited"),
+        likeness(placed(F.col("own")), placed(F.col("next"))).alias("placed_next"),
         F.col("own.word").alias("words"),
         F.col("other.word").alias("edited_words"),
     )

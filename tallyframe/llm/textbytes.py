@@ -82,7 +82,7 @@ def pieces(texts: pa.Array, size: int) -> Iterator[pa.Array]:
     """The column in pieces of about ``size`` bytes; a longer text is alone in its piece."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     i = 0
-    while i < len(texts) or not i:
+    while i < len(texts):
         before = ends[i - 1] if i else 0
         j = max(i + 1, int(np.searchsorted(ends, before + size, "right")))
         yield texts.slice(i, j - i)

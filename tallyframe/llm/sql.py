@@ -13,11 +13,27 @@ reach as (select doc_id as x, doc_id as y from documents union select r.x, b.y f
 select d.doc_id, coalesce(n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
 from documents d left join sizes using (doc_id) join (select x as doc_id, min(y) as component_id from reach group by x) c using (doc_id)"""
 
-OP5 = """with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
-p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+_HOST = "translate(regexp_extract({0}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REST = "case when instr({0}, '://') > 0 then substr({0}, instr({0}, '://') + 3) else '' end"
+_NODE = "(" + _HOST.format("{0}") + r" || case when regexp_extract({0}, '^[^/?#]*([^#]*)', 1) = '' then '/' else regexp_extract({0}, '^[^/?#]*([^#]*)', 1) end)"
+
+# Pages are nodes under their url without scheme and fragment; canonical links and refresh redirects are edges.
+OP5 = rf"""with recursive u as (select page_id, url, {_REST.format("url")} as rest, html from pages),
+tags as (select url, rest, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) as tag from u where instr(url, '://') > 0),
+links as (select url, rest, trim(replace(case when regexp_matches(tag, '(?i)^<link') then regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) else regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) end, '&amp;', '&'), ' ') as link
+  from tags where regexp_matches(tag, '(?i)rel\s*=\s*["'']?canonical\b') or regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh\b')),
+targets as (select rest, split_part(url, '://', 1) as scheme, {_HOST.format("rest")} as host, regexp_extract(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '^(.*/)?[^/]*$', 1) as folder, link from links where link <> ''),
+full_links as (select rest, case when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link when starts_with(link, '//') then scheme || ':' || link when starts_with(link, '/') then scheme || '://' || host || link
+  when starts_with(link, '#') or regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') then null else scheme || '://' || host || case when folder = '' then '/' else folder end || link end as target from targets),
+joined as (select {_NODE.format("rest")} as a, {_NODE.format("(" + _REST.format("target") + ")")} as b from full_links where target is not null),
+both_ as (select a, b from joined where b <> '/' and a <> b union select b, a from joined where b <> '/' and a <> b),
+reach as (select distinct a as x, a as y from both_ union select r.x, e.b from reach r join both_ e on r.y = e.a),
 rules(h, r, action) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-best as (select page_id, h || r as rule, action from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, r) qualify row_number() over (partition by page_id order by length(h || r) desc) = 1)
-select p.page_id, host, path, rule, coalesce(action, 'allow') as verdict from p left join best using (page_id)"""
+addresses as (select distinct rest from (select rest from u union all select a from both_)),
+best as (select rest, h || r as rule, action from (select rest, {_HOST.format("rest")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from addresses) join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, r) qualify row_number() over (partition by rest order by length(h || r) desc) = 1),
+spread as (select x, bool_or(action = 'block') as blocked, bool_or(action = 'allow') as allowed from reach left join best on best.rest = y group by x)
+select page_id, {_HOST.format("u.rest")} as host, regexp_extract(u.rest, '^[^/?#]*([^?#]*)', 1) as path, rule, coalesce(action, case when blocked and not coalesce(allowed, false) then 'block' end, 'allow') as verdict
+from u left join best on best.rest = u.rest left join spread on x = {_NODE.format("u.rest")}"""
 
 OP6 = """with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) > 0 and not list_contains(list_transform(embedding, lambda x: x is null or not isfinite(x)), true)),
 good as (select * from v where list_sum(list_transform(e, lambda x: abs(x))) > 0),

@@ -9,8 +9,8 @@ An explicit allow has precedence: a url's own rule stands against its aliases,
 and in a component with both allowed and blocked members the others are allowed.
 A url without rule and without a blocked alias is allowed.
 
-Urls are compared without scheme and fragment.  Rules are a driver-side list of
-bounded length (at most ``MAX_RULES``), tried in order of falling length.
+Urls are compared without scheme and fragment.  Rules are a table of any size,
+joined to the urls' hosts and the hosts above those.
 
 Defined results: a null url or one without ``://`` has empty host and path, no
 rule and is allowed; null or empty html has no links; repeated rows are judged
@@ -21,12 +21,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
-
-MAX_RULES = 2000
+from .common import broadcast_if_small, connected_components, materialize
 
 
 @dataclass(frozen=True)
@@ -59,15 +57,28 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_for(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """struct(text, action) of the longest rule that fits, else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
-    best = F.lit(None).cast("struct<text:string,action:string>")
-    for r in sorted(rules, key=lambda r: (len(r.text), r.text)):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        best = F.when(fits, F.struct(F.lit(r.text).alias("text"), F.lit(r.action).alias("action"))).otherwise(best)
-    return best
+def rule_table(spark: SparkSession, rules: list[Rule] | DataFrame) -> DataFrame:
+    """Rules as a table (host, path, action), from a table of these columns or a list."""
+    if isinstance(rules, DataFrame):
+        return rules.select("host", "path", "action").where("host is not null and path is not null and action is not null")
+    return spark.createDataFrame([(r.host, r.path, r.action) for r in rules], "host string, path string, action string")
+
+
+def rules_for(places: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
+    """(host, path, text, action) of the longest rule for each distinct (host, path) that one fits.
+
+    Each host meets the rules of itself and of the hosts above it in a join on
+    the host; the rules are broadcast while few and shuffled beyond, where AQE
+    may split a host that many pages have.  Of two rules of one text that
+    disagree the allowing one counts.
+    """
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    asked = places.select("host", "path").distinct().withColumn("above", F.explode(F.array_distinct(above)))
+    listed = rules.select(F.col("host").alias("above"), F.col("path").alias("start"), F.concat("host", "path").alias("text"), "action")
+    fits = asked.join(broadcast_if_small(listed, n_rules, 100_000), "above").where(F.col("path").startswith(F.col("start")))
+    best = F.max_by(F.struct("text", "action"), F.struct(F.length("text"), F.col("text"), F.col("action") == "allow"))
+    return fits.groupBy("host", "path").agg(best.alias("r")).select("host", "path", "r.text", "r.action")
 
 
 def node_of(url: Column) -> Column:
@@ -106,28 +117,32 @@ def page_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return joined.where("b is not null and b <> '/' and a <> b").distinct()
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
     """One row per page: ``host``, ``path``, ``rule`` and ``verdict``.
 
-    ``redirects`` may give further edges as (from_url, to_url).
+    ``rules`` is a list, or a table (host, path, action); ``redirects`` may give
+    further edges as (from_url, to_url).
     """
+    table = rule_table(pages.sparkSession, rules)
+    n_rules = table.count()
     edges = page_links(pages, url_col, html_col)
     if redirects is not None:
         more = redirects.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b"))
         edges = edges.unionByName(more.where("a is not null and b is not null and a <> b")).distinct()
     edges = materialize(edges, "aliases")
-    judged = pages.select(F.col(id_col), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    judged = judged.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
+    judged = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    judged = judged.join(rules_for(judged, table, n_rules), ["host", "path"], "left")
     if edges.isEmpty():
         spread = F.lit(None).cast("string")
     else:
         nodes = connected_components(edges)
         address = F.concat(F.lit("x://"), F.col("node"))
-        own = nodes.withColumn("action", rule_for(host_of(address), path_of(address), rules)["action"])
+        nodes = materialize(nodes.select("node", "component", host_of(address).alias("host"), path_of(address).alias("path")), "nodes")
+        own = nodes.join(rules_for(nodes, table, n_rules), ["host", "path"], "left")
         by_component = own.groupBy("component").agg(F.max(F.col("action") == "allow").alias("allowed"), F.max(F.col("action") == "block").alias("blocked"))
         decided = by_component.where("blocked and not coalesce(allowed, false)").select("component")
         blocked = nodes.join(decided, "component", "left_semi").select("node", F.lit("block").alias("_spread"))
         judged = judged.withColumn("node", node_of(F.col("_url"))).join(blocked, "node", "left")
         spread = F.col("_spread")
-    verdict = F.coalesce(F.col("_rule.action"), spread, F.lit("allow"))
-    return judged.select(id_col, "host", "path", F.col("_rule.text").alias("rule"), verdict.alias("verdict"))
+    verdict = F.coalesce(F.col("action"), spread, F.lit("allow"))
+    return judged.select(F.col("_id").alias(id_col), "host", "path", F.col("text").alias("rule"), verdict.alias("verdict"))

@@ -9,27 +9,34 @@ small batch after the other; a final table, indexed by the bits so far and the
 mixer's own log odds, refines the probability by what came true.
 
 What is gathered.  All training texts are counted: their words, and their
-6-byte sequences (context and next byte), first within tasks and then by Spark.
-The predictors' tables, the weights and the refinement are all learned from the
-counted sequences, each weighted by its count, and each taken out of its own
-contexts' counts by one occurrence, as an online model would not have seen it.
-The model's size is fixed (``1 << BITS`` slots for each order), so it can travel
-to all tasks; the counts stay distributed.
+sequences of ``ORDER`` bytes and the next one, first within tasks and then by
+Spark.  The predictors' tables, the weights and the refinement are all learned
+from the counted sequences, each weighted by its count, and each taken out of its
+own contexts' counts by one occurrence, as an online model would not have seen it.
+The tables grow with the counted sequences up to ``1 << MAX_BITS`` slots for each
+order, so that they can travel to all tasks; the counts stay distributed.  Slots
+bear a check of their context, the most frequent context of a slot keeps it, and a
+context that finds a foreign slot is unseen.
 
 Scoring.  A text's score is the sum over its bytes; a task keeps the scores of
-recent 6-byte sequences in a table of fixed size and evaluates the model for
-those it lacks.  The base score needs the training count of each word: the
-``COMMON`` most frequent words (a fixed number) are looked up in the task, and
-the others go through a join on the word's 64-bit hash.
-
-Defined results: a null text is the empty one (one token, its end); a null id is
-in no fold, so neither trains nor is held out; rows that repeat an id are scored
-together only in ``base_score`` if their ids and texts agree; with nothing to
-learn from every bit has probability 1/2; further columns are not looked at.
+recent sequences in a table of fixed size and evaluates the model for those it
+lacks.  The base score needs the training count of each word: the ``COMMON`` most
+frequent words (a fixed number) are looked up in the task, and the others go
+through a join on the word's 64-bit hash.
+
+The driver holds at most ``(ORDER + 1) << MAX_BITS`` slots of 8 bytes (100 MB) and
+``COMMON`` words of 16 bytes, whatever the input.
+
+Defined results: a null text is the empty one (one token, its end; its bits per
+byte are those of the end mark); a null id is in no fold, so neither trains nor is
+held out; rows that repeat an id or a text are scored each by itself; with nothing
+to learn from every bit has probability 1/2; an empty table gives an empty
+result; further columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -42,7 +49,7 @@ from .common import materialize
 from .textbytes import U64, chunks, words
 
 ORDER = 5
-BITS = 21
+MAX_BITS = 21
 COMMON = 1 << 18
 CACHE_BITS = 20
 START, END = 0xFE, 0xFF  # bytes that UTF-8 doesn't have
@@ -138,15 +145,14 @@ def _contexts(packed: np.ndarray) -> list[np.ndarray]:
     return [((before & U64((1 << 8 * o) - 1)) + U64(o + 1)) * U64(0x9E3779B97F4A7C15) for o in range(ORDER + 1)]
 
 
-def _slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
-    step = node * U64(0xD6E8FEB86659FD93)
-    out = []
+def _slots(contexts: list[np.ndarray], node: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slot and check (1 to 255) of each context with the bits of the byte so far, by order."""
+    step = node.astype(np.uint64) * U64(0xD6E8FEB86659FD93)
     for o, c in enumerate(contexts):
         h = c ^ step
         h ^= h >> U64(32)
-        h = h * U64(0xBF58476D1CE4E5B9)
-        out.append((h >> U64(64 - BITS)).astype(np.int64) + (o << BITS))
-    return out
+        h *= U64(0xBF58476D1CE4E5B9)
+        yield (h >> U64(64 - bits)).astype(np.int64) + (o << bits), ((h >> U64(20)) & U64(0xFF)).astype(np.uint32) | np.uint32(1)
 
 
 def _bits(packed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -156,52 +162,71 @@ def _bits(packed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield place, (byte >> place) & 1, (byte | 256) >> (place + 1)
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of 0 and 1 by slot: dense and of fixed size within the task, then its used slots."""
-    sums = np.zeros((2, (ORDER + 1) << BITS), np.float32)
-    for batch in batches:
-        packed, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float32)
-        contexts = _contexts(packed)
-        for _, bit, node in _bits(packed):
-            for slot in _slots(contexts, node.astype(np.uint64)):
-                for b in (0, 1):
-                    np.add.at(sums[b], slot[bit == b], n[bit == b])
-    used = np.flatnonzero(sums.any(axis=0))
-    for i in range(0, len(used), 200_000):
-        k = used[i : i + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(sums[0, k].astype(np.int64)), pa.array(sums[1, k].astype(np.int64))], names=["slot", "n0", "n1"])
+def _tables(bits: int):
+    """Counts of 0 and 1 by slot and check: dense and of fixed size within the task, then its used slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = (ORDER + 1) << bits
+        sums, owner = np.zeros((2, size), np.int64), np.zeros(size, np.uint8)
+        for batch in batches:  # frequent sequences come first and take the slots
+            packed, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            contexts = _contexts(packed)
+            for _, bit, node in _bits(packed):
+                for slot, check in _slots(contexts, node, bits):
+                    free = np.flatnonzero(owner[slot] == 0)[::-1]
+                    owner[slot[free]] = check[free]
+                    own = owner[slot] == check
+                    for b in (0, 1):
+                        mine = own & (bit == b)
+                        np.add.at(sums[b], slot[mine], n[mine])
+        used = np.flatnonzero(owner)
+        for i in range(0, len(used), 200_000):
+            k = used[i : i + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(owner[k].astype(np.int16)), pa.array(sums[0, k]), pa.array(sums[1, k])], names=["slot", "check", "n0", "n1"])
+
+    return run
 
 
 class Model:
-    def __init__(self, table: np.ndarray) -> None:
-        self.table = table  # uint16 pairs, large counts scaled down together
+    def __init__(self, counts: np.ndarray, check: np.ndarray, bits: int) -> None:
+        self.counts, self.check, self.bits = counts, check, bits  # uint16 pairs, large counts scaled down together
         self.weights = np.full((GATES, INPUTS), 0.35, np.float32)
         self.weights[:, -1] = 0
         self.refined: np.ndarray | None = None
+        self.cells: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
         """Tables travel compressed: most slots are empty or hold small counts."""
-        return self.__dict__ | {"table": zlib.compress(self.table.tobytes(), 1)}
+        return self.__dict__ | {"counts": zlib.compress(self.counts.tobytes(), 1), "check": zlib.compress(self.check.tobytes(), 1), "cells": None}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.table = np.frombuffer(zlib.decompress(state["table"]), np.uint16).reshape(-1, 2)
+        self.counts = np.frombuffer(zlib.decompress(state["counts"]), np.uint16).reshape(-1, 2)
+        self.check = np.frombuffer(zlib.decompress(state["check"]), np.uint8)
 
-    def inputs(self, contexts: list[np.ndarray], place: int, bit: np.ndarray, node: np.ndarray, leave: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of each predictor with a constant, and the gate."""
+    def inputs(self, contexts: list[np.ndarray], place: int, bit: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For learning: log odds of each predictor with a constant, and the gate; the occurrence at hand is not yet known."""
         x = np.empty((len(bit), INPUTS), np.float32)
-        seen = np.zeros(len(bit), np.int64)
-        for o, slot in enumerate(_slots(contexts, node.astype(np.uint64))):
-            n = self.table[slot].astype(np.float32)
-            if leave:  # the occurrence at hand is not yet known
-                rows = np.arange(len(bit))
-                n[rows, bit] = np.maximum(n[rows, bit] - 1, 0)
+        seen, rows = np.zeros(len(bit), np.int64), np.arange(len(bit))
+        for o, (slot, check) in enumerate(_slots(contexts, node, self.bits)):
+            n = self.counts[slot].astype(np.float32)
+            n[self.check[slot] != check] = 0
+            n[rows, bit] = np.maximum(n[rows, bit] - 1, 0)
             n += PRIOR
             x[:, o] = np.log(n[:, 1] / n[:, 0])
             seen = np.where(n.sum(axis=1) > 2 * PRIOR + 0.5, o + 1, seen)
         x[:, -1] = 0.3
         return x, place * (ORDER + 2) + seen
 
+    def ready(self) -> None:
+        """For scoring: a slot's check and its log odds in one cell, in place of the counts."""
+        odds = np.empty(len(self.counts), np.float16)
+        for i in range(0, len(odds), 1 << 20):
+            n = self.counts[i : i + (1 << 20)].astype(np.float32) + np.float32(PRIOR)
+            odds[i : i + (1 << 20)] = np.log(n[:, 1] / n[:, 0])
+        self.cells = (self.check.astype(np.uint32) << np.uint32(16)) | odds.view(np.uint16)
+        self.counts = self.check = np.zeros((0, 2), np.uint16)
+
     def refine(self, odds: np.ndarray, node: np.ndarray) -> np.ndarray:
         p = 1 / (1 + np.exp(-np.clip(odds, -14, 14)))
         if self.refined is not None:
@@ -213,11 +238,22 @@ class Model:
 
     def log10(self, packed: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each sequence after those before it."""
+        if self.cells is None:
+            self.ready()
         total = np.zeros(len(packed), np.float64)
-        contexts = _contexts(packed)
+        contexts, by_input = _contexts(packed), np.ascontiguousarray(self.weights.T)
         for place, bit, node in _bits(packed):
-            x, gate = self.inputs(contexts, place, bit, node, leave=False)
-            p = self.refine((x * self.weights[gate]).sum(axis=1), node)
+            seen, inputs = np.zeros(len(packed), np.int64), []
+            for o, (slot, check) in enumerate(_slots(contexts, node, self.bits)):
+                cell = self.cells[slot]
+                hit = (cell >> np.uint32(16)) == check
+                inputs.append((cell & np.uint32(0xFFFF)).astype(np.uint16).view(np.float16).astype(np.float32) * hit)
+                seen[hit] = o + 1
+            gate = place * (ORDER + 2) + seen
+            odds = by_input[-1][gate] * np.float32(0.3)
+            for x, w in zip(inputs, by_input, strict=False):
+                odds += x * w[gate]
+            p = self.refine(odds, node)
             total += np.log10(np.where(bit == 1, p, 1 - p))
         return total
 
@@ -232,7 +268,7 @@ def _learn_weights(model: Model):
                 total += float(n.sum())
                 contexts = _contexts(packed)
                 for place, bit, node in _bits(packed):
-                    x, gate = model.inputs(contexts, place, bit, node, leave=True)
+                    x, gate = model.inputs(contexts, place, bit, node)
                     p = 1 / (1 + np.exp(-np.clip((x * w[gate]).sum(axis=1), -14, 14)))
                     push = ((bit - p) * n).astype(np.float32)[:, None] * x
                     g, mass = np.zeros_like(w), np.zeros(len(w), np.float32)
@@ -253,7 +289,7 @@ def _learn_refinement(model: Model):
             packed, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
             contexts = _contexts(packed)
             for place, bit, node in _bits(packed):
-                x, gate = model.inputs(contexts, place, bit, node, leave=True)
+                x, gate = model.inputs(contexts, place, bit, node)
                 at = np.clip((x * model.weights[gate]).sum(axis=1) * 2 + 16, 0, 31.999)
                 low = at.astype(np.int64)
                 part = at - low
@@ -282,14 +318,19 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, int]:
     counted = materialize(texts.mapInArrow(_gather, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     n_texts = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     followed = counted.where("kind = 1").select("key", "n")
-    slots = followed.mapInArrow(_tables, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    bits = min(MAX_BITS, max(12, (4 * followed.count()).bit_length()))
+    ordered = followed.repartition("key").sortWithinPartitions(F.col("n").desc(), "key")
+    slots = ordered.mapInArrow(_tables(bits), "slot int, check short, n0 long, n1 long").groupBy("slot", "check").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    slots = slots.groupBy("slot").agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "check", "n0", "n1")).alias("s")).select("slot", "s.check", "s.n0", "s.n1")
     scale = F.greatest(F.lit(1.0), F.greatest("n0", "n1") / 60000)
-    small = lambda c: F.when(F.col(c) == 0, 0).otherwise(F.greatest(F.lit(1), F.round(F.col(c) / scale))).cast("int")
-    rows = slots.select("slot", (small("n0") + F.shiftleft(small("n1"), 16)).alias("both")).toArrow()
-    table = np.zeros((ORDER + 1) << BITS, np.uint32)
-    table[rows["slot"].to_numpy()] = rows["both"].to_numpy().view(np.uint32)
+    small = lambda c: F.when(F.col(c) == 0, 0).otherwise(F.greatest(F.lit(1), F.round(F.col(c) / scale))).cast("long")
+    rows = slots.select("slot", (small("n0") + F.shiftleft(small("n1"), 16) + F.shiftleft(F.col("check").cast("long"), 32)).alias("cell")).toArrow()
+    counts, check = np.zeros((ORDER + 1) << bits, np.uint32), np.zeros((ORDER + 1) << bits, np.uint8)
+    for part in rows.to_batches():
+        at, cell = part.column(0).to_numpy(), part.column(1).to_numpy()
+        counts[at], check[at] = (cell & 0xFFFFFFFF).astype(np.uint32), (cell >> 32).astype(np.uint8)
     del rows
-    model = Model(table.view(np.uint16).reshape(-1, 2))
+    model = Model(counts.view(np.uint16).reshape(-1, 2), check, bits)
     w = _vector_sum(followed.mapInArrow(_learn_weights(model), "total double, w array<double>"), "w", "total") if n_texts else None
     if w is not None:
         model.weights = w.reshape(GATES, INPUTS).astype(np.float32)
@@ -300,10 +341,10 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, int]:
 
 
 def _score(model: Model, known: tuple[np.ndarray, np.ndarray]):
-    """Rows of two kinds: a text's own (word = 0) and one for each of its rarer words."""
+    """A row for each text, with its rarer words and how often it has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs = np.zeros(1 << CACHE_BITS, np.uint64), np.zeros(1 << CACHE_BITS, np.float32)
+        keys, logs = np.full(1 << CACHE_BITS, ~U64(0)), np.zeros(1 << CACHE_BITS, np.float32)  # no sequence is all ones
         common, common_log = known
         for batch in batches:
             for chunk in chunks(batch.column(1)):
@@ -314,26 +355,24 @@ def _score(model: Model, known: tuple[np.ndarray, np.ndarray]):
                 missed = np.flatnonzero(keys[at] != packed)
                 if len(missed):
                     new, back = np.unique(packed[missed], return_inverse=True)
-                    fresh = np.concatenate([model.log10(new[i : i + 4096]) for i in range(0, len(new), 4096)]).astype(np.float32)
+                    fresh = np.concatenate([model.log10(new[i : i + 16384]) for i in range(0, len(new), 16384)]).astype(np.float32)
                     value[missed] = fresh[back]
                     place = (new * U64(0x9E3779B97F4A7C15) >> U64(64 - CACHE_BITS)).astype(np.int64)
                     keys[place], logs[place] = new, fresh
-                first = np.cumsum(count) - count
-                score = np.add.reduceat(value.astype(np.float64), first)
+                score = np.add.reduceat(value.astype(np.float64), np.cumsum(count) - count)
                 w = words(chunk)
                 where = np.minimum(np.searchsorted(common, w.hash), max(0, len(common) - 1))
                 hit = common[where] == w.hash if len(common) else np.zeros(len(w.hash), bool)
                 base = np.bincount(w.doc[hit], weights=common_log[where[hit]] if len(common) else None, minlength=len(chunk)).astype(np.float64)
                 n_known = np.bincount(w.doc[hit], minlength=len(chunk))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.zeros(len(chunk), np.int64)), pa.array(w.count.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score)], names=["id", "word", "n", "known", "base", "score"])
                 rare, doc = w.hash[~hit], w.doc[~hit]
-                if len(rare):
-                    order = np.lexsort((rare, doc))
-                    rare, doc = rare[order], doc[order]
-                    new = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (doc[1:] != doc[:-1]))))
-                    times = np.diff(np.append(new, len(rare)))
-                    none = pa.nulls(len(new), pa.float64())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[new])), pa.array(rare[new].view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(len(new), pa.int64()), none, none], names=["id", "word", "n", "known", "base", "score"])
+                order = np.lexsort((rare, doc))
+                rare, doc = rare[order], doc[order]
+                new = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (doc[1:] != doc[:-1])))[: len(rare)])
+                times = np.diff(np.append(new, len(rare)))
+                cuts = pa.array(np.searchsorted(doc[new], np.arange(len(chunk) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (rare[new].view(np.int64), times.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([ids, *lists, *(pa.array(x.astype(np.int64)) for x in (np.diff(chunk.starts), w.count, n_known)), pa.array(base), pa.array(score)], names=["id", "rare", "times", "bytes", "n", "known", "base", "score"])
 
     return run
 
@@ -343,7 +382,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Returns the id, ``held_out``, ``n_tokens`` (words and the end), ``n_known``,
     ``train_tokens``, ``base_score`` (unigram with 0.1 added) and ``score``, both
-    log10 probabilities of the text; and ``bits_per_byte`` of the model.
+    log10 probabilities of the text; and ``bits_per_byte``, the model's total bits
+    over the text's bytes.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     fold = F.crc32(F.col("id").cast("string")) % folds
@@ -355,11 +395,11 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     order = np.argsort(top["key"].to_numpy().view(np.uint64))
     known = top["key"].to_numpy().view(np.uint64)[order], np.log10(top["n"].to_numpy()[order] + 0.1)
 
-    scored = materialize(rows.mapInArrow(_score(model, known), f"id {rows.schema['id'].dataType.simpleString()}, word long, n long, known long, base double, score double"), "scored")
-    texts = scored.where("score is not null")
-    rare = scored.where("score is null").select("id", "word", F.col("n").alias("times"))
-    joined = rare.join(counts.withColumnRenamed("key", "word"), "word", "left").groupBy("id").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rest"))
-    out = texts.join(joined.withColumnRenamed("id", "k"), F.col("id") == F.col("k"), "left")
+    scored = rows.mapInArrow(_score(model, known), f"id {rows.schema['id'].dataType.simpleString()}, rare array<long>, times array<long>, bytes long, n long, known long, base double, score double")
+    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # the row's number is written, so it holds for both reads
+    rare = scored.select("row", F.inline(F.arrays_zip("rare", "times"))).withColumnRenamed("rare", "word")
+    joined = rare.join(counts.withColumnRenamed("key", "word"), "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rest"))
+    out = scored.join(joined, "row", "left")
     end = float(np.log10(n_texts + 0.1))
     return out.select(
         F.col("id").alias(id_col),
@@ -369,4 +409,5 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.lit(int(n_train)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0)) + end - (F.col("n") + 1) * floor).alias("base_score"),
         "score",
+        (F.col("score") * (-math.log2(10)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )

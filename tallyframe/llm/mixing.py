@@ -190,18 +190,21 @@ def plan_mix(docs: DataFrame, *, source_col: str = "source", text_col: str = "te
     return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards", *[F.col(f"`__{c}`") for c in keep or []])
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mixture itself: the input's columns, a row for each copy, dealt to shards and shuffled there."""
-    own = [c for c in docs.columns if c.lower() not in ("shard", "copy")]
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shard_col: str = "shard", copy_col: str = "copy", **options) -> DataFrame:
+    """The mixture itself: the input's columns, a row for each copy, dealt to shards and shuffled there.
+
+    Two columns are added, and take the place of any of their name.
+    """
+    own = [c for c in docs.columns if c.lower() not in (shard_col.lower(), copy_col.lower())]
     key, places = fresh("_key", docs), fresh("_places", docs)
     plan = lambda rows, keep=None: plan_mix(rows, id_col=id_col, source_col=source_col, text_col=text_col, keep=keep, **options)
     narrow = materialize(plan(docs.select(*{id_col: 0, source_col: 0, text_col: 0})).select(F.col(id_col).alias(key), F.col("shards").alias(places)), "shards")
     head = narrow.agg(F.count("*").alias("n"), F.count_distinct(key).alias("ids")).first()
     if head["n"] == head["ids"]:  # each id once: texts don't go through the plan
         planned = docs.join(beside_wide_rows(narrow, head["n"]), F.col(id_col) == F.col(key))
-        copies = planned.select(*[F.col(f"`{c}`") for c in own], F.posexplode(places).alias("copy", "shard"))
+        copies = planned.select(*[F.col(f"`{c}`") for c in own], F.posexplode(places).alias(copy_col, shard_col))
     else:
         planned = plan(docs, own)
-        copies = planned.select(*[F.col(f"`__{c}`").alias(c) for c in own], F.posexplode("shards").alias("copy", "shard"))
-    order = F.xxhash64(F.lit(SEED + 1), F.col("shard"), F.col(id_col), F.col("copy"))
-    return copies.repartition("shard").sortWithinPartitions("shard", order)
+        copies = planned.select(*[F.col(f"`__{c}`").alias(c) for c in own], F.posexplode("shards").alias(copy_col, shard_col))
+    order = F.xxhash64(F.lit(SEED + 1), F.col(shard_col), F.col(id_col), F.col(copy_col))
+    return copies.repartition(shard_col).sortWithinPartitions(shard_col, order)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -89,6 +90,7 @@ def test_minhash(spark, docs, nothing):
     assert near_duplicates(nothing).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert Counter((r.doc_id, r.kept) for r in near_duplicates(odd).collect()) == Counter({(1, True): 2, (2, False): 1, (None, True): 1})
+    assert {r.doc_id: r.component_id for r in near_duplicates(odd).collect()} == {1: 1, 2: 1, None: None}
 
 
 def test_minhash_chain_through_blocks(spark, monkeypatch):
@@ -140,6 +142,52 @@ def test_context_mixing(docs, nothing):
     assert score_texts(nothing).count() == 0
 
 
+def test_context_mixing_repeated_and_null_ids(spark):
+    from tallyframe.llm.lm import score_texts
+
+    rows = [(1, "alpha beta alpha"), (2, "alpha gamma"), (7, "unk1 unk2 unk3"), (7, "alpha"), (None, "alpha qqq"), (None, None), (3, "\0" * 60), (4, "~" * 60)]
+    out = score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    trained = [[*words(t), None] for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t in trained for w in t)
+    n, v = sum(counts.values()), len(counts)
+    base = lambda t: sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in [*words(t), None])
+    assert sorted((str(i), round(base(t), 9)) for i, t in rows) == sorted((str(r.doc_id), round(r.base_score, 9)) for r in out)
+    assert all(r.n_known == sum(counts[w] > 0 for w in [*words(t), None]) for r, t in zip(sorted(out, key=lambda r: r.base_score), sorted((t for _, t in rows), key=base)))
+    score = {r.doc_id: r.score for r in out if r.doc_id in (3, 4)}
+    assert score[3] < -1 and score[4] < -1  # no sequence is taken for an empty place of the cache
+    assert all(math.isclose(r.bits_per_byte, -r.score * math.log2(10) / max(1, b)) for r, b in zip(sorted(out, key=lambda r: r.n_tokens + r.score), sorted(out, key=lambda r: r.n_tokens + r.score)) for b in [round(-r.score * math.log2(10) / r.bits_per_byte)])
+
+
+def test_context_mixing_against_the_formula(spark):
+    """The score of a text, bit by bit from the model's own tables, without cache, chunks or cells."""
+    from tallyframe.llm import lm
+
+    texts = ["abcabcabc abd", "abcabd", "zz", ""]
+    model, _, _ = lm.train(spark.createDataFrame([(t,) for t in texts * 3], "text string"))
+    counts, check = model.counts, model.check
+    got = {r.text: r.score for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").mapInArrow(lm._score(model, (np.zeros(0, np.uint64), np.zeros(0))), "id long, rare array<long>, times array<long>, bytes long, n long, known long, base double, score double").join(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string"), "id").collect()}
+    for text in texts:
+        before, total = [lm.START] * lm.ORDER, 0.0
+        for byte in [*text.encode(), lm.END]:
+            packed = np.array([int.from_bytes(bytes([*before, byte]), "big")], np.uint64)
+            for place in range(7, -1, -1):
+                bit, node = byte >> place & 1, np.array([(byte | 256) >> (place + 1)])
+                x, seen = [], 0
+                for o, (slot, mark) in enumerate(lm._slots(lm._contexts(packed), node, model.bits)):
+                    n0, n1 = counts[slot[0]] if check[slot[0]] == mark[0] else (0, 0)
+                    x.append(math.log((n1 + lm.PRIOR) / (n0 + lm.PRIOR)))
+                    seen = o + 1 if int(n0) + int(n1) else seen
+                w = model.weights[place * (lm.ORDER + 2) + seen]
+                odds = sum(a * b for a, b in zip([*x, 0.3], w.tolist()))
+                p = 1 / (1 + math.exp(-odds))
+                at = min(max(odds * 2 + 16, 0), 31.999)
+                refined = model.refined[node[0]]
+                p = 0.5 * p + 0.5 * (refined[int(at)] * (1 - at % 1) + refined[int(at) + 1] * (at % 1))
+                total += math.log10(p if bit else 1 - p)
+            before = [*before[1:], byte]
+        assert math.isclose(got[text], total, rel_tol=2e-2, abs_tol=2e-2)
+
+
 def test_mixture_is_a_distribution(docs):
     """The bits of a byte: probabilities of all 256 continuations of a context add up to one."""
     from tallyframe.llm import lm
@@ -167,8 +215,8 @@ def test_syncmers(spark, docs, nothing):
         if text == edited:
             assert r.near_edited == 1.0
         a, b = ({x[k : k + 8] for k in range(0, len(x), 8)} for x in (r.fingerprint, r.edited_fingerprint))
-        both = set(sorted(a | b, key=lambda h: int(h, 16) - (1 << 32) * (int(h, 16) >> 31))[:128])
-        assert math.isclose(r.near_edited, len(a & b & both) / len(both) if both else 1.0)
+        assert math.isclose(r.near_edited, len(a & b) / len(a | b) if a | b else 1.0)
+        assert 0 <= r.placed_edited <= 1 and 0 <= r.placed_next <= 1
     assert compare_with_edits(nothing).count() == 0
     long = " ".join(f"w{k % 97}x{k}" for k in range(300))
     near = spark.createDataFrame([(2, long), (1, "other words " * 30), (None, "n"), (2, "dup")], "doc_id long, text string")
@@ -190,7 +238,9 @@ def test_a_short_passage_of_two_long_texts_counts(spark):
     for r in compare_with_edits(d).collect():
         assert [r.fingerprint[k : k + 8] for k in range(0, len(r.fingerprint), 8)] == [f"{h:08X}" for _, h in whole[r.doc_id]]
         assert r.words == [w for w, _ in whole[r.doc_id]]
-        assert math.isclose(r.likeness_next, want) and want > 0
+        assert math.isclose(r.near_next, want) and want > 0
+        moves = [{(h, (v[k + 1][0] - w) if k + 1 < len(v) else 0) for k, (w, h) in enumerate(v)} for v in whole.values()]
+        assert math.isclose(r.placed_next, len(moves[0] & moves[1]) / len(moves[0] | moves[1]))
 
 
 def test_closed_syncmers_by_hand(spark):
@@ -219,6 +269,51 @@ def test_secret_scan(spark, docs, nothing):
     assert scan(docs).where("is_secret").count() == 0
 
 
+def test_secrets_of_contexts_that_training_never_saw(spark):
+    from tallyframe.llm.secret_scan import labelled_findings, scan
+
+    held = spark.createDataFrame([(n, t, label) for n, (t, label) in enumerate(labelled_findings(held_out=True))], "doc_id long, text string, label int")
+    got = Counter((r.label, r.is_secret) for r in scan(held).join(held.select("doc_id", "label"), "doc_id").collect())
+    assert got[1, True] / (got[1, True] + got[0, True]) >= 0.95 and got[1, True] / (got[1, True] + got[1, False]) >= 0.95
+
+
+def test_secret_patterns_are_linear(spark):
+    from tallyframe.llm.secret_scan import candidates
+
+    texts = ["x" * 1_000_000, "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo3" * 28_000, "pass" * 250_000, "token=abcdefgh12;" * 60_000, "token = " * 120_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    got = Counter(r.id for r in candidates(d, "doc_id", "text").collect())
+    assert got == Counter({1: 1, 3: 1}) and time.perf_counter() - began < 60
+
+
+def test_url_sql_against_the_operator(spark, tmp_path):
+    """Random aliases: the SQL's recursive closure and the operator's components give the same verdicts."""
+    import duckdb
+
+    from tallyframe.llm import sql
+    from tallyframe.llm.urlfilter import Rule, judge_urls
+
+    random.seed(5)
+    hosts = ["a.net", "example.net", "m.example.net", "www.example.com", "plain.com", "b.org", "X.Example.Com"]
+    paths = ["/en/%d", "/de/%d", "/fr/%d", "/%d", "/d/e/%d?x=1&y=2"]
+    url = lambda: "http://" + random.choice(hosts) + random.choice(paths) % random.randrange(25)
+    rows = [(900, None, None), (901, "no scheme", "<link rel=canonical href=http://a.net/1>"), (902, "http://net", None)]
+    for i in range(400):
+        link = random.choice([url(), url(), f"/q/{i % 30}", f"//a.net/{i % 30}", "#top", "mailto:x@y", f"rel{i % 9}", ""])
+        tag = random.choice([f"<link rel='canonical' href='{link}'>", f'<meta http-equiv="refresh" content="0; url={link}">', "<p>", "<link rel=stylesheet href=/x.css>"])
+        rows.append((i, url() + random.choice(["", "#f", "?a"]), tag if i % 17 else None))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    d.write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    want = Counter(con.sql(f"select page_id, host, path, rule, verdict from ({sql.OP5})").fetchall())
+    rules = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow")]
+    assert Counter(map(tuple, judge_urls(d, rules).collect())) == want and sum(n for r, n in want.items() if r[3] is None and r[4] == "block") > 10
+    many = [Rule(f"h{k}.example", "/", "block") for k in range(5000)] + rules
+    assert Counter(map(tuple, judge_urls(d, many).collect())) == want
+
+
 def test_urls(spark):
     from tallyframe.llm.urlfilter import Rule, judge_urls
 
@@ -340,11 +435,47 @@ def test_mixing(spark, docs, nothing):
     assert Counter(map(str, out)) == Counter(map(str, again))
     shards = Counter(x for r in out for x in r.shards if r.size)
     assert len(shards) == 16  # shards hold equally many blocks, see the next test
+    clash = spark.createDataFrame([(1, "a b", "s", 1, 2, 3, 4, 5), (2, "c", "s", 1, 2, 3, 4, 5)], "doc_id long, text string, source string, shards int, _key int, COPY int, _places int, size int")
+    assert mixing.mix(clash).columns == ["doc_id", "text", "source", "shards", "_key", "_places", "size", "copy", "shard"] and {r.shards for r in mixing.mix(clash).collect()} == {1}
+    assert mixing.mix(clash.union(clash)).count() > 0
+    empties = spark.createDataFrame([(k, None, "void") for k in range(100)] + [(200, "w " * 50, "b")], "doc_id long, text string, source string")
+    assert {(r.doc_id, r.taken) for r in mixing.plan_mix(empties, block_rows=7).collect() if r.source == "void"} == {(k, 0) for k in range(100)}
     made = mixing.mix(docs)
     assert made.columns == [*[c for c in docs.columns if c != "shard"], "copy", "shard"] and made.count() > 0
     assert mixing.plan_mix(docs).count() == docs.count() and mixing.plan_mix(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
 
+def test_hypergeometric_draws(spark):
+    from tallyframe.llm.mixing import _hypergeometric
+
+    for total, marked, draws in ((1000, 300, 500), (60, 20, 31), (10**6, 600_000, 250_000)):
+        long = lambda x: F.lit(x).cast("long")
+        x = np.array([r[0] for r in spark.range(8000).select(_hypergeometric(long(total), long(marked), long(draws), F.lit(marked), F.col("id"))).collect()], float)
+        mean, var = draws * marked / total, draws * marked / total * (1 - marked / total) * (total - draws) / (total - 1)
+        assert abs(x.mean() - mean) < 5 * math.sqrt(var / len(x)) and 0.93 < x.var() / var < 1.07 and x.min() >= max(0, draws + marked - total) and x.max() <= min(draws, marked)
+
+
+def test_viterbi_against_all_label_sequences():
+    import itertools
+
+    from tallyframe.llm.langid import viterbi
+
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        scores, switch = rng.normal(0, 4, (6, 3)).astype(np.float32), float(rng.uniform(0, 6))
+        value = lambda path: sum(scores[k, c] for k, c in enumerate(path)) - switch * sum(a != b for a, b in zip(path, path[1:]))  # noqa: E731, B023
+        best = max(value(p) for p in itertools.product(range(3), repeat=6))
+        assert math.isclose(value(viterbi(scores, np.array([6]), switch).tolist()), best, rel_tol=1e-5, abs_tol=1e-4)
+
+
+def test_languages_of_the_given_documents(spark):
+    from tallyframe.llm.langid import identify
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = identify(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.97 * len(out)
+
+
 def test_splitting_tree_keeps_quotas(spark):
     from tallyframe.llm.mixing import split_quotas
 
@@ -426,6 +557,14 @@ def test_pipeline_stages(spark, docs, tmp_path):
     three = {r.doc_id: r for r in p.redact_secrets(spark, d, "").collect()}
     assert three[1000].text == 'the token = "[SECRET]" of' and three[1000].n_chars == len(three[1000].text) and len(three) == len({r[0] for r in rows}) + 1
     assert p.mix_sources(spark, d, "").columns == d.columns
+    extra = d.where("doc_id < 60").selectExpr("*", "0.123d as score", "'x' as lang_pred", "true as held_out", "1 as shards", "2 as `COPY`", "3 as _found", "4 as _key")
+    for stage in (p.language_id, p.near_dedup, p.redact_secrets, p.mix_sources):
+        kept = stage(spark, extra, "")
+        assert kept.columns == extra.columns and {tuple(r)[5:] for r in kept.collect()} == {(0.123, "x", True, 1, 2, 3, 4)}
+        assert stage(spark, d.limit(0), "").count() == 0 and stage(spark, d.limit(0), "").columns == d.columns
+    assert p.encode(spark, d.limit(0), "").count() == 0
+    long = spark.createDataFrame([(1, "ab1 " * 200_000, "en", "s", 0), (2, None, None, None, None), (None, "a b c", "en", None, 5)], d.schema)
+    assert p.mix_sources(spark, p.redact_secrets(spark, p.near_dedup(spark, p.language_id(spark, long, ""), ""), ""), "").where("doc_id = 1").count() >= 1
     d.write.parquet(str(tmp_path / "documents.parquet"))
     out = p.run(spark, str(tmp_path))
     assert out.columns[:2] == ["doc_id", "n_tokens"] and out.count() > 0

@@ -71,7 +71,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty) have size 0 and come as often as their source's passes take them.
     Rows that repeat an id are documents of their own, as are those with a null one.
     """
-    return mixing.mix(docs).select(*[f"`{c}`" for c in docs.columns])
+    return mixing.mix(docs, shard_col=fresh("shard", docs), copy_col=fresh("copy", docs)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,16 +74,14 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     return ranked.select("rank", "source", "source_size", "rows", F.least(F.col("limit").cast("double"), F.coalesce(F.col("level") * F.col("w"), F.col("limit").cast("double"))).alias("target"))
 
 
-def _log_factorial(n: Column) -> Column:
-    """ln n! by Stirling's series, shifted by 8 so that it is exact to about 1e-13 of its value."""
-    x = n + 9.0
-    series = (x - 0.5) * F.ln(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3)))
-    shift = F.ln((n + 1.0) * (n + 2.0) * (n + 3.0) * (n + 4.0)) + F.ln((n + 5.0) * (n + 6.0) * (n + 7.0) * (n + 8.0))
-    return series - shift
+def _log_factorial(n: str) -> str:
+    """SQL of ln n! by Stirling's series at n + 8, so that it is exact to about 1e-13 of its value."""
+    near, far = (" * ".join(f"({n} + {i}D)" for i in span) for span in ((1, 2, 3, 4), (5, 6, 7, 8)))
+    return f"(({n} + 8.5D) * ln({n} + 9D) - ({n} + 9D) + 0.9189385332046727D + 1 / (12 * ({n} + 9D)) - 1 / (360 * pow({n} + 9D, 3)) - ln({near}) - ln({far}))"
 
 
-def _hypergeometric(total: Column, marked: Column, draws: Column, *key) -> Column:
-    """How many of ``marked`` of ``total`` items are among ``draws`` of them.
+def hypergeometric(total: str, marked: str, draws: str, *key: str) -> str:
+    """SQL of how many of ``marked`` of ``total`` items are among ``draws`` of them.
 
     Few marked items are drawn one after the other.  Many are drawn by ratio of
     uniforms: keyed points in the box around the square root of the
@@ -91,58 +89,36 @@ def _hypergeometric(total: Column, marked: Column, draws: Column, *key) -> Colum
     that ``TRIES`` of them all fail with a probability below 1e-20, whatever the
     numbers.  So a node costs the same at every size.
     """
-    no_longs = F.array().cast("array<long>")
-    steps = F.when((marked > 0) & (marked <= FEW), F.sequence(F.lit(1).cast("long"), marked)).otherwise(no_longs)
-    hit = lambda x, j: (_uniform(*key, j) * (total - j + 1) < draws - x).cast("long")
-    one_by_one = F.aggregate(steps, F.lit(0).cast("long"), lambda x, j: x + hit(x, j))
-
-    share = marked / total
-    mode = F.floor((draws + 1.0) * (marked + 1.0) / (total + 2.0))
-    spread = F.sqrt(draws * share * (1 - share) * (total - draws) / F.greatest(total - 1, F.lit(1)) + 0.5)
-    weight = lambda k: -(_log_factorial(k) + _log_factorial(marked - k) + _log_factorial(draws - k) + _log_factorial(total - marked - draws + k))
-    low, high = F.greatest(F.lit(0.0), (draws + marked - total).cast("double")), F.least(draws, marked).cast("double")
-    box = spread * 1.7155277699214135 + 0.8989161620588988  # 2 sqrt(2/e) and 3 - 2 sqrt(3/e), as for any distribution of this kind
-
-    def attempt(found: Column, j: Column) -> Column:
-        u = _uniform(*key, F.lit("u"), j) + 1e-16
-        k = F.floor(draws * share + 0.5 + box * (_uniform(*key, F.lit("v"), j) - 0.5) / u)
-        inside = F.greatest(low, F.least(high, k))
-        fits = (k >= low) & (k <= high) & (2 * F.ln(u) <= weight(inside) - weight(mode))
-        return F.coalesce(found, F.when(fits, k.cast("long")))
-
-    tries = F.when(marked > FEW, F.sequence(F.lit(1), F.lit(TRIES))).otherwise(F.array().cast("array<int>"))
-    drawn = F.aggregate(tries, F.lit(None).cast("long"), attempt)
-    return F.when(marked <= FEW, one_by_one).when(draws <= 0, F.lit(0)).when(draws >= total, marked).otherwise(F.coalesce(drawn, mode.cast("long")))
-
-
-def _draw_source(level: int):
-    """One source's share of a node's left half; the rest and the draws go down by it.
-
-    The share is drawn once: it is appended first, and the draws left are what
-    the appended array doesn't hold.
-    """
-
-    def step(acc: Column, k: Column) -> Column:
-        x = _hypergeometric(acc["rest"], k, acc["draws"] - F.aggregate(acc["left"], F.lit(0).cast("long"), lambda a, b: a + b), F.lit(level), F.col("node"), F.size(acc["left"]))
-        return F.struct(F.array_append(acc["left"], x).alias("left"), (acc["rest"] - k).alias("rest"), acc["draws"].alias("draws"))
-
-    return step
+    uniform = lambda *parts: f"(pmod(xxhash64({SEED}, {', '.join([*key, *parts])}), {1 << 52}) / {1 << 52}D)"
+    weight = lambda x: f"-({' + '.join(_log_factorial(n) for n in (x, f'(t.k - {x})', f'(t.m - {x})', f'(t.others + {x})'))})"
+    one_by_one = f"aggregate(sequence(1L, s.k), 0L, (x, j) -> x + cast({uniform('j')} * (s.n - j + 1) < s.m - x as bigint))"
+    # of any distribution of this kind: the box has the sides 2 sqrt(2/e) spread + 3 - 2 sqrt(3/e)
+    shape = """named_struct('k', s.k, 'm', s.m, 'others', s.n - s.k - s.m, 'low', greatest(0L, s.m + s.k - s.n), 'high', least(s.m, s.k), 'centre', s.m * (s.k / s.n) + 0.5D,
+        'box', sqrt(s.m * (s.k / s.n) * (1 - s.k / s.n) * (s.n - s.m) / greatest(s.n - 1, 1L) + 0.5D) * 1.7155277699214135D + 0.8989161620588988D, 'mode', floor((s.m + 1D) * (s.k + 1D) / (s.n + 2D)))"""
+    u = f"({uniform(repr('u'), 'j')} + 1e-16D)"
+    point = f"named_struct('u', {u}, 'x', floor(t.centre + t.box * ({uniform(repr('v'), 'j')} - 0.5D) / {u}))"
+    fit = f"case when c.x between t.low and t.high then case when 2 * ln(c.u) <= {weight('c.x')} - {weight('t.mode')} then cast(c.x as bigint) end end"
+    by_ratio = f"coalesce(aggregate(sequence(1, {TRIES}), cast(null as bigint), (found, j) -> case when found is not null then found else transform(array({point}), c -> {fit})[0] end), cast(t.mode as bigint))"
+    choose = f"case when s.k <= 0 or s.m <= 0 then 0L when s.m >= s.n then s.k when s.k <= {FEW} then {one_by_one} else transform(array({shape}), t -> {by_ratio})[0] end"
+    return f"transform(array(named_struct('n', {total}, 'k', {marked}, 'm', {draws})), s -> {choose})[0]"
 
 
 def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
     """(shard, rank, quota): the splitting tree over ``shards`` leaves, a power of two.
 
     ``quotas`` has a row for each source: rank (0, 1, ...) and quota.  Each level
-    is one select: a node's left half is drawn, its right half is what is left.
+    is one select: a node's left half is drawn source by source, each from what
+    the draws before it left, and its right half is what remains.
     """
     nodes = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "quota"))), lambda s: s["quota"]).alias("q")).select(F.lit(0).cast("long").alias("node"), F.coalesce("q", F.array().cast("array<long>")).alias("q"))
+    total = "aggregate(q, 0L, (a, b) -> a + b)"
+    draw = hypergeometric("acc.rest", "k", "acc.draws - aggregate(acc.left, 0L, (a, b) -> a + b)", "level", "node", "size(acc.left)")
+    left = f"aggregate(q, named_struct('left', cast(array() as array<bigint>), 'rest', {total}, 'draws', floor({total} / 2)), (acc, k) -> named_struct('left', array_append(acc.left, {draw}), 'rest', acc.rest - k, 'draws', acc.draws)).left"
     for level in range(int(log2(shards))):
-        total = F.aggregate("q", F.lit(0).cast("long"), lambda a, b: a + b)
-        start = F.struct(F.array().cast("array<long>").alias("left"), total.alias("rest"), F.floor(total / 2).cast("long").alias("draws"))
-
-        drawn = nodes.withColumn("left", F.aggregate("q", start, _draw_source(level))["left"])
-        halves = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "left", lambda a, b: a - b).alias("q")))
-        nodes = drawn.select(F.inline(halves))
+        drawn = nodes.withColumn("level", F.lit(level)).withColumn("left", F.expr(left))
+        nodes = drawn.select(F.expr("inline(array(named_struct('node', node * 2, 'q', left), named_struct('node', node * 2 + 1, 'q', zip_with(q, left, (a, b) -> a - b))))"))
+        if level % 4 == 3:
+            nodes = materialize(nodes, "nodes")  # plans stay short
     return nodes.select(F.col("node").alias("shard"), F.posexplode("q").alias("rank", "quota"))
 
 

@@ -446,11 +446,10 @@ def test_mixing(spark, docs, nothing):
 
 
 def test_hypergeometric_draws(spark):
-    from tallyframe.llm.mixing import _hypergeometric
+    from tallyframe.llm.mixing import hypergeometric
 
     for total, marked, draws in ((1000, 300, 500), (60, 20, 31), (10**6, 600_000, 250_000)):
-        long = lambda x: F.lit(x).cast("long")
-        x = np.array([r[0] for r in spark.range(8000).select(_hypergeometric(long(total), long(marked), long(draws), F.lit(marked), F.col("id"))).collect()], float)
+        x = np.array([r[0] for r in spark.range(8000).selectExpr(hypergeometric(f"{total}L", f"{marked}L", f"{draws}L", str(marked), "id")).collect()], float)
         mean, var = draws * marked / total, draws * marked / total * (1 - marked / total) * (total - draws) / (total - 1)
         assert abs(x.mean() - mean) < 5 * math.sqrt(var / len(x)) and 0.93 < x.var() / var < 1.07 and x.min() >= max(0, draws + marked - total) and x.max() <= min(draws, marked)
 

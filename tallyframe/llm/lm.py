@@ -58,6 +58,8 @@ GATES = 8 * (ORDER + 2)
 INPUTS = ORDER + 2
 REFINED = (256, 33)
 BATCH = 512
+#: Counted sequences that a learning task takes.
+SEQUENCES = 400_000
 RATE = 0.3
 
 
@@ -182,7 +184,7 @@ def _tables(bits: int):
         used = np.flatnonzero(owner)
         for i in range(0, len(used), 200_000):
             k = used[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(owner[k].astype(np.int16)), pa.array(sums[0, k]), pa.array(sums[1, k])], names=["slot", "check", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array((k << 8) | owner[k]), pa.array(sums[0, k]), pa.array(sums[1, k])], names=["cell", "n0", "n1"])
 
     return run
 
@@ -318,10 +320,12 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, int]:
     counted = materialize(texts.mapInArrow(_gather, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     n_texts = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     followed = counted.where("kind = 1").select("key", "n")
-    bits = min(MAX_BITS, max(12, (4 * followed.count()).bit_length()))
-    ordered = followed.repartition("key").sortWithinPartitions(F.col("n").desc(), "key")
-    slots = ordered.mapInArrow(_tables(bits), "slot int, check short, n0 long, n1 long").groupBy("slot", "check").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    slots = slots.groupBy("slot").agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "check", "n0", "n1")).alias("s")).select("slot", "s.check", "s.n0", "s.n1")
+    n_sequences = followed.count()
+    bits = min(MAX_BITS, max(12, (4 * n_sequences).bit_length()))
+    followed = followed.coalesce(1 + n_sequences // SEQUENCES)  # tables of a fixed size add up best over many sequences
+    cells = followed.sortWithinPartitions(F.col("n").desc(), "key").mapInArrow(_tables(bits), "cell long, n0 long, n1 long")
+    cells = cells.select(F.shiftright("cell", 8).cast("int").alias("slot"), "cell", "n0", "n1").repartition("slot").groupBy("slot", "cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    slots = cells.groupBy("slot").agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), F.col("cell").bitwiseAND(F.lit(255)).alias("check"), "n0", "n1")).alias("s")).select("slot", "s.check", "s.n0", "s.n1")
     scale = F.greatest(F.lit(1.0), F.greatest("n0", "n1") / 60000)
     small = lambda c: F.when(F.col(c) == 0, 0).otherwise(F.greatest(F.lit(1), F.round(F.col(c) / scale))).cast("long")
     rows = slots.select("slot", (small("n0") + F.shiftleft(small("n1"), 16) + F.shiftleft(F.col("check").cast("long"), 32)).alias("cell")).toArrow()
@@ -355,7 +359,7 @@ def _score(model: Model, known: tuple[np.ndarray, np.ndarray]):
                 missed = np.flatnonzero(keys[at] != packed)
                 if len(missed):
                     new, back = np.unique(packed[missed], return_inverse=True)
-                    fresh = np.concatenate([model.log10(new[i : i + 16384]) for i in range(0, len(new), 16384)]).astype(np.float32)
+                    fresh = np.concatenate([model.log10(new[i : i + 8192]) for i in range(0, len(new), 8192)]).astype(np.float32)
                     value[missed] = fresh[back]
                     place = (new * U64(0x9E3779B97F4A7C15) >> U64(64 - CACHE_BITS)).astype(np.int64)
                     keys[place], logs[place] = new, fresh

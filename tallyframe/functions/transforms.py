@@ -5,7 +5,7 @@ Each takes and returns a Column; bad text gives null, never an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONEY = "decimal(14,2)"
@@ -76,6 +76,26 @@ def extended(columns: list[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in columns])) if columns else F.lit(None).cast("string")
 
 
+def project(rows: DataFrame, fields: list[tuple[str, str]], approved: list[tuple[str, str]], resolutions: list[tuple[str, str, str | None]] = (), leftover: list[str] = ()) -> DataFrame:
+    """The staging table of a mapping definition: a column for each field, in declared order.
+
+    ``fields`` are (name, type); ``approved`` are (target, expression), of which
+    the last for a target counts; ``resolutions`` are (field, kind, value) for
+    fields that no column feeds, as in :func:`filled`; other fields are null.
+    ``leftover`` columns go to ``extended_attributes``.  A definition has a row
+    for each field, so the driver holds it; all rows are one select.
+    """
+    by_target = dict(approved)
+    given = {field: (kind, value) for field, kind, value in resolutions}
+    made = [F.expr(by_target[n]).alias(n) if n in by_target else filled(*given.get(n, ("NULL", None)), kind).alias(n) for n, kind in fields]
+    return rows.select(*made, extended(list(leftover)).alias("extended_attributes"))
+
+
+def unmapped_fields(fields: DataFrame, approved: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """Fields (name, ...) with neither an approved mapping (target) nor a resolution (field)."""
+    return fields.join(approved.select(F.col("target").alias("name")), "name", "left_anti").join(resolutions.select(F.col("field").alias("name")), "name", "left_anti")
+
+
 def kind_of(target: Column, source: Column, date_format: Column, is_id: Column, is_cents: Column, prefix: Column, truth: Column) -> Column:
     """The transform a mapped column needs, by name."""
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio, token_set_ratio
 
+# Thresholds of a pair, of a name and of kindred types.
 THRESHOLD = 0.55
 NAME_FLOOR = 0.62
 KINSHIP_FLOOR = 0.72
@@ -44,13 +45,28 @@ def pair_scores(columns: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ``columns``: source_name, column_name, ordinal, inferred_type, is_id, is_coded,
     is_cents, distinct_ratio, null_rate, vocabulary (array of upper-case values).
-    Catalog rows, not data rows, are paired, each source with those after it.
+    A source that names a column twice is refused.  ``evidence`` says what a pair's
+    score rests on.
+
+    A pair scores by a shared value or by names of ``NAME_FLOOR`` and more.  Shared
+    values are joined by value.  Names are compared once for each two distinct
+    expanded names that share a word or two letters (see ``_alike_names``), so
+    copies of a name in thousands of sources cost one comparison.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
+    if not columns.groupBy("source_name", "column_name").count().where("count > 1").isEmpty():
+        raise ValueError("a source names a column twice: source names must differ")
     usable = columns.where(~F.col("column_name").rlike(METADATA)).withColumn("words", expanded_name(F.col("column_name")))
     side = lambda p: usable.select(*[F.col(c).alias(f"{p}_{c}") for c in usable.columns])
-    pairs = side("a").join(side("b"), F.col("a_source_name") < F.col("b_source_name"))
+    keys = ["source_name", "column_name"]
+    valued = usable.select(*keys, F.explode(F.array_distinct("vocabulary")).alias("v"))
+    by_value = valued.select(*[F.col(c).alias(f"a_{c}") for c in keys], "v").join(valued.select(*[F.col(c).alias(f"b_{c}") for c in keys], "v"), "v").where("a_source_name < b_source_name").drop("v").distinct()
+    alike = _alike_names(usable.select("words").distinct())
+    named = usable.select(*keys, "words")
+    by_name = alike.join(named.select(*[F.col(c).alias(f"a_{c}") for c in keys], F.col("words").alias("x")), "x").join(named.select(*[F.col(c).alias(f"b_{c}") for c in keys], F.col("words").alias("y")), "y").where("a_source_name < b_source_name").select(by_value.columns)
+    found = by_value.unionByName(by_name).distinct()
+    pairs = found.join(side("a"), ["a_source_name", "a_column_name"]).join(side("b"), ["b_source_name", "b_column_name"])
     name = name_similarity(F.col("a_words"), F.col("b_words"))
     union = F.size(F.array_union("a_vocabulary", "b_vocabulary"))
     bounded = F.col("a_is_coded") | (F.size("a_vocabulary") > 0)
@@ -69,7 +85,32 @@ def pair_scores(columns: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .otherwise(0.0)
     )
     rows = rows.withColumn("score", F.bround(raw * F.col("gate"), 6)).where(F.col("score") >= threshold)
-    return rows.select("a_source_name", "a_column_name", "a_ordinal", "b_source_name", "b_column_name", "b_ordinal", F.bround("name", 4).alias("name"), F.bround("overlap", 4).alias("overlap"), "score")
+    evidence = F.array_compact(
+        F.array(
+            F.when(F.col("overlap") > 0, F.concat(F.lit("shared values "), F.bround("overlap", 2).cast("string"))),
+            F.when(F.col("name") >= NAME_FLOOR, F.concat(F.lit("names "), F.bround("name", 2).cast("string"))),
+            F.when(F.col("gate") < 1, F.concat(F.lit("shape "), F.bround("gate", 2).cast("string"))),
+        )
+    )
+    return rows.select("a_source_name", "a_column_name", "a_ordinal", "b_source_name", "b_column_name", "b_ordinal", F.bround("name", 4).alias("name"), F.bround("overlap", 4).alias("overlap"), "score", evidence.alias("evidence"))
+
+
+def _alike_names(names: DataFrame) -> DataFrame:
+    """(x, y): pairs of distinct expanded names, both orders and each with itself, that reach NAME_FLOOR.
+
+    Such a pair shares a word, or a common subsequence of at least 0.31 of the
+    longer text: two different letters, or else one letter that with the spaces
+    makes up that share of each text.  Each of these is a key, so none is missed.
+    """
+    words = F.array_distinct(F.split("words", " "))
+    share = 0.31 * F.length(F.array_join(words, " "))
+    count = lambda c: F.length("words") - F.length(F.replace(F.col("words"), c, F.lit("")))
+    letters = F.array_distinct(F.filter(F.split("words", ""), lambda c: (c != "") & (c != " ")))
+    pairs_of = F.flatten(F.transform(letters, lambda p: F.transform(F.filter(letters, lambda q: p < q), lambda q: F.concat(p, q))))
+    keyed = names.select("words", F.explode(F.array_union(F.array_union(pairs_of, words), F.filter(letters, lambda c: count(c) + count(F.lit(" ")) >= share))).alias("key"))
+    both = keyed.select(F.col("words").alias("x"), "key").join(keyed.select(F.col("words").alias("y"), "key"), "key").where("x <= y").select("x", "y").distinct()
+    near = both.where(name_similarity(F.col("x"), F.col("y")) >= NAME_FLOOR)
+    return near.unionByName(near.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y")))
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:
@@ -83,17 +124,17 @@ def _member(p: str) -> Column:
     return F.concat_ws(".", F.col(f"{p}_source_name"), F.col(f"{p}_column_name"))
 
 
-def _components(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(member, part): smallest-label propagation over catalog edges, checkpointed by the plan's size."""
+def _components(edges: DataFrame) -> DataFrame:
+    """(member, part): the smallest label spreads over catalog edges until none moves; labels jump to their label's, so long chains take few rounds."""
     both = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     labels = both.select(F.col("x").alias("member")).distinct().withColumn("part", F.col("member"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("member", "y"), "y").groupBy(F.col("x").alias("member")).agg(F.min("part").alias("p"))
         after = labels.join(near, "member").select("member", F.least("part", "p").alias("part"), (F.col("p") < F.col("part")).alias("moved")).checkpoint()
-        labels = after.select("member", "part")
         if after.where("moved").isEmpty():
-            break
-    return labels
+            return after.select("member", "part")
+        further = after.select(F.col("member").alias("part"), F.col("part").alias("q"))
+        labels = after.join(further, "part").select("member", F.col("q").alias("part"))
 
 
 def _agglomerate(part: pd.DataFrame) -> pd.DataFrame:
@@ -176,12 +217,16 @@ def _one_to_one(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["pair", "a", "b", "votes", "mean"])
 
 
-def vote_consensus(votes: DataFrame, runs: int, *, share: float = 0.8, floor: float = 0.6) -> DataFrame:
+def vote_consensus(votes: DataFrame, runs: int, *, share: float = 0.8, floor: float = 0.6, known: DataFrame | None = None) -> DataFrame:
     """Pairs proposed by repeated outside runs: (pair, run, a, b, confidence) to one-to-one matches.
 
-    One vote for each run; kept with max(1, int(runs * share)) votes and a mean
+    ``known`` (pair, side ``a`` or ``b``, name) lists the columns there are; votes
+    for others are dropped.  One vote for each run; kept with max(1, int(runs * share)) votes and a mean
     confidence of ``floor``; then greedily by votes and mean within a source pair.
     """
+    if known is not None:
+        for side in "ab":
+            votes = votes.join(known.where(F.col("side") == side).select("pair", F.col("name").alias(side)).distinct(), ["pair", side], "left_semi")
     once = votes.groupBy("pair", "run", "a", "b").agg(F.max("confidence").alias("confidence"))
     tally = once.groupBy("pair", "a", "b").agg(F.count("*").alias("votes"), F.bround(F.avg("confidence"), 6).alias("mean"))
     tally = tally.where((F.col("votes") >= max(1, int(runs * share))) & (F.col("mean") >= floor))

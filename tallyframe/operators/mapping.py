@@ -13,14 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import transforms
+from . import rowshape
 from ..functions.similarity import field_name, ratio, token_set_ratio
+from .profile import ID_ENDING
 
 # Weights, thresholds and the table of type compatibility.
 WEIGHTS = (0.65, 0.25, 0.10)
 NO_MATCH = 0.30
 LOW_CONFIDENCE = 0.70
 TIE = 0.05
-ID_NAME = r"(?i)(_ID|_NO|_NBR|_SEQ|_NUM|_REF|_KEY)$"
 PREFIX = r"^([A-Z]{2,5}-)"
 
 KEYS = ["source_name", "table_name", "column_name"]
@@ -73,7 +74,7 @@ def pattern_score(name: Column, target: Column) -> Column:
     return (
         F.when((target == "date") & ends("_DT|_DATE|_DAT"), 1.0)
         .when((target == "decimal") & ends("_AMT|_PREM|_LIM|_DED|_VAL|_REV"), 1.0)
-        .when(target.isin("integer", "bigint") & name.rlike(ID_NAME), 1.0)
+        .when(target.isin("integer", "bigint") & name.rlike(ID_ENDING), 1.0)
         .when((target == "boolean") & ends("_FLG|_FLAG|_IND"), 1.0)
         .when((target == "string") & ends("_CD|_CODE|_STAT|_TYP|_TYPE"), 0.5)
         .otherwise(0.0)
@@ -184,7 +185,8 @@ def contention(mapped: DataFrame, keys: list[str] | None = None) -> DataFrame:
     By falling confidence (ties by ``ordinal``): a clear first keeps the target; at
     a near tie the runner-up takes the field's other target, if there is one, and
     else the first keeps it provisionally and the target is contested.  The rest
-    are demoted.  Adds ``action`` and ``final_target``.
+    are demoted; their expressions stay.  Adds ``action``, ``final_target`` and
+    ``reason``.
     """
     part = [*(keys or ["source_name", "table_name"]), "target"]
     order = Window.partitionBy(*part).orderBy(F.col("confidence").desc(), "ordinal")
@@ -201,7 +203,13 @@ def contention(mapped: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
     rows = rows.withColumn("action", action)
     final = F.when(F.col("action").isin("kept", "contested"), F.col("target")).when(F.col("action") == "promoted", F.col("secondary"))
-    return rows.withColumn("final_target", final).drop("place", "first", "second")
+    winner = F.max(F.when(F.col("place") == 1, F.col("column_name"))).over(whole)
+    reason = (
+        F.when(F.col("action") == "demoted", F.concat(F.lit("target taken by "), winner))
+        .when(F.col("action") == "promoted", F.concat(F.lit("near tie with "), winner, F.lit(", moved to "), F.col("secondary")))
+        .when(F.col("action") == "contested", F.lit("near tie, kept until decided"))
+    )
+    return rows.withColumn("final_target", final).withColumn("reason", reason).drop("place", "first", "second")
 
 
 def contests(contended: DataFrame) -> DataFrame:
@@ -231,9 +239,49 @@ def missing_required(tables: DataFrame, fields: DataFrame, contended: DataFrame)
     return wanted.join(got, ["source_name", "table_name", "field"], "left_anti")
 
 
-def map_columns(columns: DataFrame, fields: DataFrame, *, weights: DataFrame | None = None, suggestions: DataFrame | None = None) -> DataFrame:
-    """Profiles to decided mappings, in one plan: exclusion, scores, best field, transform, contention."""
+def map_columns(columns: DataFrame, fields: DataFrame, *, weights: DataFrame | None = None, suggestions: DataFrame | None = None, overrides: DataFrame | None = None, expressions: DataFrame | None = None, sourceless: DataFrame | None = None, decisions: DataFrame | None = None) -> DataFrame:
+    """Profiles to decided mappings, in one plan.
+
+    Exclusion, scores, best field, transform, suggestions, overrides, repaired
+    expressions, suppression, contention and its decisions, in this order; the
+    tables of outside decisions are all optional.
+    """
     usable, _ = split_metadata(columns)
     best = with_transform(best_field(scores(usable, fields, weights)))
     mapped = merge_suggestions(best, suggestions, fields) if suggestions is not None else best.withColumn("method", F.lit("rule"))
-    return contention(mapped)
+    if overrides is not None:
+        mapped = merge_overrides(mapped, overrides)
+    if expressions is not None:
+        mapped = repair_expressions(mapped, expressions)
+    if sourceless is not None:
+        mapped = suppress(mapped, sourceless)
+    decided = contention(mapped)
+    return decide_contests(decided, decisions) if decisions is not None else decided
+
+
+def map_catalog(columns: DataFrame, fields: DataFrame, **tables: DataFrame) -> DataFrame:
+    """Everything that a mapping run returns, one row for each finding, for all tables at once.
+
+    ``columns`` also has row_count, null_rate and exact_distinct.  Returns
+    (source_name, table_name, kind, name, detail): ``mapped`` columns with their
+    targets, ``unmapped`` columns, ``excluded`` ones, ``missing`` required
+    fields, ``contested`` targets with their provisional winners, and the row
+    shape's ``key``.
+    """
+    decided = map_columns(columns, fields, **tables)
+    where = ["source_name", "table_name"]
+    row = lambda df, kind, name, detail: df.select(*where, F.lit(kind).alias("kind"), name.alias("name"), detail.alias("detail"))
+    none = F.lit(None).cast("string")
+    shapes = rowshape.infer(columns).join(columns.select(*where).distinct(), "table_name")
+    parts = [
+        row(decided.where("final_target is not null"), "mapped", F.col("column_name"), F.col("final_target")),
+        row(decided.where("final_target is null"), "unmapped", F.col("column_name"), F.col("reason")),
+        row(split_metadata(columns)[1], "excluded", F.col("column_name"), none),
+        row(missing_required(columns.select(*where, "schema_key").distinct(), fields, decided), "missing", F.col("field"), none),
+        row(contests(decided), "contested", F.col("target"), F.col("provisional")),
+        row(shapes, "key", F.col("natural_key"), F.col("strategy")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import field_similarity
 from . import mapping, scoring
 
+# The thresholds of the sweep.
 THRESHOLDS = (0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85)
 
 
@@ -50,12 +51,8 @@ def threshold_sweep(mappings: DataFrame) -> DataFrame:
     return rows.groupBy("threshold").agg(F.count_if(F.col("confidence") < F.col("threshold")).alias("routed"), F.count("*").alias("columns"))
 
 
-def curate(history: DataFrame, labels: DataFrame, active: DataFrame) -> DataFrame:
-    """New examples: the newest qualifying row of each column, with the reason.
-
-    Qualifying: hard and TP, or decided by the critic and accepted.  Columns that
-    have an active example, or whose row has no signature, are left out.
-    """
+def qualifying(history: DataFrame, labels: DataFrame) -> DataFrame:
+    """The newest row of each column that is hard and TP, or decided by the critic and accepted."""
     keys = ["source_name", "source_column"]
     rows = history.join(labels.select(*keys, "is_hard"), keys, "left")
     hard = F.coalesce(F.col("is_hard"), F.lit(False)) & (F.col("verdict") == "TP")
@@ -63,8 +60,26 @@ def curate(history: DataFrame, labels: DataFrame, active: DataFrame) -> DataFram
     origin = F.when(hard, "hard_case").when(critic, "critic_accepted")
     rows = rows.withColumn("origin", origin).where("origin is not null")
     kept = [c for c in ("id", "target_field", "origin", "profile_signature", "recorded_at")]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*kept), F.struct("recorded_at", "id")).alias("r")).select(*keys, "r.*")
-    return newest.where("profile_signature is not null").join(active.select(*keys), keys, "left_anti")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*kept), F.struct("recorded_at", "id")).alias("r")).select(*keys, "r.*")
+
+
+def curate(history: DataFrame, labels: DataFrame, active: DataFrame) -> DataFrame:
+    """New examples: the qualifying row of each column, with the reason.
+
+    Columns that have an active example, or whose row has no signature, are left out.
+    """
+    keys = ["source_name", "source_column"]
+    return qualifying(history, labels).where("profile_signature is not null").join(active.select(*keys), keys, "left_anti")
+
+
+def curation_counts(history: DataFrame, labels: DataFrame, active: DataFrame) -> DataFrame:
+    """One row: hard cases and critic decisions added, columns skipped for an active example, and for want of a signature."""
+    keys = ["source_name", "source_column"]
+    newest = qualifying(history, labels)
+    rows = newest.join(active.select(*keys).distinct().withColumn("has", F.lit(True)), keys, "left")
+    held = F.coalesce(F.col("has"), F.lit(False))
+    signed = F.col("profile_signature").isNotNull()
+    return rows.agg(*[F.count_if(c).alias(n) for n, c in (("added_hard", ~held & signed & (F.col("origin") == "hard_case")), ("added_critic", ~held & signed & (F.col("origin") == "critic_accepted")), ("skipped_existing", held), ("skipped_no_signature", ~held & ~signed))])
 
 
 def similar_examples(columns: DataFrame, examples: DataFrame, *, floor: float = 0.35, k: int = 3) -> DataFrame:
@@ -89,10 +104,22 @@ def example_stats(examples: DataFrame) -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, key: list[str], stratum: str, share: float = 0.7, seed: int = 7) -> DataFrame:
-    """Add ``part``: round(n * share) rows of each stratum train, in hash order."""
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), *key), *key)
-    n = F.count("*").over(Window.partitionBy(stratum))
-    return rows.withColumn("part", F.when(F.row_number().over(order) <= F.bround(n * share), "train").otherwise("holdout"))
+    """Add ``part``: round(n * share) rows of each stratum train, in the order of a digest of the key.
+
+    Counts by the digest's first four digits say in which of 65,536 buckets a
+    stratum's boundary lies; only that bucket's rows are numbered.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    marked = rows.withColumn("_d", digest).withColumn("_b", F.substring("_d", 1, 4))
+    counts = marked.groupBy(stratum, "_b").agg(F.count("*").alias("_c"))
+    up = Window.partitionBy(stratum).orderBy("_b")
+    ends = counts.withColumn("_end", F.sum("_c").over(up)).withColumn("_want", F.bround(F.sum("_c").over(Window.partitionBy(stratum)) * share).cast("long"))
+    ends = ends.where("_end - _c <= _want and _end > _want").select(F.col(stratum).alias("_s"), F.col("_b").alias("_edge"), (F.col("_want") - F.col("_end") + F.col("_c")).alias("_left"))
+    placed = marked.join(F.broadcast(ends), F.col(stratum).eqNullSafe(F.col("_s")), "left")  # at most one row for each stratum
+    number = F.row_number().over(Window.partitionBy(stratum).orderBy("_d", *key))
+    at_edge = placed.where(F.col("_b") == F.col("_edge")).withColumn("part", F.when(number <= F.col("_left"), "train").otherwise("holdout"))
+    others = placed.where(F.coalesce(F.col("_b") != F.col("_edge"), F.lit(True))).withColumn("part", F.when(F.coalesce(F.col("_b") < F.col("_edge"), F.lit(True)), "train").otherwise("holdout"))
+    return others.unionByName(at_edge).select(*rows.columns, "part")
 
 
 def diagnose(scored: DataFrame, calibration: float = 0.15) -> DataFrame:
@@ -108,6 +135,14 @@ def regressions(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFra
     return before.where(right).select(*keys).join(after.where(right).select(*keys), keys, "left_anti")
 
 
+def comparison(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: columns, regressed ones, mean losses, and whether the change is an improvement (a lower loss and none regressed)."""
+    lost = regressions(before, after, keys).agg(F.count("*").alias("regressed"))
+    mean = lambda df, name: df.agg(F.count("*").alias(f"{name}_columns"), F.avg("loss").alias(f"{name}_loss"))
+    row = mean(before, "before").join(mean(after, "after"), F.lit(True)).join(lost, F.lit(True))
+    return row.withColumn("improved", (F.col("after_loss") < F.col("before_loss")) & (F.col("regressed") == 0))
+
+
 def repeat_variance(losses: DataFrame, keys: list[str]) -> DataFrame:
     return losses.groupBy(*keys).agg(F.bround(F.avg("loss"), 6).alias("mean"), F.bround(F.stddev_pop("loss"), 6).alias("stdev"), F.count("*").alias("runs"))
 
@@ -118,22 +153,30 @@ def latest_accepted(versions: DataFrame) -> DataFrame:
 
 
 def usage_rows(calls: DataFrame, history: DataFrame) -> DataFrame:
-    """One row per (run, column): the tools called in order, the verdict, the signature."""
+    """One row per (run, column): the tools called, the first five calls in order, the number of calls, the verdict, the signature.
+
+    No list of all calls is made: tools are a set, and first calls are ranked.
+    """
     keys = ["run_id", "source_column"]
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("call_order", "tool_name"))), lambda s: s["tool_name"])
-    per = calls.where("agent = 'mapping'").groupBy(*keys).agg(listed.alias("tools"), F.count("*").alias("calls"))
+    own = calls.where("agent = 'mapping'")
+    order = Window.partitionBy(*keys).orderBy("call_order", "tool_name")
+    ranked = own.withColumn("place", F.row_number().over(order)).where("place <= 5")
+    first = ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "tool_name"))), lambda s: s["tool_name"]).alias("first_tools"))
+    per = own.groupBy(*keys).agg(F.array_sort(F.collect_set("tool_name")).alias("tools"), F.count("*").alias("calls")).join(first, keys)
     latest = history.groupBy(*keys).agg(F.max_by(F.struct("verdict", "signature"), F.struct("recorded_at", "id")).alias("h")).select(*keys, "h.*")
-    return latest.join(per, keys, "left").select(*keys, "verdict", "signature", F.coalesce("tools", F.array().cast("array<string>")).alias("tools"), F.coalesce("calls", F.lit(0)).cast("long").alias("calls"))
+    return latest.join(per, keys, "left").select(*keys, "verdict", "signature", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("tools", "first_tools")], F.coalesce("calls", F.lit(0)).cast("long").alias("calls"))
 
 
-def tool_value(rows: DataFrame, tools: list[str]) -> DataFrame:
-    """Accuracy with and without each tool within groups of one signature; both sides non-empty."""
+def tool_value(rows: DataFrame) -> DataFrame:
+    """Accuracy with and without each tool within groups of one signature; both sides non-empty.
+
+    Rows that called a tool are counted by tool; those that did not are the group's others.
+    """
     scored = rows.where("verdict is not null").withColumn("ok", F.col("verdict").isin("TP", "TN").cast("double"))
-    big = scored.groupBy("signature").agg(F.count("*").alias("n")).where("n >= 2").select("signature")
-    each = scored.join(big, "signature").select("signature", "ok", "tools", F.explode(F.array(*[F.lit(t) for t in tools])).alias("tool"))
-    called = F.array_contains("tools", F.col("tool"))
-    out = each.groupBy("signature", "tool").agg(F.count_if(called).alias("with_n"), F.count_if(~called).alias("without_n"), F.avg(F.when(called, F.col("ok"))).alias("a"), F.avg(F.when(~called, F.col("ok"))).alias("b"))
-    out = out.where("with_n > 0 and without_n > 0")
+    groups = scored.groupBy("signature").agg(F.count("*").alias("n"), F.sum("ok").alias("good")).where("n >= 2")
+    called = scored.select("signature", "ok", F.explode("tools").alias("tool")).groupBy("signature", "tool").agg(F.count("*").alias("with_n"), F.sum("ok").alias("with_good"))
+    out = called.join(groups, "signature").withColumn("without_n", F.col("n") - F.col("with_n")).where("without_n > 0")
+    out = out.withColumn("a", F.col("with_good") / F.col("with_n")).withColumn("b", (F.col("good") - F.col("with_good")) / F.col("without_n"))
     return out.select("signature", "tool", "with_n", "without_n", F.bround("a", 6).alias("with_accuracy"), F.bround("b", 6).alias("without_accuracy"), F.bround(F.col("a") - F.col("b"), 6).alias("delta"))
 
 

@@ -21,20 +21,25 @@ LEGACY = """legacy as (select
   from orders)"""
 LEGACY_COLUMNS = ["POL_NO", "POL_NO_SEQ", "EFF_DT", "SIGN_DT", "ISO_DT", "PREM_AMT", "DEDUCT", "WINBK_FLG", "CLAIMS_IND", "INS_NM", "POL_STAT_CD"]
 COLUMNS = {
-    "customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]),
-    "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]),
-    "supplier": ("s_suppkey", ["s_suppkey", "s_name", "s_nationkey"]),
-    "events": ("event_id", ["event_id", "ts", "user_id", "event_type", "props"]),
+    "customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+    "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
+    "supplier": ("s_suppkey", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]),
+    "events": ("event_id", ["event_id", "ts", "user_id", "event_type", "value", "props"]),
     "legacy": ("pos", LEGACY_COLUMNS),
+    "lineitem": ("l_orderkey * 10 + l_linenumber", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]),
+}
+TEXTS = {
+    **{c: f"strftime({c}, '%Y-%m-%d')" for c in ("o_orderdate", "l_shipdate")},
+    "ts": "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')",
+    **{c: f"cast(cast({c} as decimal(20, 4)) as varchar)" for c in ("c_acctbal", "o_totalprice", "s_acctbal", "value", "l_quantity", "l_extendedprice", "l_discount", "l_tax")},
 }
-DATES = {"o_orderdate", "ts"}
 
 
 def _cells(name: str = "cells", tables: dict | None = None) -> str:
     parts = []
     for table, (key, columns) in (tables or COLUMNS).items():
         for i, c in enumerate(columns):
-            text = f"strftime({c}, '%Y-%m-%d')" if c in DATES else f'cast("{c}" as varchar)'
+            text = TEXTS.get(c, f'cast("{c}" as varchar)')
             parts.append(f"select '{table}' as table_name, '{c}' as column_name, {i} as ordinal, cast({key} as bigint) as pos, nullif(trim(coalesce({text}, '')), '') as value from {table}")
     return f"{name} as (" + " union all ".join(parts) + ")"
 
@@ -61,14 +66,14 @@ def _profile(p: str = "", cells: str = "cells") -> str:
 {p}counts as (select table_name, column_name, min(ordinal) as ordinal, count(*) as row_count, count(value) as filled from {cells} group by all),
 {p}profile as (select c.table_name, c.column_name, c.ordinal, c.row_count, case when row_count = 0 then 1.0 else round_even((row_count - filled) / row_count, 4) end as null_rate,
   least(coalesce(d, 0), 1000) as distinct_count, coalesce(d, 0) as exact_distinct, coalesce(t, 'string') as inferred_type, case when t = 'date' then f end as date_format,
-  regexp_matches(c.column_name, '(?i)(_ID|_NO|_NBR|_SEQ|_NUM|_REF|_KEY)$') as is_id,
+  regexp_matches(c.column_name, '(?i)(_ID|_NO|_NBR|_SEQ|_NUM|_KEY|_REF)$') as is_id,
   coalesce(d, 0) < 20 and coalesce(t, 'string') in ('string', 'boolean') and coalesce(longest, 0) <= 10 as is_coded,
   coalesce(t, 'string') = 'integer' and regexp_matches(c.column_name, '(?i)(AMT|PREM|LIM|DED|VAL|REV|EXPO|COST|FEE|CHG|BAL)') as is_cents
   from {p}counts c left join {p}shape using (table_name, column_name) left join {p}winner using (table_name, column_name) left join {p}format using (table_name, column_name))"""
 
 
 BASE = f"with {LEGACY}, {_cells()}, {_profile()}"
-SAMPLES = "samples as (select table_name, column_name, list(value order by pos) as samples from (select * from cells where value is not null qualify row_number() over (partition by table_name, column_name order by pos) <= 10) group by all)"
+SAMPLES = "samples as (select table_name, column_name, list(value order by pos, value) as samples from (select * from cells where value is not null qualify row_number() over (partition by table_name, column_name order by pos, value) <= 10) group by all)"
 TOP = "top as (select table_name, column_name, row_number() over (partition by table_name, column_name order by n desc, first_pos, value) as rank, value, n from vals join (select table_name, column_name from vals group by all having count(*) <= 20) using (table_name, column_name) qualify rank <= 5)"
 
 
@@ -105,7 +110,7 @@ def _fields() -> str:
 
 CLEAN = "trim(replace(lower(regexp_replace({0}, '^_+', '')), '_', ' '))"
 SCORED = f"""{_fields()},
-columns_ as (select *, case when table_name in ('orders', 'events') then 'customer_table' else 'policy' end as schema_key, case when table_name = 'legacy' then 'oldsys' else 'shop' end as source_name from profile where not regexp_matches(column_name, '(?i)^_CDC_')),
+columns_ as (select *, case when table_name in ('orders', 'events', 'lineitem') then 'customer_table' else 'policy' end as schema_key, case when table_name = 'legacy' then 'oldsys' else 'shop' end as source_name from profile where not regexp_matches(column_name, '(?i)^_CDC_')),
 names_ as (select schema_key, field, {CLEAN.format('n')} as b from (select schema_key, field, unnest(names) as n from fields)),
 lefts as (select distinct column_name, schema_key, {CLEAN.format('column_name')} as a from columns_),
 joined as (select distinct l.column_name, l.schema_key, l.a, n.field, n.b from lefts l join names_ n using (schema_key)),
@@ -159,7 +164,7 @@ _DECIDED = """known as (select distinct target as name from h where target is no
 dec as (select id, case when id % 3 = 0 then 'accept' when id % 3 = 1 then 'modify' else 'skip' end as decision, 'field_' || id % 26 as new_target from h where id % 40 <> 7 or id % 3 <> 0),
 decided as (select h.id, h.source_name, h.source_column, h.confidence, coalesce(decision, 'pending') as decision, case when decision = 'accept' then target when decision = 'modify' then new_target end as approved_target, case when decision = 'modify' then 'manual' else method end as method
   from h left join (select * from dec where decision <> 'modify' or new_target in (select name from known)) using (id)),
-states as (select d.source_column, count(*) as columns, count(*) filter (decision = 'pending') as pending, any_value(coalesce(c, 0)) as contests from decided d left join (select source_column, count(*) as c from decided where confidence > 0.985 and source_name = 'src0' group by all) using (source_column) group by all)"""
+states as (select d.source_column, count(*) as columns, count(*) filter (decision = 'pending') as pending, any_value(coalesce(c, 0)) as contests from decided d left join (select source_column, count(*) as c from decided where confidence > 0.985 and source_name = 'src0' and source_column in ('COL_1', 'COL_2', 'COL_3') group by all) using (source_column) group by all)"""
 DECIDED = f"with {_H}, {_DECIDED}"
 
 _MAP = ", ".join(f"'{k}': '{v}'" for k, v in ABBREVIATIONS.items())
@@ -242,6 +247,17 @@ _EXPRESSION = """case transform when 'compact_date' then 'try_to_date(' || q ||
   when 'whole_number' then 'try_cast(' || q || ' as bigint)' when 'cents' then 'cast(try_cast(' || q || ' as decimal(14,0)) / 100 as decimal(14,2))' when 'money' then 'try_cast(' || q || ' as decimal(12,2))' else 'nullif(trim(' || q || '), '''')' end"""
 
 
+_PRINT = "'[' || string_agg(column_name || ':' || inferred_type || ':' || is_id || ':' || is_coded || ':' || coalesce(date_format, ''), ', ' order by lower(column_name), column_name) || ']'"
+_ROUNDED = "rounded as (select * exclude (confidence), round_even(confidence, 1) as confidence from best)"
+_SQL_TYPES = {"integer": "bigint", "bigint": "bigint", "decimal": "decimal(12, 2)", "date": "date", "boolean": "boolean", "string": "varchar"}
+_STAGED_BY = {
+    "policy_id": """try_cast(replace("POL_NO", 'PCM-', '') as bigint)""", "policy_number": """nullif(trim("POL_NO"), '')""", "risk_score": 'try_cast("POL_NO_SEQ" as bigint)', "start_date": """cast(try_strptime("EFF_DT", '%Y%m%d') as date)""",
+    "end_date": 'try_cast("ISO_DT" as date)', "premium_amount": 'cast(try_cast("PREM_AMT" as decimal(14, 0)) / 100 as decimal(14, 2))', "policy_deductible": """try_cast(nullif("DEDUCT", '') as decimal(12, 2))""",
+    "win_back_eligible": """case upper("WINBK_FLG") when 'Y' then true when 'N' then false end""", "policy_status": """nullif(trim("POL_STAT_CD"), '')""", "region_code": "'TX'", "customer_id": 'try_cast("POL_NO"[5:] as bigint)', "annual_revenue_impact": "12.50::decimal(12, 2)",
+}
+_STAGED = ", ".join([f"{_STAGED_BY.get(name, f'null::{_SQL_TYPES[kind]}')} as {name}" for name, kind, *_ in canonical.POLICY] + ["""'{"SIGN_DT":"' || "SIGN_DT" || '","CLAIMS_IND":"' || "CLAIMS_IND" || '"}' as extended_attributes"""])
+
+
 def oracle_sql() -> dict[str, str]:
     ends = "a_source_name, a_column_name, b_source_name, b_column_name"
     return {
@@ -251,10 +267,42 @@ def oracle_sql() -> dict[str, str]:
   try_cast(lower("CLAIMS_IND") as boolean) as claims_made, array_to_string(list_transform(string_split(lower(trim("INS_NM")), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as insured_name,
   case trim("POL_STAT_CD") when 'F' then 'Final' when 'O' then 'Open' else trim("POL_STAT_CD") end as policy_status, 'TX' as region_code, length("POL_NO") as number_length, cast(null as bigint) as customer_id,
   '{{"POL_NO_SEQ":"' || "POL_NO_SEQ" || '","CLAIMS_IND":"' || "CLAIMS_IND" || '"}}' as extended_attributes from legacy""",
-        "canonical_unmapped": f"with {_fields()} select field as name, required from fields where schema_key = 'policy' and field not in ('policy_id', 'policy_number', 'start_date', 'end_date', 'premium_amount', 'policy_deductible', 'win_back_eligible', 'policy_status', 'region_code') and (select count(*) from orders) > 0",
+        "canonical_unmapped": f"""with {LEGACY}, {_fields()} select field as name, required, "POL_STAT_CD", count(*) as rows from legacy, fields where schema_key = 'policy'
+  and field not in ('policy_id', 'policy_number', 'risk_score', 'start_date', 'end_date', 'premium_amount', 'policy_deductible', 'win_back_eligible', 'policy_status', 'region_code', 'customer_id', 'agent_id', 'annual_revenue_impact') group by all""",
+        "staging_projection": f"with {LEGACY} select {_STAGED} from legacy",
+        "label_catalog": f"""with {_H}, t as (select *, 't' || id % 3 as table_name from h)
+select source_name, table_name, source_column, arg_max_null(truth, id) as truth, min(truth) as secondary, max(confidence_floor) as confidence_floor, max(chk) as "check", bool_or(is_hard) as is_hard from t group by all
+union all select distinct source_name, table_name, '-', target, null, null, null, null from t where id % 97 = 5 and target is not null""",
+        "profile_vote_limit": f"""{BASE}, lasts as (select table_name, max(pos) as last_pos from (select * from cells where ordinal = 0 qualify row_number() over (partition by table_name order by pos) <= 700) group by all),
+vcells as (select cells.* from cells join lasts using (table_name) where pos <= last_pos), {_profile('v', 'vcells')}
+select p.table_name, p.column_name, v.inferred_type, v.date_format, p.row_count, p.null_rate from profile p join vprofile v using (table_name, column_name)""",
+        "map_contest_list": f"""{MAPPED}, {BEST}, {_ROUNDED}, {CONTENDED.replace('from best', 'from rounded')},
+open_ as (select source_name, table_name, target, column_name as provisional from contended where action = 'contested')
+select source_name, table_name, target, provisional, string_agg(column_name || '=' || printf('%.1f', confidence), ',' order by confidence desc, ordinal) as columns from contended join open_ using (source_name, table_name, target) group by all""",
+        "map_reasons": f"""{MAPPED}, {BEST}, {_ROUNDED}, {CONTENDED.replace('from best', 'from rounded')},
+won as (select *, max(case when place = 1 then column_name end) over (partition by source_name, table_name, target) as winner from contended)
+select table_name, column_name, target, action, final_target, case action when 'demoted' then 'target taken by ' || winner when 'promoted' then 'near tie with ' || winner || ', moved to ' || secondary else 'near tie, kept until decided' end as reason from won where action in ('demoted', 'promoted', 'contested')""",
+        "map_schemas": """with c as (select distinct event_type as table_name, case event_id % 10 when 0 then '_cdc_op' when 1 then '_CDC_TS' else 'COL_' || event_id % 10 end as column_name from events)
+select table_name, column_name, case table_name when 'click' then 'clicks' when 'purchase' then 'sales' when 'view' then 'views' else 'policy' end as schema_key, lower(column_name) like '\\_cdc\\_%' escape '\\' as excluded from c""",
+        "map_review_selection": f"with {_H} select id, confidence, is_hard, (id % 5) / 4 as confidence_floor from h where id % 7 <> 0 and (is_hard or confidence < (id % 5) / 4)",
+        "map_catalog": f"""{MAPPED}, {BEST}, {CONTENDED}, {_ROWSHAPE}
+select table_name, case when final_target is null then 'unmapped' else 'mapped' end as kind, column_name as name, final_target as detail from contended
+union all select table_name, 'contested', target, column_name from contended where action = 'contested'
+union all select t.table_name, 'missing', f.field, null from (select distinct table_name, schema_key from columns_) t join fields f using (schema_key) where required and not exists (select 1 from contended c where c.table_name = t.table_name and c.final_target = f.field)
+union all select table_name, 'key', natural_key, strategy from rowshape""",
+        "drift_to_map": f"select source_name, new_name, new_type from ({_DRIFT}) where kind = 'added'",
+        "backfill_rows": f"with {_H} select source_name, 't' as table_name, source_column, target as target_field, count(*) as n from h where id % 50 = 3 group by all",
+        "score_export": f"{SCORES} select cast(id as varchar) as id, verdict, cast(below_floor as varchar) as below_floor from sc",
+        "stratified_split": f"with {_H} select id, is_hard, case when row_number() over (partition by is_hard order by md5('7:' || id), id) <= round_even(count(*) over (partition by is_hard) * 0.7::double, 0) then 'train' else 'holdout' end as part from h",
+        "curation_counts": f"""{HIST}, l as (select source_name, source_column, bool_or(is_hard) as hard from h group by all), q as (select hv.*, case when hard and verdict = 'TP' then 'hard_case' when method = 'critic' and reviewer_action in ('accepted', 'auto_approved') then 'critic_accepted' end as origin from hv join l using (source_name, source_column)),
+n as (select *, exists (select 1 from h where h.id % 211 = 0 and h.source_name = x.source_name and h.source_column = x.source_column) as held from (select * from q where origin is not null qualify row_number() over (partition by source_name, source_column order by recorded_at desc, id desc) = 1) x)
+select count(*) filter (not held and profile_signature is not null and origin = 'hard_case') as added_hard, count(*) filter (not held and profile_signature is not null and origin = 'critic_accepted') as added_critic, count(*) filter (held) as skipped_existing, count(*) filter (not held and profile_signature is null) as skipped_no_signature from n""",
+        "improvement": f"""{SCORES}, c as (select count(*) filter (id % 2 = 0) as before_columns, count(*) filter (id % 2 = 1) as after_columns, avg(loss) filter (id % 2 = 0) as b, avg(loss) filter (id % 2 = 1) as a from sc),
+r as (select count(*) as regressed from sc x where x.id % 2 = 0 and x.ok and not exists (select 1 from sc y where y.id = x.id + 1 and y.ok))
+select before_columns, after_columns, regressed, round_even(b, 6) as before_loss, round_even(a, 6) as after_loss, a < b and regressed = 0 as improved from c, r""",
         "delimited_scan": f"with {LEGACY} select * exclude (pos) from legacy",
         "source_row_counts": " union all ".join(f"select '{x}' as table_name, count(*) as row_count from {x}" for x in ("customer", "orders", "supplier", "events", "lineitem", "documents")),
-        "drift_versions": _DRIFT.split("both_ as (")[0].rstrip().rstrip(",") + " select 'new' as source_name, 1 as version, count(*)::int as columns from oprofile union all select 'forced', 2, count(*)::int from nprofile",
+        "drift_versions": _DRIFT.split("both_ as (")[0].rstrip().rstrip(",") + f" select 'new' as source_name, 1 as version, count(*)::int as columns, {_PRINT} as fingerprint from oprofile union all select 'forced', 2, count(*)::int, {_PRINT} from nprofile",
         "tune_grid": TUNE,
         "tune_simplex": f"{MAPPED}, {_GRID} select point, count(*) as scores, round_even(sum(least(1.0::double, wa * name_score + wb * type_score + wc * pattern_score)), 3)::decimal(18, 3) as total from typed, grid group by all",
         "similar_examples": SIMILAR,

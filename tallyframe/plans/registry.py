@@ -18,8 +18,7 @@ from ..sources import artifacts, delimited
 from ..sources.tables import read_text, target_fields
 from . import canonical
 
-TABLES = {"customer": "c_custkey", "orders": "o_orderkey", "supplier": "s_suppkey", "events": "event_id"}
-TOOLS = ["click", "purchase", "view", "signup", "login", "logout", "search", "error"]
+TABLES = {"customer": "c_custkey", "orders": "o_orderkey", "supplier": "s_suppkey", "events": "event_id", "lineitem": "l_orderkey * 10 + l_linenumber"}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,13 +74,46 @@ def canonical_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staging(spark, sf_dir)
 
 
+#: A mapping definition of the legacy extract as a reviewer leaves it: (column, transform, prefix, target), the last for a target counts.
+APPROVED = [
+    ("POL_NO", "blank_as_null", None, "policy_id"), ("POL_NO", "prefixed_id", "PCM-", "policy_id"), ("POL_NO", "blank_as_null", None, "policy_number"), ("POL_NO_SEQ", "whole_number", None, "risk_score"), ("EFF_DT", "compact_date", None, "start_date"),
+    ("ISO_DT", "iso_date", None, "end_date"), ("PREM_AMT", "cents", None, "premium_amount"), ("DEDUCT", "money", None, "policy_deductible"), ("WINBK_FLG", "yes_no", None, "win_back_eligible"), ("POL_STAT_CD", "blank_as_null", None, "policy_status"),
+]
+RESOLVED = [("region_code", "HARDCODED", "TX"), ("customer_id", "DERIVED", "try_cast(substr(POL_NO, 5) as bigint)"), ("agent_id", "NULL", None), ("annual_revenue_impact", "HARDCODED", "12.50")]
+
+
+def _approved(spark: SparkSession) -> DataFrame:
+    """The definition's mappings with the text of their transforms, in order."""
+    d = spark.createDataFrame([(i, *a) for i, a in enumerate(APPROVED)], "n int, column_name string, transform string, prefix string, target string")
+    return d.select("n", "target", t.expression(F.col("transform"), F.col("column_name"), F.col("prefix")).alias("expression"))
+
+
+def staging_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14, M9: a definition's texts run over all rows, one column for each field of the schema in its order."""
+    listed = [(r.name, r.target_type) for r in canonical.fields(spark).where("schema_key = 'policy'").orderBy("ordinal").collect()]
+    approved = [(r.target, r.expression) for r in _approved(spark).orderBy("n").collect()]
+    return t.project(legacy(spark, sf_dir), listed, approved, RESOLVED, ["SIGN_DT", "CLAIMS_IND"])
+
+
 def canonical_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Required and optional fields that neither a mapping nor a resolution covers, by mapped row counts."""
-    got = staging(spark, sf_dir)
-    counts = got.select([F.count(c).alias(c) for c in got.columns])
-    have = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("filled")) for c in got.columns])))
+    """Fields that neither an approved mapping nor a resolution covers, for each status of the extract's rows."""
     wanted = canonical.fields(spark).where("schema_key = 'policy'").select("name", "required")
-    return wanted.join(have.where("filled > 0"), "name", "left_anti")
+    resolved = spark.createDataFrame(RESOLVED, "field string, kind string, value string")
+    missing = t.unmapped_fields(wanted, _approved(spark), resolved)
+    used = legacy(spark, sf_dir).groupBy("POL_STAT_CD").agg(F.count("*").alias("rows"))
+    return used.join(F.broadcast(missing), F.lit(True))
+
+
+def label_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels derived from the history, written as catalog files by source and loaded again."""
+    h = history(spark, sf_dir).withColumn("table_name", F.concat(F.lit("t"), (F.col("id") % 3).cast("string")))
+    keys = ["source_name", "table_name", "source_column"]
+    columns = h.groupBy(*keys).agg(F.max_by("truth", "id").alias("truth"), F.min("truth").alias("secondary"), F.max("confidence_floor").alias("confidence_floor"), F.max("check").alias("check"), F.bool_or("is_hard").alias("is_hard"))
+    missing = h.where("id % 97 = 5 and target is not null").select("source_name", "table_name", F.col("target").alias("field"))
+    path = new_folder(spark, "labels")
+    artifacts.write_labels(columns, missing, path)
+    found, gone = artifacts.read_labels(spark, path)
+    return found.unionByName(gone.select("source_name", "table_name", F.lit("-").alias("source_column"), F.col("field").alias("truth")), allowMissingColumns=True)
 
 
 def dedup_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,21 +130,28 @@ def dedup_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [profile.melt(profile_input(spark, sf_dir, name), F.col(key), name) for name, key in TABLES.items()]
+    parts = [profile.melt(profile_input(spark, sf_dir, name), F.expr(key), name) for name, key in TABLES.items()]
     x = legacy(spark, sf_dir)
     parts.append(profile.melt(x, F.substring("POL_NO", 5, 8).cast("bigint"), "legacy"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def profile_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Tables without doubles and maps, whose text differs between engines; times as ISO dates."""
+    """All columns; doubles as texts of four decimals and times of six, the same in every engine."""
     df = read(spark, sf_dir, name)
-    keep = [F.date_format(c, "yyyy-MM-dd").alias(c) if k.startswith("timestamp") else F.col(c) for c, k in df.dtypes if k not in ("double",)]
-    return df.select(keep)
+    text = {"double": lambda c: F.col(c).cast("decimal(20,4)"), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")}
+    if name in ("orders", "lineitem"):  # their times are dates
+        text |= {k: lambda c: F.date_format(c, "yyyy-MM-dd") for k in ("timestamp", "timestamp_ntz")}
+    return df.select([text.get(k, F.col)(c).alias(c) for c, k in df.dtypes])
+
+
+def profile_vote_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the first 700 rows of each table vote; counts are of all rows."""
+    return profile.profile(cells(spark, sf_dir), vote_rows=700).select("table_name", "column_name", "inferred_type", "date_format", "row_count", "null_rate")
 
 
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per column of five tables."""
+    """One row per column of six tables."""
     return profile.profile(cells(spark, sf_dir)).drop("ordinal")
 
 
@@ -137,7 +176,7 @@ def profile_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rowshape_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R1-R4 for five tables."""
+    """R1-R4 for six tables."""
     return rowshape.infer(profile.profile(cells(spark, sf_dir)))
 
 
@@ -160,7 +199,7 @@ def delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True row counts of tables that are read as text."""
-    parts = [read_text(read(spark, sf_dir, name))[1].select(F.lit(name).alias("table_name"), "row_count") for name in [*TABLES, "lineitem", "documents"]]
+    parts = [read_text(read(spark, sf_dir, name))[1].select(F.lit(name).alias("table_name"), "row_count") for name in [*TABLES, "documents"]]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -175,10 +214,13 @@ def settled(df: DataFrame) -> DataFrame:
 
 def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile rows ready for mapping: two sources, policy names on both."""
-    c = cells(spark, sf_dir)
+    return _ready(cells(spark, sf_dir))
+
+
+def _ready(c: DataFrame) -> DataFrame:
     rows = profile.profile(c).join(profile.samples(c), ["table_name", "column_name"], "left")
     rows = rows.withColumn("source_name", F.when(F.col("table_name") == "legacy", "oldsys").otherwise("shop")).withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
-    return settled(rows.withColumn("schema_key", F.when(F.col("table_name").isin("orders", "events"), "customer_table").otherwise("policy")))
+    return settled(rows.withColumn("schema_key", F.when(F.col("table_name").isin("orders", "events", "lineitem"), "customer_table").otherwise("policy")))
 
 
 def target_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,14 +279,50 @@ def map_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_contests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contested targets, as the first of two near ties is decided for the second."""
-    d = settled(_contended(spark, sf_dir).withColumn("confidence", F.bround("confidence", 1)))
-    again = settled(mapping.contention(d.drop("action", "final_target")))
+    """Contested targets, as the first of two near ties is decided for the second."""
+    again = _near_ties(spark, sf_dir)
     open_ = mapping.contests(again)
     decisions = open_.select("source_name", "table_name", "target", F.get("columns", F.lit(1)).alias("winner"))
     return mapping.decide_contests(again, decisions).where("action <> 'unmapped'").select("table_name", "column_name", "target", "action", "final_target")
 
 
+def _near_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = settled(_contended(spark, sf_dir).withColumn("confidence", F.bround("confidence", 1)))
+    return settled(mapping.contention(d.drop("action", "final_target", "reason")))
+
+
+def map_contest_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each contested target with its columns and confidences, best first."""
+    listed = F.array_join(F.transform("columns", lambda c: F.concat(c, F.lit("="), F.format_number(F.element_at("confidences", c), 1))), ",")
+    return mapping.contests(_near_ties(spark, sf_dir)).select("source_name", "table_name", "target", "provisional", listed.alias("columns"))
+
+
+def map_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why columns lost or share their targets; their expressions stay."""
+    return _near_ties(spark, sf_dir).where("reason is not null").select("table_name", "column_name", "target", "action", "final_target", "reason")
+
+
+def map_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1-M2: each event type as a table with columns of its own, some of them written by change capture, and its schema."""
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("table_name"), F.when(F.col("event_id") % 10 == 0, "_cdc_op").when(F.col("event_id") % 10 == 1, "_CDC_TS").otherwise(F.concat(F.lit("COL_"), (F.col("event_id") % 10).cast("string"))).alias("column_name")).distinct()
+    static = spark.createDataFrame([("click", "clicks"), ("purchase", "orders")], "table_name string, schema_key string")
+    dynamic = spark.createDataFrame([("purchase", "sales"), ("view", "views")], "table_name string, schema_key string")
+    usable, excluded = mapping.split_metadata(mapping.resolve_schema(e, static, dynamic))
+    return usable.withColumn("excluded", F.lit(False)).unionByName(excluded.withColumn("excluded", F.lit(True)))
+
+
+def map_review_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to be reviewed, labelled hard or below their floors."""
+    h = history(spark, sf_dir).select("id", "source_name", F.lit("t").alias("table_name"), F.col("id").cast("string").alias("column_name"), "confidence", "is_hard")
+    labels = h.where("id % 7 <> 0").select(*mapping.KEYS, "is_hard", (F.col("id") % 5 / 4).alias("confidence_floor"))
+    return mapping.review_selection(h.drop("is_hard"), labels).select("id", "confidence", "is_hard", "confidence_floor")
+
+
+def map_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run over all tables: mapped, unmapped, excluded, missing and contested, with the row shapes."""
+    return mapping.map_catalog(profiled(spark, sf_dir), target_tables(spark, sf_dir)).select("table_name", "kind", "name", F.when(F.col("kind") != "unmapped", F.col("detail")).alias("detail"))
+
+
 def map_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M21."""
     tables = profiled(spark, sf_dir).select("source_name", "table_name", "schema_key").distinct()
@@ -269,6 +347,31 @@ def drift_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(old, new, ["source_name"])
 
 
+def drift_to_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the next delivery that need a mapping."""
+    old, new = _two_versions(spark, sf_dir)
+    return drift.to_be_mapped(drift.changes(old, new, ["source_name"])).select("source_name", "new_name", "new_type")
+
+
+def backfill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals written as a file for each run, read again, and those that the history lacks."""
+    h = history(spark, sf_dir)
+    rows = F.array_sort(F.collect_list(F.struct(F.col("source_column").alias("source_column"), F.col("target").alias("target_field"), "confidence", "method", F.col("expression").alias("sql_expression"))))
+    docs = h.where("id % 50 = 3").groupBy("source_name", F.lit("t").alias("table_name")).agg(rows.alias("mappings"))
+    path = new_folder(spark, "proposals")
+    docs.write.option("maxRecordsPerFile", 1).json(path)
+    found = artifacts.read_proposals(spark, path)
+    done = spark.createDataFrame([("backfill-none",)], "run_id string")
+    return artifacts.backfill(found, done).groupBy("source_name", "table_name", "source_column", "target_field").agg(F.count("*").alias("n"))
+
+
+def score_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores written as CSV with a header, and read as text."""
+    path = new_folder(spark, "scores")
+    artifacts.write_scores(_scored_history(spark, sf_dir).select("id", "verdict", "below_floor"), path)
+    return spark.read.option("header", True).csv(path)
+
+
 def drift_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What would be recorded for a new, an unchanged, a forced and a blocked delivery."""
     old, new = _two_versions(spark, sf_dir)
@@ -280,7 +383,7 @@ def drift_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = first.select(F.explode(F.array(F.lit("same"), F.lit("new"))).alias("source_name"), "columns", "schema_hash").unionByName(second.select(F.explode(F.array(F.lit("forced"), F.lit("blocked"))).alias("source_name"), "columns", "schema_hash"))
     blocked = drift.breaking_sources(drift.changes(old, new, key), key).select(F.lit("blocked").alias("source_name"))
     out = drift.next_versions(versions, seen, key, blocked)
-    return out.select("source_name", "version", F.size("columns").alias("columns"))
+    return out.select("source_name", "version", F.size("columns").alias("columns"), F.transform("columns", lambda c: F.concat_ws(":", c["column_name"], c["inferred_type"], c["is_id"].cast("string"), c["is_coded"].cast("string"), c["date_format"])).cast("string").alias("fingerprint"))
 
 
 # --- clusters
@@ -288,8 +391,9 @@ def drift_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
-    p = profile.profile(c)
-    few = profile.top_values(profile.value_counts(c)).groupBy("table_name", "column_name").agg(F.collect_set(F.upper("value")).alias("top"))
+    values = settled(profile.value_counts(c))
+    p = profile.profile(c, values=values)
+    few = profile.top_values(values).groupBy("table_name", "column_name").agg(F.collect_set(F.upper("value")).alias("top"))
     s = profile.samples(c)
     rows = p.join(few, ["table_name", "column_name"], "left").join(s, ["table_name", "column_name"], "left")
     none = F.array().cast("array<string>")
@@ -317,15 +421,17 @@ def cluster_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K9-K10."""
-    return cluster.clusters(_catalog(spark, sf_dir), _pairs(spark, sf_dir))
+    catalog = _catalog(spark, sf_dir)
+    return cluster.clusters(catalog, settled(cluster.pair_scores(catalog)))
 
 
 def cluster_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mutual bests as groups of two sources, against targets derived from names."""
-    best = cluster.mutual_best(_pairs(spark, sf_dir).where("a_source_name = 'customer' and b_source_name = 'supplier'"))
+    catalog = _catalog(spark, sf_dir)
+    best = cluster.mutual_best(settled(cluster.pair_scores(catalog)).where("a_source_name = 'customer' and b_source_name = 'supplier'"))
     x = best.select(F.concat_ws(".", "a_source_name", "a_column_name").alias("member"), F.col("a_source_name").alias("source_name"), F.col("a_column_name").alias("cluster"))
     y = best.select(F.concat_ws(".", "b_source_name", "b_column_name").alias("member"), F.col("b_source_name").alias("source_name"), F.col("a_column_name").alias("cluster"))
-    everyone = _catalog(spark, sf_dir).where("source_name in ('customer', 'supplier')").select(F.concat_ws(".", "source_name", "column_name").alias("member"), "source_name", F.col("column_name").alias("c"))
+    everyone = catalog.where("source_name in ('customer', 'supplier')").select(F.concat_ws(".", "source_name", "column_name").alias("member"), "source_name", F.col("column_name").alias("c"))
     found = everyone.join(x.unionByName(y), ["member", "source_name"], "left").select("member", "source_name", F.coalesce("cluster", "member").alias("cluster"))
     truth = everyone.select("member", F.when(F.col("c").isin("name", "nationkey", "acctbal"), F.col("c")).alias("target"), F.lit(None).cast("string").alias("secondary"))
     return cluster.score_clusters(found, truth)
@@ -335,7 +441,8 @@ def cluster_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes derived from events: ten runs that propose pairs."""
     e = read(spark, sf_dir, "events")
     v = e.select(F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("pair"), (F.col("event_id") % 10).alias("run"), F.concat(F.lit("a"), (F.col("event_id") % 6).cast("string")).alias("a"), F.concat(F.lit("b"), (F.col("user_id") % 7).cast("string")).alias("b"), ((F.col("event_id") * 13 % 50 + 50) / 100).alias("confidence"))
-    return cluster.vote_consensus(v, 10, share=0.5)
+    known = v.select("pair", F.lit("a").alias("side"), F.col("a").alias("name")).unionByName(v.select("pair", F.lit("b").alias("side"), F.col("b").alias("name"))).distinct().where("name <> 'a5'")
+    return cluster.vote_consensus(v, 10, share=0.5, known=known)
 
 
 # --- history, scores, tuning
@@ -400,7 +507,8 @@ def verdict_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tune_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of 231 weight points on the legacy extract."""
-    s = _scored(spark, sf_dir).where("table_name = 'legacy'")
+    own = profile.melt(legacy(spark, sf_dir), F.substring("POL_NO", 5, 8).cast("bigint"), "legacy")
+    s = mapping.scores(mapping.split_metadata(_ready(own))[0], canonical.fields(spark))
     truth = spark.createDataFrame([("POL_NO", "policy_id", True), ("EFF_DT", "start_date", True), ("PREM_AMT", "premium_amount", True), ("DEDUCT", "policy_deductible", False), ("WINBK_FLG", "win_back_eligible", False), ("POL_STAT_CD", "policy_status", False), ("INS_NM", None, False), ("ISO_DT", None, False), ("SIGN_DT", None, False), ("CLAIMS_IND", None, False), ("POL_NO_SEQ", None, False)], "column_name string, truth string, is_hard boolean")
     labels = truth.select(F.lit("oldsys").alias("source_name"), F.lit("legacy").alias("table_name"), "column_name", "truth", "is_hard", F.lit(None).cast("double").alias("confidence_floor"), F.lit(None).cast("string").alias("check"))
     measured = tuning.grid_metrics(s, tuning.simplex(spark), labels)
@@ -443,7 +551,27 @@ def example_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of the stratified split."""
-    return tuning.stratified_split(history(spark, sf_dir).select("id", "is_hard"), ["id"], "is_hard").groupBy("is_hard", "part").agg(F.count("*").alias("n"))
+    return stratified_split(spark, sf_dir).groupBy("is_hard", "part").agg(F.count("*").alias("n"))
+
+
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of every row."""
+    return tuning.stratified_split(history(spark, sf_dir).select("id", "is_hard"), ["id"], "is_hard")
+
+
+def curation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: how many examples are added and skipped."""
+    h = history(spark, sf_dir).withColumn("verdict", scoring.verdict(F.col("truth"), F.col("target"))).withColumnRenamed("target", "target_field")
+    labels = h.groupBy("source_name", "source_column").agg(F.bool_or("is_hard").alias("is_hard"))
+    return tuning.curation_counts(h.drop("is_hard"), labels, h.where("id % 211 = 0").select("source_name", "source_column").distinct())
+
+
+def improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The even rows' losses against those of the row after each."""
+    s = _scored_history(spark, sf_dir).select("id", "verdict", "loss")
+    before, after = s.where("id % 2 = 0"), s.where("id % 2 = 1").withColumn("id", F.col("id") - 1)
+    c = tuning.comparison(before, after, ["id"])
+    return c.select("before_columns", "after_columns", "regressed", F.bround("before_loss", 6).alias("before_loss"), F.bround("after_loss", 6).alias("after_loss"), "improved")
 
 
 def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -484,16 +612,12 @@ def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T13."""
-    return _usage(spark, sf_dir).select("run_id", "source_column", "verdict", "signature", "calls", F.array_join(F.slice("tools", 1, 5), ",").alias("first_tools"))
-
-
-def _tools(spark: SparkSession, sf_dir: str) -> list[str]:
-    return sorted(r[0] for r in read(spark, sf_dir, "events").select("event_type").distinct().limit(100).collect())
+    return _usage(spark, sf_dir).select("run_id", "source_column", "verdict", "signature", "calls", F.array_join("first_tools", ",").alias("first_tools"))
 
 
 def usage_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T14."""
-    return tuning.tool_value(_usage(spark, sf_dir), _tools(spark, sf_dir))
+    return tuning.tool_value(_usage(spark, sf_dir))
 
 
 def usage_under_triggered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -545,7 +669,7 @@ def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _decided(spark, sf_dir)
-    open_contests = d.where("confidence > 0.985 and source_name = 'src0'").select("source_column")
+    open_contests = d.where("confidence > 0.985 and source_name = 'src0' and source_column in ('COL_1', 'COL_2', 'COL_3')").select("source_column")
     return review.status(d, open_contests, ["source_column"])
 
 

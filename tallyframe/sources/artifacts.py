@@ -11,6 +11,30 @@ PROPOSAL = "source_name string, table_name string, mappings array<struct<source_
 SAFE_NAME = r"^[A-Za-z0-9_-]+$"
 
 
+CATALOG = "source_name string, table_name string, columns array<struct<source_column:string,canonical_target:string,secondary_target:string,confidence_floor:double,transformation:string,is_hard:boolean>>, missing_standard_fields array<string>"
+
+
+def read_labels(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Label catalogs as tables: labelled columns, and fields that a source lacks.
+
+    One JSON document for each catalog.  A null target is a label too (the column
+    has none); no hard flag means not hard.  Catalogs whose source name could not
+    stand in a path are left out.
+    """
+    docs = safe_sources(spark.read.schema(CATALOG).option("multiLine", True).json(paths))
+    columns = docs.select("source_name", "table_name", F.inline("columns"))
+    columns = columns.select("source_name", "table_name", "source_column", F.col("canonical_target").alias("truth"), F.col("secondary_target").alias("secondary"), "confidence_floor", F.col("transformation").alias("check"), F.coalesce("is_hard", F.lit(False)).alias("is_hard"))
+    return columns, docs.select("source_name", "table_name", F.explode("missing_standard_fields").alias("field"))
+
+
+def write_labels(columns: DataFrame, missing: DataFrame, path: str) -> None:
+    """Label tables as catalogs, a JSON file for each source and table."""
+    keys = ["source_name", "table_name"]
+    listed = F.array_sort(F.collect_list(F.struct("source_column", F.col("truth").alias("canonical_target"), F.col("secondary").alias("secondary_target"), "confidence_floor", F.col("check").alias("transformation"), "is_hard")))
+    gone = missing.groupBy(*keys).agg(F.sort_array(F.collect_set("field")).alias("missing_standard_fields"))
+    columns.groupBy(*keys).agg(listed.alias("columns")).join(gone, keys, "left").write.option("maxRecordsPerFile", 1).json(path)
+
+
 def read_proposals(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per mapping of each proposal file, with the file's name and time."""
     df = spark.read.schema(PROPOSAL).option("multiLine", True).json(paths)
@@ -28,7 +52,7 @@ def read_profiles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def write_nested(columns: DataFrame, path: str) -> None:
     """Profile rows as one nested JSON document for each table, by source."""
     doc = columns.groupBy("source_name", "table_name").agg(F.collect_list(F.struct(*[c for c in columns.columns if c not in ("source_name", "table_name")])).alias("columns"))
-    doc.write.partitionBy("source_name").json(path)
+    doc.write.option("maxRecordsPerFile", 1).partitionBy("source_name").json(path)
 
 
 def backfill(proposals: DataFrame, history: DataFrame) -> DataFrame:

@@ -13,19 +13,39 @@ def separator(first_line: Column, path: Column) -> Column:
 
 
 def detect(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, first_line, sep) of each file: whole files are split into lines, only the first is kept."""
-    lines = spark.read.text(paths, wholetext=False).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
-    first = lines.groupBy("path").agg(F.min_by("value", F.struct("block", "n")).alias("first_line"))
+    """(path, first_line, sep) of each file.
+
+    Only the blocks that begin a file are looked at, and of each the first line
+    is kept by a partial minimum inside its task.
+    """
+    lines = spark.read.text(paths).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"), "value")
+    first = lines.groupBy("path").agg(F.min_by("value", "n").alias("first_line"))
     return first.withColumn("sep", separator(F.col("first_line"), F.col("path")))
 
 
-def read(spark: SparkSession, path: str, *, sep: str | None = None) -> DataFrame:
-    """A file with a header as text columns, names trimmed.
+def _scan(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
+    df = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(paths)
+    return df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.strip()) for c in df.columns])
+
+
+def read(spark: SparkSession, path: str | list[str], *, sep: str | None = None, table_name: str | None = None) -> DataFrame:
+    """Files with headers as text columns, names trimmed; files of each separator are scanned with theirs.
 
-    Short rows are filled with the empty string and long ones cut.  Two deltas
-    of Spark's reader: blank lines are no rows, and of repeated header names
-    each gets a column of its own.
+    Files of different separators are united by name, columns that some lack
+    filled with the empty string.  ``sep`` overrides the detection and
+    ``table_name`` adds a column of that name.  Short rows are filled with the
+    empty string and long ones cut.  Two deltas of Spark's reader: blank lines
+    are no rows, and of repeated header names each gets a column of its own.
     """
-    sep = sep or detect(spark, [path]).first()["sep"]
-    df = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path)
-    return df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.strip()) for c in df.columns])
+    paths = [path] if isinstance(path, str) else list(path)
+    if sep is not None:
+        groups = [(sep, paths)]
+    else:  # two separators at most, and a list of file names
+        groups = [(r["sep"], r["files"]) for r in detect(spark, paths).groupBy("sep").agg(F.sort_array(F.collect_list("path")).alias("files")).orderBy("sep").collect()]
+        groups = [(groups[0][0], paths)] if len(groups) == 1 else groups
+    out = None
+    for separator_, files in groups:
+        part = _scan(spark, files, separator_)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    out = out.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in out.columns])
+    return out if table_name is None else out.withColumn("table_name", F.lit(table_name))

@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, materialize
 from .textbytes import runs
@@ -54,24 +55,44 @@ def _planes(dim: int, passes: int, turn: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64([SEED, dim, turn])).standard_normal((dim, passes * BITS))
 
 
-def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        units: list[bytes | None] = []
-        for cell in batch.column(1):
-            v = None
-            if cell.is_valid and cell.values.null_count == 0 and len(cell.values):
-                v = cell.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if np.isfinite(v).all() and (top := np.abs(v).max()) > 0:
-                    v = v / top  # no overflow in the norm
-                    v /= np.sqrt(v @ v)
-                else:
-                    v = None
-            units.append(None if v is None else v.tobytes())
-        digests = [None if u is None else hashlib.blake2b(u, digest_size=16).digest() for u in units]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary()), pa.array(digests, pa.binary())], names=["id", "unit", "digest"])
-
-
-def _deal(passes: int, turn: int):
+def _normal(v: np.ndarray) -> np.ndarray:
+    """Rows of a matrix in double precision at length 1, each computed by itself."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # no overflow in the norm
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+
+
+def _good(kind: str):
+    """The vectors that can be linked, as bytes of the input's precision, and a digest of their direction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw: list[bytes | None] = []
+            digests: list[bytes | None] = []
+            for cell in batch.column(1):
+                v = None
+                if cell.is_valid and cell.values.null_count == 0 and len(cell.values):
+                    v = cell.values.to_numpy(zero_copy_only=False).astype(kind)
+                    v = v if np.isfinite(v).all() and v.any() else None
+                raw.append(None if v is None else v.tobytes())
+                digests.append(None if v is None else hashlib.blake2b(_normal(v.astype(np.float64)[None]).tobytes(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(digests, pa.binary())], names=["id", "unit", "digest"])
+
+    return run
+
+
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y are linked: a matrix product, and the exact sum where that is too close to tell.
+
+    So a pair is decided alike in whatever blocks it meets.
+    """
+    cosine = x @ y.T
+    near = cosine >= threshold
+    for i, j in np.argwhere(np.abs(cosine - threshold) < 1e-11):
+        near[i, j] = math.fsum(x[i] * y[j]) >= threshold
+    return near
+
+
+def _deal(passes: int, turn: int, kind: str):
     """Each vector once for each pass of the round, with its hash there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +104,8 @@ def _deal(passes: int, turn: int):
                 for n in np.unique(size).tolist():
                     part = batch.take(pa.array(np.flatnonzero(size == n)))
                     if n not in planes:
-                        planes[n] = _planes(n // 8, passes, turn)
-                    hashes = np.packbits(_matrix(part.column(1)) @ planes[n] > 0, axis=1).view(">i8").astype(np.int64)
+                        planes[n] = _planes(n // np.dtype(kind).itemsize, passes, turn)
+                    hashes = np.packbits(_matrix(part.column(1), kind) @ planes[n] > 0, axis=1).view(">i8").astype(np.int64)
                     for k in range(passes):
                         same = [pa.array(np.full(len(part), x, np.int32)) for x in (k, n)]
                         yield pa.RecordBatch.from_arrays([*same, pa.array(hashes[:, k].copy()), *part.columns], names=["pass", "dim", "hash", "id", "unit"])
@@ -92,18 +113,18 @@ def _deal(passes: int, turn: int):
     return run
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    return _normal(np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64))
 
 
-def _neighbours(threshold: float, window: int):
+def _neighbours(threshold: float, window: int, kind: str):
     """Edges (a, b) from each vector of a block to the smallest of those it is joined with there."""
 
     def stretch(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
         for s in range(0, len(ids), window):
             block = v[s : s + 2 * window]
-            near = block[:window] @ block.T >= threshold
+            near = _near(block[:window], block, threshold)
             at = np.arange(len(near))
             near[at, at] = False
             rows = np.flatnonzero(near.any(axis=1))
@@ -133,27 +154,27 @@ def _neighbours(threshold: float, window: int):
             for run_ in runs(iter([whole]), 2):
                 if run_.num_rows > 1:
                     t = run_.combine_chunks()
-                    a, b = stretch(t.column("id").to_numpy(), _matrix(t.column("unit").combine_chunks()))
+                    a, b = stretch(t.column("id").to_numpy(), _matrix(t.column("unit").combine_chunks(), kind))
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
             tail = whole.slice(max(0, whole.num_rows - window))
 
     return run
 
 
-def _count(threshold: float):
+def _count(threshold: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, 3):
             tile = tile.combine_chunks()
             i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
             ids, copies = tile.column("id").to_numpy(), tile.column("copies").to_numpy().astype(np.float64)
-            v, block = _matrix(tile.column("unit").combine_chunks()), tile.column("block").to_numpy()
+            v, block = _matrix(tile.column("unit").combine_chunks(), kind), tile.column("block").to_numpy()
             if i == j:
-                near = v @ v.T >= threshold
+                near = _near(v, v, threshold)
                 np.fill_diagonal(near, False)
                 out_ids, out = ids, near @ copies
             else:
                 p, q = block == i, block == j
-                near = v[p] @ v[q].T >= threshold
+                near = _near(v[p], v[q], threshold)
                 out_ids, out = np.concatenate((ids[p], ids[q])), np.concatenate((near @ copies[q], near.T @ copies[p]))
             yield pa.RecordBatch.from_arrays([pa.array(out_ids), pa.array(np.rint(out).astype(np.int64))], names=["id", "links"])
 
@@ -162,8 +183,10 @@ def _count(threshold: float):
 
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, passes: int = 8, window: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: ``n_links``, ``component_id`` and ``kept``."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    units = materialize(rows.mapInArrow(_unit, "id long, unit binary, digest binary"), "units")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    kind = "<f4" if isinstance(rows.schema["v"].dataType.elementType, T.FloatType) else "<f8"
+    rows = rows.select("id", F.col("v").cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
+    units = materialize(rows.mapInArrow(_good(kind), "id long, unit binary, digest binary"), "units")
     good = units.where("digest is not null and id is not null")
     classes = good.groupBy("digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
     ranked = materialize(good.select("id", "digest").join(classes, "digest").select("id", "rep", "copies").distinct(), "classes")
@@ -173,9 +196,9 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, passes: int
     reach = max(window, min(4096, 2 * math.isqrt(firsts.count())))
     nodes, turn, idle = None, 0, 0
     while idle < IDLE:
-        dealt = firsts.select("id", "unit").mapInArrow(_deal(passes, turn), "pass int, dim int, hash long, id long, unit binary")
+        dealt = firsts.select("id", "unit").mapInArrow(_deal(passes, turn, kind), "pass int, dim int, hash long, id long, unit binary")
         dealt = dealt.repartitionByRange("pass", "dim", "hash", "id").sortWithinPartitions("pass", "dim", "hash", "id")
-        edges = materialize(dealt.mapInArrow(_neighbours(threshold, reach), "a long, b long").distinct(), "pairs")
+        edges = materialize(dealt.mapInArrow(_neighbours(threshold, reach, kind), "a long, b long").distinct(), "pairs")
         if nodes is not None:  # links between what is not yet joined
             a, b = (nodes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
             edges = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
@@ -192,7 +215,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, passes: int
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
     tiles = inside.select("component", F.inline(others), "id", "copies", "unit", "block")
     tiles = tiles.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = tiles.mapInArrow(_count(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    links = tiles.mapInArrow(_count(threshold, kind), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
     by_rep = nodes.select(F.col("node").alias("rep"), "component").join(links.withColumnRenamed("id", "rep"), "rep", "left")
     found = ranked.join(by_rep, "rep", "left").select(F.col("id").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, shared_dir
+from .common import broadcast_if_small, materialize, shared_dir
 
 #: Mean bytes of an archive file; a reading task holds a few files.
 FILE_BYTES = 16 << 20
@@ -135,6 +135,7 @@ def read_archives(spark: SparkSession, path: str, *, id_col: str = "page_id") ->
     ``refers_to`` (the response's id for revisits).
     """
     found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, "id long, record_id string, kind string, url string, digest string, size long, refers string")
+    found = materialize(found, "records")  # archives are cut and digested once
     first = found.where("kind = 'response'").groupBy(F.col("digest").alias("d")).agg(F.max(F.struct("id", "size")).alias("r"))
     joined = found.where("kind = 'revisit'").join(first, F.col("digest") == F.col("d"), "left")
     out = found.where("kind = 'response'").select(F.col("id"), "size", "digest", "kind", F.lit(None).cast("long").alias("refers_to"))

@@ -216,7 +216,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, id_co
 
     # classes of equal sets
     copies = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("digest", "rep")
-    members = materialize(signed.select("id", "n", "digest").join(copies, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "classes")
+    copies = materialize(copies, "copies")
+    members = materialize(signed.select("id", "n", "digest").join(broadcast_if_small(copies, copies.count()), "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "classes")
 
     # members of keys that at least two classes have
     banded = signed.where("id is not null").join(members.where("n > 0 and id = rep").select("id").distinct(), "id", "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -33,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/tallyframe/{spark.sparkContext.applicationId}"
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """A small table of given rows as one literal, without Python workers; ``columns`` are names and types."""
+    text = json.dumps([dict(zip(columns, r, strict=True)) for r in rows])
+    kind = ",".join(f"{c}:{t}" for c, t in columns.items())
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, or ``name`` with underscores that no column of the frames has in any case."""
     taken = {c.lower() for f in frames for c in f.columns}

@@ -35,7 +35,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, shared_dir
+from .common import broadcast_if_small, literal_table, materialize, shared_dir
 
 DICTIONARY_DOCS = 2
 THRESHOLD = 0.5
@@ -187,7 +187,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lab
     ``word_at`` is the number of its word in the text, from 0.
     """
     spark = docs.sparkSession
-    given = labelled if labelled is not None else spark.createDataFrame(labelled_findings(), "text string, label int")
+    given = labelled if labelled is not None else literal_table(spark, labelled_findings(), {"text": "string", "label": "int"})
     seeds = candidates(given.select(F.monotonically_increasing_id().alias("n"), "text", F.col("label").cast("double").alias("label")), "n", "text", "label").drop("id")
     found = materialize(candidates(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "doc", "text"), "candidates")
     words = materialize(dictionary(found.select("value").unionByName(seeds.select("value")), docs, text_col), "dictionary")

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, materialize
+from .common import broadcast_if_small, connected_components, literal_table, materialize
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def rule_table(spark: SparkSession, rules: list[Rule] | DataFrame) -> DataFrame:
     """Rules as a table (host, path, action), from a table of these columns or a list."""
     if isinstance(rules, DataFrame):
         return rules.select("host", "path", "action").where("host is not null and path is not null and action is not null")
-    return spark.createDataFrame([(r.host, r.path, r.action) for r in rules], "host string, path string, action string")
+    return literal_table(spark, [(r.host, r.path, r.action) for r in rules], {"host": "string", "path": "string", "action": "string"})
 
 
 def rules_for(places: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:

@@ -11,8 +11,7 @@ one anchor for the whole sequence; a text without words has none.
 The fingerprint is the whole sequence of anchors in text order, as eight
 hexadecimal digits each, and the anchors' word positions stand beside it.
 ``near_edited`` and ``near_next`` are the exact Jaccard similarities of the whole
-sets of anchors.  ``placed_edited`` and ``placed_next`` match by position: the
-same similarity of the anchors each taken with its distance in words to the next
+sets of anchors.  ``placed_edited`` matches by position: the same similarity of the anchors each taken with its distance in words to the next
 anchor, so that anchors that moved against their neighbours don't count.
 
 Everything is a DataFrame expression; :func:`anchors` gives the anchors with
@@ -101,11 +100,11 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     down) replaced by the first as many of the next document, in descending
     order of id.  Returns the id, ``n_chars``, ``edited_sha256``,
     ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``,
-    ``placed_edited``, ``placed_next``, ``words`` and ``edited_words`` (the
+    ``placed_edited``, ``words`` and ``edited_words`` (the
     positions of the fingerprints' anchors).
 
     The texts are shuffled by id once; what a document gives to the one before
-    it (the passage it needs and its anchors) once more.
+    it (the passage it needs and its set of anchors) once more.
     """
     given_rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = given_rows.where("id is not null")
@@ -114,8 +113,8 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     repeated = not ids.where("c > 1").isEmpty()
     order = materialize(next_in_order(ids.select("id", "cut")), "next").withColumnRenamed("id", "pred")
 
-    ahead = _with_anchors(base.join(order, base["id"] == order["next"]).drop("next"), "text", "next_anchors", positions=True)  # made behind the shuffle that both joins use
-    given = ahead.select("pred", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("head"), "next_anchors", *([F.xxhash64("text").alias("th")] if repeated else []))
+    ahead = _with_anchors(base.join(order, base["id"] == order["next"]).drop("next"), "text", "next_anchors")  # made behind the shuffle that both joins use
+    given = ahead.select("pred", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("head"), F.array_distinct("next_anchors").alias("next_anchors"), *([F.xxhash64("text").alias("th")] if repeated else []))
     if repeated:
         given = given.groupBy("pred").agg(F.min_by(F.struct("head", "next_anchors"), "th").alias("s")).select("pred", "s.head", "s.next_anchors")
     rows = base.join(given, base["id"] == given["pred"]).drop("pred")
@@ -125,7 +124,7 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (n - cut).cast("int")), F.coalesce(F.substring(F.col("head"), F.lit(1), cut), F.lit(""))))
     rows = _with_anchors(rows.drop("head"), "text", "own", positions=True).drop("text")
     rows = _with_anchors(rows, "edited", "other", positions=True).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
-    rows = rows.withColumn("next", F.coalesce("next_anchors", F.slice("own", 1, 0)))
+    rows = rows.withColumn("next", F.coalesce("next_anchors", F.array().cast("array<int>")))
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",
@@ -133,9 +132,8 @@ def compare_with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         fingerprint(F.col("own.hash")).alias("fingerprint"),
         fingerprint(F.col("other.hash")).alias("edited_fingerprint"),
         likeness(F.col("own.hash"), F.col("other.hash")).alias("near_edited"),
-        likeness(F.col("own.hash"), F.col("next.hash")).alias("near_next"),
+        likeness(F.col("own.hash"), F.col("next")).alias("near_next"),
         likeness(placed(F.col("own")), placed(F.col("other"))).alias("placed_edited"),
-        likeness(placed(F.col("own")), placed(F.col("next"))).alias("placed_next"),
         F.col("own.word").alias("words"),
         F.col("other.word").alias("edited_words"),
     )

@@ -216,7 +216,7 @@ def test_syncmers(spark, docs, nothing):
             assert r.near_edited == 1.0
         a, b = ({x[k : k + 8] for k in range(0, len(x), 8)} for x in (r.fingerprint, r.edited_fingerprint))
         assert math.isclose(r.near_edited, len(a & b) / len(a | b) if a | b else 1.0)
-        assert 0 <= r.placed_edited <= 1 and 0 <= r.placed_next <= 1
+        assert 0 <= r.placed_edited <= 1 and (text != edited or r.placed_edited == 1.0)
     assert compare_with_edits(nothing).count() == 0
     long = " ".join(f"w{k % 97}x{k}" for k in range(300))
     near = spark.createDataFrame([(2, long), (1, "other words " * 30), (None, "n"), (2, "dup")], "doc_id long, text string")
@@ -239,8 +239,14 @@ def test_a_short_passage_of_two_long_texts_counts(spark):
         assert [r.fingerprint[k : k + 8] for k in range(0, len(r.fingerprint), 8)] == [f"{h:08X}" for _, h in whole[r.doc_id]]
         assert r.words == [w for w, _ in whole[r.doc_id]]
         assert math.isclose(r.near_next, want) and want > 0
-        moves = [{(h, (v[k + 1][0] - w) if k + 1 < len(v) else 0) for k, (w, h) in enumerate(v)} for v in whole.values()]
-        assert math.isclose(r.placed_next, len(moves[0] & moves[1]) / len(moves[0] | moves[1]))
+
+
+def test_anchors_are_matched_with_their_distances(spark):
+    from tallyframe.llm.syncmers import likeness, placed
+
+    rows = [([(0, 7), (3, 8), (5, 9)], [(2, 7), (5, 8), (9, 9)], 1 / 2), ([(0, 7)], [(0, 7)], 1.0), ([], [], 1.0), ([], [(0, 7)], 0.0)]
+    d = spark.createDataFrame(rows, "a array<struct<word:int,hash:int>>, b array<struct<word:int,hash:int>>, want double")
+    assert all(math.isclose(r.got, r.want) for r in d.select(likeness(placed(F.col("a")), placed(F.col("b"))).alias("got"), "want").collect())
 
 
 def test_closed_syncmers_by_hand(spark):

@@ -18,9 +18,14 @@ order, so that they can travel to all tasks; the counts stay distributed.  Slots
 bear a check of their context, the most frequent context of a slot keeps it, and a
 context that finds a foreign slot is unseen.
 
-Scoring.  A text's score is the sum over its bytes; a task keeps the scores of
-recent sequences in a table of fixed size and evaluates the model for those it
-lacks.  The base score needs the training count of each word: the ``COMMON`` most
+Scoring.  A task keeps the model's probabilities of recent sequences in a table of
+fixed size and evaluates the model for those it lacks.  Each text is then read in
+order and the probabilities are refined adaptively by what the text itself has
+shown so far: behind a context of 5 bytes, and again of 11, that came ``n`` times
+before in this text and ``s`` times with the byte at hand, a probability ``p``
+becomes ``(s + k*p) / (n + k)``.  How far a text follows itself is learned online
+as well: the model alone and one refinement for each pair of ``STRENGTHS`` start
+with equal weights, which every byte multiplies by what each gave it.  The base score needs the training count of each word: the ``COMMON`` most
 frequent words (a fixed number) are looked up in the task, and the others go
 through a join on the word's 64-bit hash.
 
@@ -46,11 +51,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .textbytes import U64, chunks, words
+from .textbytes import U64, chunks, mix, words
 
 ORDER = 5
 MAX_BITS = 21
 COMMON = 1 << 18
+TOGETHER = 1 << 15
 CACHE_BITS = 20
 START, END = 0xFE, 0xFF  # bytes that UTF-8 doesn't have
 PRIOR = 0.4
@@ -61,6 +67,8 @@ BATCH = 512
 #: Counted sequences that a learning task takes.
 SEQUENCES = 400_000
 RATE = 0.3
+#: For each refinement its k behind 5 and behind 11 bytes: large ones trust the model, small ones the text.
+STRENGTHS = ((24.0, 6.0), (8.0, 2.0), (2.0, 0.5))
 
 
 def sequences(chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +91,59 @@ def sequences(chunk) -> tuple[np.ndarray, np.ndarray]:
     return packed, count
 
 
+def earlier(key: np.ndarray) -> np.ndarray:
+    """How often each 64-bit key stands before its place."""
+    n = len(key)
+    at, low = np.arange(n, dtype=np.uint64), U64(max(1, (n - 1).bit_length()))
+    sorted_ = key >> low
+    sorted_ <<= low
+    sorted_ |= at  # place and key in one word sort fastest
+    sorted_.sort()
+    order = (sorted_ & ((U64(1) << low) - U64(1))).view(np.int64)
+    full = key[order]
+    new = full[1:] != full[:-1]
+    sorted_ >>= low
+    if np.count_nonzero(new) != np.count_nonzero(sorted_[1:] != sorted_[:-1]):  # keys that differ in the bits left out
+        order = np.argsort(key, kind="stable")
+        full = key[order]
+        new = full[1:] != full[:-1]
+    place = at.view(np.int64)
+    first = np.zeros(n, np.int64)
+    np.multiply(place[1:], new, out=first[1:])
+    out = np.empty(n, np.float32)
+    out[order] = place - np.maximum.accumulate(first)
+    return out
+
+
+def adapt(packed: np.ndarray, count: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """log10 probability of each text, read in order, from the model's log10 probability of each byte."""
+    begin = np.cumsum(count) - count
+    place = np.arange(len(packed)) - np.repeat(begin, count)
+    salt = np.repeat(np.arange(len(count), dtype=np.uint64) * U64(0x9E3779B97F4A7C15), count)
+
+    def back(values: np.ndarray, step: int, outside: int) -> np.ndarray:
+        out = np.full(len(values), outside, values.dtype)
+        out[step:] = np.where(place[step:] >= step, values[:-step], values.dtype.type(outside))
+        return out
+
+    start = int.from_bytes(bytes([START]) * (ORDER + 1), "big")
+    grams = [packed & U64((1 << 8 * ORDER) - 1), packed]
+    grams += [packed + mix(back(packed, step, start)) for step in (ORDER, ORDER + 1)]  # 11 and 12 bytes
+    seen = [earlier(mix(g + salt)) for g in grams]
+    behind = [(back(seen[i], 1, 0), seen[i + 1]) for i in (0, 2)]
+    ten = math.log(10)
+    given = np.exp(model * np.float32(ten))
+    sums = [np.add.reduceat(model.astype(np.float64), begin)]
+    for strength in STRENGTHS:
+        p = given
+        for k, (n, s) in zip(strength, behind, strict=True):
+            p = (s + np.float32(k) * p) / (n + np.float32(k))
+        sums.append(np.add.reduceat(np.log(np.maximum(p, np.float32(1e-30))).astype(np.float64), begin) / ten)
+    every = np.array(sums)
+    best = every.max(axis=0)
+    return best + np.log10((10 ** (every - best)).mean(axis=0))
+
+
 class Tally:
     """Counts of 64-bit keys, held sorted and merged now and then."""
 
@@ -363,7 +424,12 @@ def _score(model: Model, known: tuple[np.ndarray, np.ndarray]):
                     value[missed] = fresh[back]
                     place = (new * U64(0x9E3779B97F4A7C15) >> U64(64 - CACHE_BITS)).astype(np.int64)
                     keys[place], logs[place] = new, fresh
-                score = np.add.reduceat(value.astype(np.float64), np.cumsum(count) - count)
+                score, ends, i, first = [], np.cumsum(count), 0, 0
+                while i < len(count):  # a few texts at a time, so that the arrays stay in cache
+                    j = max(i + 1, int(np.searchsorted(ends, first + TOGETHER, "right")))
+                    score.append(adapt(packed[first : ends[j - 1]], count[i:j], value[first : ends[j - 1]]))
+                    i, first = j, int(ends[j - 1])
+                score = np.concatenate(score)
                 w = words(chunk)
                 where = np.minimum(np.searchsorted(common, w.hash), max(0, len(common) - 1))
                 hit = common[where] == w.hash if len(common) else np.zeros(len(w.hash), bool)

@@ -158,8 +158,28 @@ def test_context_mixing_repeated_and_null_ids(spark):
     assert all(math.isclose(r.bits_per_byte, -r.score * math.log2(10) / max(1, b)) for r, b in zip(sorted(out, key=lambda r: r.n_tokens + r.score), sorted(out, key=lambda r: r.n_tokens + r.score)) for b in [round(-r.score * math.log2(10) / r.bits_per_byte)])
 
 
+def read_in_order(text: bytes, model: list[float]) -> float:
+    """log10 probability of a text from the model's of each byte: naive counts, and weights that each byte multiplies."""
+    from tallyframe.llm import lm
+
+    full, weights, total = [*text, lm.END], [0.25] * 4, 0.0
+    for i, byte in enumerate(full):
+        p = [10 ** float(model[i])]
+        for strength in lm.STRENGTHS:
+            q = p[0]
+            for k, size in zip(strength, (5, 11), strict=True):
+                past = lambda j, size=size: bytes([lm.START] * max(0, size - j)) + bytes(full[max(0, j - size) : j])
+                same = [j for j in range(i) if past(j) == past(i)]
+                q = (sum(full[j] == byte for j in same) + k * q) / (len(same) + k)
+            p.append(q)
+        now = sum(w * q for w, q in zip(weights, p, strict=True))
+        total += math.log10(now)
+        weights = [w * q / now for w, q in zip(weights, p, strict=True)]
+    return total
+
+
 def test_context_mixing_against_the_formula(spark):
-    """The score of a text, bit by bit from the model's own tables, without cache, chunks or cells."""
+    """The score of a text, bit by bit from the model's own tables and then read in order, without cache, chunks or cells."""
     from tallyframe.llm import lm
 
     texts = ["abcabcabc abd", "abcabd", "zz", ""]
@@ -167,9 +187,9 @@ def test_context_mixing_against_the_formula(spark):
     counts, check = model.counts, model.check
     got = {r.text: r.score for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").mapInArrow(lm._score(model, (np.zeros(0, np.uint64), np.zeros(0))), "id long, rare array<long>, times array<long>, bytes long, n long, known long, base double, score double").join(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string"), "id").collect()}
     for text in texts:
-        before, total = [lm.START] * lm.ORDER, 0.0
+        before, each = [lm.START] * lm.ORDER, []
         for byte in [*text.encode(), lm.END]:
-            packed = np.array([int.from_bytes(bytes([*before, byte]), "big")], np.uint64)
+            packed, total = np.array([int.from_bytes(bytes([*before, byte]), "big")], np.uint64), 0.0
             for place in range(7, -1, -1):
                 bit, node = byte >> place & 1, np.array([(byte | 256) >> (place + 1)])
                 x, seen = [], 0
@@ -185,7 +205,8 @@ def test_context_mixing_against_the_formula(spark):
                 p = 0.5 * p + 0.5 * (refined[int(at)] * (1 - at % 1) + refined[int(at) + 1] * (at % 1))
                 total += math.log10(p if bit else 1 - p)
             before = [*before[1:], byte]
-        assert math.isclose(got[text], total, rel_tol=2e-2, abs_tol=2e-2)
+            each.append(total)
+        assert math.isclose(got[text], read_in_order(text.encode(), each), rel_tol=2e-2, abs_tol=2e-2)
 
 
 def test_mixture_is_a_distribution(docs):
@@ -573,3 +594,31 @@ def test_pipeline_stages(spark, docs, tmp_path):
     d.write.parquet(str(tmp_path / "documents.parquet"))
     out = p.run(spark, str(tmp_path))
     assert out.columns[:2] == ["doc_id", "n_tokens"] and out.count() > 0
+
+
+def test_adaptive_refinement_byte_by_byte():
+    from tallyframe.llm import lm
+
+    texts = [b"the cat sat on the cat sat on the cat", b"", b"ab" * 40, b"\0" * 30, "日本語の日本語の日本語".encode(), b"the cat sat"]
+    sizes, packed, static = [], [], []
+    rng = np.random.default_rng(5)
+    for t in texts:
+        padded = bytes([lm.START]) * lm.ORDER + t + bytes([lm.END])
+        packed += [int.from_bytes(padded[i : i + lm.ORDER + 1], "big") for i in range(len(t) + 1)]
+        sizes.append(len(t) + 1)
+        static.append(np.log10(rng.uniform(0.05, 0.9, len(t) + 1)).astype(np.float32))
+    got = lm.adapt(np.array(packed, np.uint64), np.array(sizes), np.concatenate(static))
+    for t, model, score in zip(texts, static, got, strict=True):
+        assert math.isclose(score, read_in_order(t, model), rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_counts_of_earlier_keys_with_clashing_high_bits():
+    from tallyframe.llm.lm import earlier
+
+    keys = np.random.default_rng(3).integers(0, 50, 2000).astype(np.uint64)  # all differ only in the bits left out
+    seen: Counter = Counter()
+    want = []
+    for k in keys.tolist():
+        want.append(seen[k])
+        seen[k] += 1
+    assert earlier(keys).tolist() == want and earlier(keys[:1]).tolist() == [0]

@@ -391,8 +391,9 @@ def drift_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
-    values = settled(profile.value_counts(c))
-    p = profile.profile(c, values=values)
+    counted = settled(profile.counted(c))
+    values = counted.where("value is not null")
+    p = profile.profile(c, values=counted)
     few = profile.top_values(values).groupBy("table_name", "column_name").agg(F.collect_set(F.upper("value")).alias("top"))
     s = profile.samples(c)
     rows = p.join(few, ["table_name", "column_name"], "left").join(s, ["table_name", "column_name"], "left")

@@ -48,5 +48,16 @@ select page_id, payload_bytes, array_to_string(list_transform(five, lambda k: 'A
 case when page_id = best then 'response' else 'revisit' end as record_type, case when page_id <> best then best end as refers_to from d"""
 
 
+_ESCAPE = r"regexp_replace(regexp_replace({0}, '(\[)(\\*/?INST\])', '\1\\\2', 'g'), '(<)(\\*(?:/?s|\|(?:text|image|audio|document|other)\|)>)', '\1\\\2', 'g')"
+
+# Marks count 3 + 4 code points around a learned turn, 6 + 1 + 7 around another with its role.
+OP11 = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as said,
+  coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as learned,
+  sum(length({_ESCAPE.format("text")}) + case when role = 'assistant' then 7 else 14 + length(replace(replace({_ESCAPE.format("role")}, '%', '%25'), chr(10), '%0A')) end) as formatted_chars from t group by conv_id)
+select conv_id, n_turns, sha256(said) as turns_sha256, length(learned) as loss_chars, sha256(learned) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars from g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1, "op5_url_filter": OP5, "op6_embedding_near_dedup": OP6, "op10_warc_revisits": OP10}
+    return {"op1_minhash_near_dedup": OP1, "op5_url_filter": OP5, "op6_embedding_near_dedup": OP6, "op10_warc_revisits": OP10, "op11_chat_format": OP11}

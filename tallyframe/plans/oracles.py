@@ -301,6 +301,7 @@ select count(*) filter (not held and profile_signature is not null and origin =
 r as (select count(*) as regressed from sc x where x.id % 2 = 0 and x.ok and not exists (select 1 from sc y where y.id = x.id + 1 and y.ok))
 select before_columns, after_columns, regressed, round_even(b, 6) as before_loss, round_even(a, 6) as after_loss, a < b and regressed = 0 as improved from c, r""",
         "delimited_scan": f"with {LEGACY} select * exclude (pos) from legacy",
+        "delimited_quoted": r"""select cast(doc_id as varchar) as DOC_ID, coalesce(text, '') as BODY, '"' || coalesce(source, '') || '", \' as SAID, chr(10) || case when strpos(coalesce(text, ''), chr(10)) = 0 then coalesce(text, '') else array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10)) end || '"' || chr(10) as HEAD, coalesce(lang, '') as LANG from documents""",
         "source_row_counts": " union all ".join(f"select '{x}' as table_name, count(*) as row_count from {x}" for x in ("customer", "orders", "supplier", "events", "lineitem", "documents")),
         "drift_versions": _DRIFT.split("both_ as (")[0].rstrip().rstrip(",") + f" select 'new' as source_name, 1 as version, count(*)::int as columns, {_PRINT} as fingerprint from oprofile union all select 'forced', 2, count(*)::int, {_PRINT} from nprofile",
         "tune_grid": TUNE,

@@ -197,6 +197,16 @@ def delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.read(spark, path)
 
 
+def delimited_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in quoted cells with separators, doubled quotes, backslashes and line feeds, written as files and scanned again."""
+    d = read(spark, sf_dir, "documents")
+    path = new_folder(spark, "quoted")
+    text = F.coalesce("text", F.lit(""))
+    rows = d.select(F.col("doc_id").cast("string").alias("DOC_ID"), text.alias("BODY"), F.concat(F.lit('"'), F.coalesce("source", F.lit("")), F.lit('", \\')).alias("SAID"), F.concat(F.lit("\n"), F.substring_index(text, "\n", 2), F.lit('"\n')).alias("HEAD"), F.coalesce(F.col("lang"), F.lit("")).alias("LANG"))
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return delimited.read(spark, path)
+
+
 def source_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True row counts of tables that are read as text."""
     parts = [read_text(read(spark, sf_dir, name))[1].select(F.lit(name).alias("table_name"), "row_count") for name in [*TABLES, "documents"]]

@@ -1,4 +1,4 @@
-"""The shared folder for checkpoints: the cluster's, or a temporary one in a local session."""
+"""The shared folder for checkpoints (the cluster's, or a temporary one in a local session), and checked broadcasts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -22,3 +23,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return f"{base}/tallyframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def broadcast_counted(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint where it has at most ``limit`` rows by count; beyond it the join shuffles."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

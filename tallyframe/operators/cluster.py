@@ -24,7 +24,11 @@ ABBREVIATIONS = {
     "nm": "name", "addr": "address", "st": "state", "cust": "customer", "acct": "account", "dist": "distribution",
 }
 METADATA = r"(?i)^(_cdc|_meta|_ingest|_load)"
-KIN = ["integer>decimal", "integer>string", "decimal>integer", "decimal>string", "string>integer", "string>decimal", "date>string", "string>date", "boolean>string", "string>boolean"]
+# Types that may stand for each other.
+KIN = [
+    ("integer", "decimal"), ("integer", "string"), ("decimal", "integer"), ("decimal", "string"), ("string", "integer"),
+    ("string", "decimal"), ("date", "string"), ("string", "date"), ("boolean", "string"), ("string", "boolean"),
+]
 
 
 def expanded_name(name: Column) -> Column:
@@ -40,40 +44,60 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.greatest(token_set_ratio(a, b), ratio(in_order(a), in_order(b)))
 
 
-def pair_scores(columns: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _floors(threshold: float) -> tuple[float, float]:
+    """Name score and value overlap of which a pair needs one: below both no pair reaches the threshold.
+
+    A name below the first floor leaves the values three quarters of the score.
+    """
+    name = max(NAME_FLOOR, threshold / 0.85)
+    return name, (threshold - 0.25 * min(name, 1.0)) / 0.75
+
+
+def pair_scores(columns: DataFrame, threshold: float = THRESHOLD, values: DataFrame | None = None) -> DataFrame:
     """Cross-source pairs (a, b) that score at least ``threshold``.
 
     ``columns``: source_name, column_name, ordinal, inferred_type, is_id, is_coded,
     is_cents, distinct_ratio, null_rate, vocabulary (array of upper-case values).
-    A source that names a column twice is refused.  ``evidence`` says what a pair's
-    score rests on.
-
-    A pair scores by a shared value or by names of ``NAME_FLOOR`` and more.  Shared
-    values are joined by value.  Names are compared once for each two distinct
-    expanded names that share a word or two letters (see ``_alike_names``), so
-    copies of a name in thousands of sources cost one comparison.
+    ``values`` (source_name, column_name, v) may give the values of bounded columns
+    in place of the arrays, any number of them.  A source that names a column twice
+    is refused.  ``evidence`` says what a pair's score rests on.
+
+    Candidates come from two set-similarity joins: names (:func:`similar_names`)
+    and values (:func:`overlapping`), each at the floor that the threshold leaves
+    it.  Names are compared once for each two distinct expanded names, so copies of
+    a name in thousands of sources cost one comparison; values are counted in joins
+    and no pair carries a vocabulary.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
     if not columns.groupBy("source_name", "column_name").count().where("count > 1").isEmpty():
         raise ValueError("a source names a column twice: source names must differ")
-    usable = columns.where(~F.col("column_name").rlike(METADATA)).withColumn("words", expanded_name(F.col("column_name")))
-    side = lambda p: usable.select(*[F.col(c).alias(f"{p}_{c}") for c in usable.columns])
+    name_floor, value_floor = _floors(threshold)
     keys = ["source_name", "column_name"]
-    valued = usable.select(*keys, F.explode(F.array_distinct("vocabulary")).alias("v"))
-    by_value = valued.select(*[F.col(c).alias(f"a_{c}") for c in keys], "v").join(valued.select(*[F.col(c).alias(f"b_{c}") for c in keys], "v"), "v").where("a_source_name < b_source_name").drop("v").distinct()
-    alike = _alike_names(usable.select("words").distinct())
+    usable = columns.where(~F.col("column_name").rlike(METADATA)).withColumn("words", expanded_name(F.col("column_name")))
+    listed = usable.select(*keys, F.explode("vocabulary").alias("v")) if values is None else values.join(usable.select(*keys), keys, "left_semi").select(*keys, "v")
+    listed = listed.distinct()
+    usable = usable.drop("vocabulary").join(listed.groupBy(*keys).agg(F.count("*").alias("held")), keys, "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    side = lambda p, df: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    ends = [f"{p}_{c}" for p in "ab" for c in keys]
+    names = usable.select("words").distinct()
+    alike = similar_names(names, name_floor).checkpoint()
+    both = alike.unionByName(alike.select(F.col("y").alias("x"), F.col("x").alias("y"), "name")).unionByName(names.where("words <> ''").select(F.col("words").alias("x"), F.col("words").alias("y"), F.lit(1.0).alias("name")))
     named = usable.select(*keys, "words")
-    by_name = alike.join(named.select(*[F.col(c).alias(f"a_{c}") for c in keys], F.col("words").alias("x")), "x").join(named.select(*[F.col(c).alias(f"b_{c}") for c in keys], F.col("words").alias("y")), "y").where("a_source_name < b_source_name").select(by_value.columns)
-    found = by_value.unionByName(by_name).distinct()
-    pairs = found.join(side("a"), ["a_source_name", "a_column_name"]).join(side("b"), ["b_source_name", "b_column_name"])
-    name = name_similarity(F.col("a_words"), F.col("b_words"))
-    union = F.size(F.array_union("a_vocabulary", "b_vocabulary"))
-    bounded = F.col("a_is_coded") | (F.size("a_vocabulary") > 0)
-    bounded = bounded & (F.col("b_is_coded") | (F.size("b_vocabulary") > 0)) & (F.size("a_vocabulary") > 0) & (F.size("b_vocabulary") > 0)
-    overlap = F.when(bounded & (union > 0), F.size(F.array_intersect("a_vocabulary", "b_vocabulary")) / union).otherwise(0.0)
+    by_name = both.join(side("a", named), F.col("a_words") == F.col("x")).join(side("b", named), F.col("b_words") == F.col("y")).where("a_source_name < b_source_name").select(*ends)
+    found = by_name.unionByName(overlapping(listed, value_floor)).distinct()
+    # What each pair shares, counted in joins by value.
+    shared = found.join(side("a", listed), [f"a_{c}" for c in keys]).join(side("b", listed).withColumnRenamed("b_v", "a_v"), [*[f"b_{c}" for c in keys], "a_v"])
+    found = found.join(shared.groupBy(*ends).agg(F.count("*").alias("shared")), ends, "left")
+    pairs = found.join(side("a", usable), [f"a_{c}" for c in keys]).join(side("b", usable), [f"b_{c}" for c in keys])
+    known = both.select(F.col("x").alias("a_words"), F.col("y").alias("b_words"), F.col("name").alias("known"))
+    pairs = pairs.join(known, ["a_words", "b_words"], "left")
+    # Names below their floor are compared only where values made the pair.
+    name = F.when(F.col("known").isNotNull(), F.col("known")).otherwise(name_similarity(F.col("a_words"), F.col("b_words")))
+    shared = F.coalesce("shared", F.lit(0))
+    overlap = F.when((F.col("a_held") > 0) & (F.col("b_held") > 0), shared / (F.col("a_held") + F.col("b_held") - shared)).otherwise(0.0)
     same = F.col("a_inferred_type") == F.col("b_inferred_type")
-    kin = same | F.concat_ws(">", "a_inferred_type", "b_inferred_type").isin(KIN)
+    kin = same | F.concat_ws(">", "a_inferred_type", "b_inferred_type").isin([f"{x}>{y}" for x, y in KIN])
     differing = sum((F.col(f"a_{c}") != F.col(f"b_{c}")).cast("int") for c in ("is_id", "is_coded", "is_cents"))
     gate = F.when(~kin, 0.25).when(~same, 0.85).otherwise(1.0)
     gate = gate * (1 - 0.6 * F.abs(F.col("a_distinct_ratio") - F.col("b_distinct_ratio"))) * (1 - 0.3 * F.abs(F.col("a_null_rate") - F.col("b_null_rate"))) * F.pow(F.lit(0.9), differing)
@@ -95,22 +119,76 @@ def pair_scores(columns: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.select("a_source_name", "a_column_name", "a_ordinal", "b_source_name", "b_column_name", "b_ordinal", F.bround("name", 4).alias("name"), F.bround("overlap", 4).alias("overlap"), "score", evidence.alias("evidence"))
 
 
-def _alike_names(names: DataFrame) -> DataFrame:
-    """(x, y): pairs of distinct expanded names, both orders and each with itself, that reach NAME_FLOOR.
+def overlapping(listed: DataFrame, share: float) -> DataFrame:
+    """Cross-source pairs of columns whose values' Jaccard overlap can reach ``share``, by prefix filter.
 
-    Such a pair shares a word, or a common subsequence of at least 0.31 of the
-    longer text: two different letters, or else one letter that with the spaces
-    makes up that share of each text.  Each of these is a key, so none is missed.
+    ``listed``: source_name, column_name, v (distinct).  A set that shares ``share``
+    of a union has a common value among its rarest n - ceil(share * n) + 1, on
+    either side; only these are keys, so a value that very many columns hold is a
+    key only for sets of little else.  Sizes bound each other too.
+    """
+    keys = ["source_name", "column_name"]
+    sized = listed.join(listed.groupBy("v").agg(F.count("*").alias("columns")), "v")
+    own = Window.partitionBy(*keys)
+    ranked = sized.withColumn("n", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("columns", "v")))
+    lead = ranked.where(F.col("rank") <= F.col("n") - F.greatest(F.ceil(share * F.col("n") - 1e-9), F.lit(1)) + 1)
+    side = lambda p: lead.select("v", F.col("n").alias(f"{p}_n"), *[F.col(c).alias(f"{p}_{c}") for c in keys])
+    met = side("a").join(side("b"), "v").where("a_source_name < b_source_name").where((F.least("a_n", "b_n") + 1e-9 >= share * F.greatest("a_n", "b_n")))
+    return met.select(*[f"{p}_{c}" for p in "ab" for c in keys]).distinct()
+
+
+def similar_names(names: DataFrame, floor: float = NAME_FLOOR) -> DataFrame:
+    """(x, y, name): every two distinct expanded names, x < y, whose similarity reaches ``floor``, scored once.
+
+    ``names.words`` is distinct.  Two names that share no word are compared by
+    their sorted letters' longest common subsequence, so they share floor / 2 of
+    their joint length in letters, counted with repeats.  A name's letters stand in
+    order of their global rarity; the two rarest that a pair shares lie within both
+    names' prefixes that this bound leaves, and those two are the pair's only key.
+    Names that share words meet in their rarest common word.  Lengths and shared
+    letters bound the score before it is computed.
     """
-    words = F.array_distinct(F.split("words", " "))
-    share = 0.31 * F.length(F.array_join(words, " "))
-    count = lambda c: F.length("words") - F.length(F.replace(F.col("words"), c, F.lit("")))
-    letters = F.array_distinct(F.filter(F.split("words", ""), lambda c: (c != "") & (c != " ")))
-    pairs_of = F.flatten(F.transform(letters, lambda p: F.transform(F.filter(letters, lambda q: p < q), lambda q: F.concat(p, q))))
-    keyed = names.select("words", F.explode(F.array_union(F.array_union(pairs_of, words), F.filter(letters, lambda c: count(c) + count(F.lit(" ")) >= share))).alias("key"))
-    both = keyed.select(F.col("words").alias("x"), "key").join(keyed.select(F.col("words").alias("y"), "key"), "key").where("x <= y").select("x", "y").distinct()
-    near = both.where(name_similarity(F.col("x"), F.col("y")) >= NAME_FLOOR)
-    return near.unionByName(near.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y")))
+    parts = F.filter(F.split("words", " "), lambda t: t != "")
+    joined = lambda w: F.array_join(F.array_sort(w), " ")
+    base = names.where("words <> ''").select("words", parts.alias("parts"), joined(parts).alias("text"), joined(F.array_distinct(parts)).alias("short"))
+    forms = F.array_distinct(F.array("text", "short"))
+    letters = base.select("words", F.explode(forms).alias("form"))
+    # Repeats of a letter are letters of their own: the second e is e2.
+    each = F.posexplode(F.array_sort(F.regexp_extract_all("form", F.lit("(?s)."), 0)))
+    numbered = letters.select("words", "form", each.alias("at", "c")).withColumn("k", F.row_number().over(Window.partitionBy("words", "form", "c").orderBy("at"))).withColumn("token", F.concat("c", F.col("k").cast("string")))
+    rarity = numbered.groupBy("token").agg(F.count("*").alias("seen"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seen", "token"))), lambda t: t["token"])
+    sets = numbered.join(rarity, "token").groupBy("words", "form").agg(ordered.alias("tokens")).join(base.select("words", "parts"), "words").checkpoint()
+    n = F.size("tokens")
+
+    def keys(role: str, shared: Column) -> DataFrame:
+        """Two-letter keys of names in one role; names that may need only one common letter give single ones too."""
+        lead = F.slice("tokens", 1, F.greatest(F.least(n - shared + 2, n), F.lit(1)))
+        two = F.flatten(F.transform(lead, lambda p, i: F.transform(F.slice(lead, i + 2, F.size(lead)), lambda q: F.concat(p, q))))
+        listed = F.when(n <= 2, F.concat(two, F.col("tokens"))).otherwise(two)
+        return sets.select(F.explode(listed).alias("key"), *[F.col(c).alias(f"{role}_{c}") for c in ("words", "parts", "tokens")], n.alias(f"{role}_n"))
+
+    at_least = lambda total: F.ceil(floor / 2 * total - 1e-9).cast("int")
+    least_partner = floor / (2 - floor)
+    met = keys("s", at_least(2 * n)).join(keys("l", at_least(n * (1 + least_partner))), "key")
+    met = met.where("s_n < l_n or (s_n = l_n and s_words < l_words)").where("s_words <> l_words").where(F.col("s_n") + 1e-9 >= least_partner * F.col("l_n"))
+    common = F.array_intersect("s_tokens", "l_tokens")
+    need = at_least(F.col("s_n") + F.col("l_n"))
+    first = F.when(need <= 1, F.get(common, F.lit(0))).otherwise(F.concat(F.get(common, F.lit(0)), F.get(common, F.lit(1))))
+    apart = met.where(~F.arrays_overlap("s_parts", "l_parts")).where(F.size(common) >= need).where(F.col("key") == first).select(F.least("s_words", "l_words").alias("x"), F.greatest("s_words", "l_words").alias("y")).distinct()
+    words = base.select("words", F.explode(F.array_distinct("parts")).alias("word"))
+    by_rarity = words.join(words.groupBy("word").agg(F.count("*").alias("seen")), "word").groupBy("words").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "word"))), lambda t: t["word"]).alias("parts"))
+    worded = by_rarity.withColumn("length", F.length(F.array_join("parts", " "))).checkpoint()
+    side = lambda p: worded.select(F.explode("parts").alias("word"), F.col("words").alias(p), F.col("parts").alias(f"{p}_parts"), F.col("length").alias(f"{p}_n"))
+    together = side("x").join(side("y"), "word").where("x < y").where(F.col("word") == F.get(F.array_intersect("x_parts", "y_parts"), F.lit(0)))
+    s = F.length(F.array_join(F.array_intersect("x_parts", "y_parts"), " "))
+    lone = F.least("x_n", "y_n")
+    # No reading is better than all of the shorter name being common, or than the common words against the shorter rest.
+    bound = F.greatest(2.0 * lone / (F.col("x_n") + F.col("y_n")), 2.0 * s / (2 * s + F.greatest(lone - s, F.lit(0))))
+    repeats = F.size(F.split("x", " ")) + F.size(F.split("y", " ")) > F.size("x_parts") + F.size("y_parts")
+    together = together.where((bound + 1e-9 >= floor) | repeats).select("x", "y")
+    scored = apart.unionByName(together).withColumn("name", name_similarity(F.col("x"), F.col("y")))
+    return scored.where(F.col("name") >= floor)
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:

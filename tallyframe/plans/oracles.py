@@ -174,7 +174,7 @@ catalog as (select table_name as source_name, regexp_replace(column_name, '^[a-z
   from profile left join (select table_name, column_name, list_distinct(list(upper(value))) as tops from top group by all) using (table_name, column_name) left join samples using (table_name, column_name)),
 worded as (select *, array_to_string(list_transform(list_filter(string_split(translate(lower(column_name), '_-', '  '), ' '), lambda t: t <> ''), lambda t: coalesce(map {{{_MAP}}}[t], t)), ' ') as words from catalog where not regexp_matches(column_name, '(?i)^(_cdc|_meta|_ingest|_load)')),
 crossed as (select a.source_name as a_source_name, a.column_name as a_column_name, a.ordinal as a_ordinal, b.source_name as b_source_name, b.column_name as b_column_name, b.ordinal as b_ordinal, a.words as wa, b.words as wb, a.vocabulary as va, b.vocabulary as vb,
-  a.inferred_type = b.inferred_type as same, a.inferred_type = b.inferred_type or a.inferred_type || '>' || b.inferred_type in ({', '.join(f"'{k}'" for k in KIN)}) as kin,
+  a.inferred_type = b.inferred_type as same, a.inferred_type = b.inferred_type or a.inferred_type || '>' || b.inferred_type in ({', '.join(f"'{k}'" for k in map(">".join, KIN))}) as kin,
   abs(a.distinct_ratio - b.distinct_ratio) as dd, abs(a.null_rate - b.null_rate) as dn, (a.is_id <> b.is_id)::int + (a.is_coded <> b.is_coded)::int + (a.is_cents <> b.is_cents)::int as flags
   from worded a join worded b on a.source_name < b.source_name),
 word_pairs as (select distinct wa, wb from crossed),

@@ -129,11 +129,20 @@ def dedup_cdc(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- profiles
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [profile.melt(profile_input(spark, sf_dir, name), F.expr(key), name) for name, key in TABLES.items()]
-    x = legacy(spark, sf_dir)
-    parts.append(profile.melt(x, F.substring("POL_NO", 5, 8).cast("bigint"), "legacy"))
-    return reduce(DataFrame.unionByName, parts)
+def _wide(spark: SparkSession, sf_dir: str) -> dict:
+    """The profiled tables with their positions."""
+    tables = {name: (profile_input(spark, sf_dir, name), F.expr(key)) for name, key in TABLES.items()}
+    return tables | {"legacy": (legacy(spark, sf_dir), F.substring("POL_NO", 5, 8).cast("bigint"))}
+
+
+def cells(spark: SparkSession, sf_dir: str, only: dict[str, set[str]] | None = None) -> DataFrame:
+    """All cells of six tables, or those of the columns ``only`` by table."""
+    return reduce(DataFrame.unionByName, [profile.melt(df, pos, name, None if only is None else only[name]) for name, (df, pos) in _wide(spark, sf_dir).items() if only is None or name in only])
+
+
+def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, pos) of all their rows."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("table_name"), pos.cast("long").alias("pos")) for name, (df, pos) in _wide(spark, sf_dir).items()])
 
 
 def profile_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,7 +176,7 @@ def profile_top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profile_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P9, as joined text."""
-    return profile.samples(cells(spark, sf_dir)).select("table_name", "column_name", F.array_join("samples", "|").alias("samples"))
+    return profile.samples(cells(spark, sf_dir), rows_of(spark, sf_dir)).select("table_name", "column_name", F.array_join("samples", "|").alias("samples"))
 
 
 def profile_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,11 +233,11 @@ def settled(df: DataFrame) -> DataFrame:
 
 def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile rows ready for mapping: two sources, policy names on both."""
-    return _ready(cells(spark, sf_dir))
+    return _ready(cells(spark, sf_dir), rows_of(spark, sf_dir))
 
 
-def _ready(c: DataFrame) -> DataFrame:
-    rows = profile.profile(c).join(profile.samples(c), ["table_name", "column_name"], "left")
+def _ready(c: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    rows = profile.profile(c).join(profile.samples(c, at), ["table_name", "column_name"], "left")
     rows = rows.withColumn("source_name", F.when(F.col("table_name") == "legacy", "oldsys").otherwise("shop")).withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
     return settled(rows.withColumn("schema_key", F.when(F.col("table_name").isin("orders", "events", "lineitem"), "customer_table").otherwise("policy")))
 
@@ -401,12 +410,15 @@ def drift_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
-    counted = settled(profile.counted(c))
-    values = counted.where("value is not null")
-    p = profile.profile(c, values=counted)
-    few = profile.top_values(values).groupBy("table_name", "column_name").agg(F.collect_set(F.upper("value")).alias("top"))
-    s = profile.samples(c)
-    rows = p.join(few, ["table_name", "column_name"], "left").join(s, ["table_name", "column_name"], "left")
+    keys = ["table_name", "column_name"]
+    p = settled(profile.profile(c))
+    # Values are counted once more only for columns that have few.
+    few: dict[str, set[str]] = {}
+    for r in p.where(F.col("exact_distinct").between(1, profile.TOP_DISTINCT)).select(*keys).collect():  # names of columns, for the scan
+        few.setdefault(r["table_name"], set()).add(r["column_name"])
+    counts = profile.value_counts(cells(spark, sf_dir, few) if few else c.limit(0))
+    top = profile.top_values(counts).groupBy(*keys).agg(F.collect_set(F.upper("value")).alias("top"))
+    rows = p.join(top, keys, "left").join(profile.samples(c, rows_of(spark, sf_dir)), keys, "left")
     none = F.array().cast("array<string>")
     vocabulary = F.array_distinct(F.concat(F.coalesce("top", none), F.transform(F.coalesce("samples", none), lambda v: F.upper(v))))
     bounded = F.col("is_coded") | F.col("top").isNotNull()
@@ -701,7 +713,7 @@ def review_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.upsert(h, new, ["id"], "reviewer_action")
 
 
-_HELPERS = {"read", "legacy", "staging", "cells", "profile_input", "profiled", "target_tables", "history", "tool_calls", "target_fields", "settled", "read_text", "new_folder", "reduce", "queries"}
+_HELPERS = {"read", "rows_of", "legacy", "staging", "cells", "profile_input", "profiled", "target_tables", "history", "tool_calls", "target_fields", "settled", "read_text", "new_folder", "reduce", "queries"}
 
 
 def queries() -> dict:

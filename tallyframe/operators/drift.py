@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio
+from ..sources import store
 
 RENAME = 0.85
 
@@ -71,5 +72,27 @@ def breaking_sources(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.bool_or("breaking").alias("breaking")).where("breaking").select(*keys)
 
 
+VERSION = "source_name string, version int, schema_hash string, columns array<struct<low:string,column_name:string,inferred_type:string,is_id:boolean,is_coded:boolean,date_format:string>>"
+
+
+def record_delivery(delivered: DataFrame, path: str, run_id: str, forced: DataFrame | None = None) -> DataFrame:
+    """Append the versions of a delivery's columns to the store at ``path``; the changes against the versions before.
+
+    Sources (source_name) with breaking changes are reported and not recorded,
+    unless ``forced`` names them.  The same run published again replaces its own
+    versions: it is compared with those of other runs only.
+    """
+    spark, key = delivered.sparkSession, ["source_name"]
+    before = store.read(spark, path, VERSION).where(F.col("run_id") != run_id).drop("run_id").checkpoint()
+    old = latest_versions(before, key).select("source_name", F.inline("columns")).drop("low")
+    known = delivered.join(before.select("source_name").distinct(), key, "left_semi")
+    found = changes(old.join(delivered.select("source_name").distinct(), key, "left_semi"), known, key).checkpoint()
+    blocked = breaking_sources(found, key)
+    if forced is not None:
+        blocked = blocked.join(forced.select("source_name"), key, "left_anti")
+    store.publish(next_versions(before, fingerprints(delivered, key), key, blocked), path, run_id)
+    return found
+
+
 def to_be_mapped(found: DataFrame) -> DataFrame:
     return found.where("kind = 'added'")

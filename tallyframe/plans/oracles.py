@@ -317,6 +317,7 @@ select table_name, column_name, case when target = 'policy_status' then null els
         "dedup_latest": "select user_id, event_id, ts, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
         "dedup_cdc": "select user_id, event_type, ts, event_id, value from events qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1",
         "profile_columns": f"{BASE} select * exclude (ordinal) from profile",
+        "profile_deliveries": f"{BASE}, {TOP}, tops as (select table_name, column_name, string_agg(value, '|' order by rank) as top from top group by all) select table_name, column_name, row_count, null_rate, inferred_type, date_format, is_id, is_coded, is_cents, exact_distinct <= 20 as distinct_exact, true as distinct_close, top from profile left join tops using (table_name, column_name)",
         "profile_type_votes": f"{BASE} select table_name, column_name, cell_type, v as votes, p as first_pos from votes",
         "profile_top_values": f"{BASE}, {TOP} select * from top",
         "profile_samples": f"{BASE}, {SAMPLES} select table_name, column_name, array_to_string(samples, '|') as samples from samples",
@@ -338,6 +339,7 @@ open_ as (select source_name, table_name, target from contended where action = '
 select c.table_name, c.column_name, c.target, case when o.target is not null and action in ('contested', 'demoted') then case when place = 2 then 'kept' else 'demoted' end else action end as action, case when o.target is not null and action in ('contested', 'demoted') then case when place = 2 then c.target end else final_target end as final_target
 from contended c left join open_ o using (source_name, table_name, target) where action <> 'unmapped'""",
         "map_missing": f"{MAPPED}, {BEST}, {CONTENDED} select t.table_name, f.field from (select distinct table_name, schema_key from columns_) t join fields f using (schema_key) where required and not exists (select 1 from contended c where c.table_name = t.table_name and c.final_target = f.field)",
+        "drift_deliveries": _DRIFT.split("both_ as (")[0].rstrip().rstrip(",") + f" select x.source_name, '1' as run_id, 1 as version, count(*)::int as columns, {_PRINT} as fingerprint from oprofile, (values ('forced'), ('blocked')) x(source_name) group by x.source_name union all select 'forced', '3', 2, count(*)::int, {_PRINT} from nprofile",
         "drift_changes": _DRIFT,
         "cluster_pairs": f"{CLUSTER} select {ends}, round_even(name, 4) as name, round_even(overlap, 4) as overlap, round_even(score, 4) as score from pairs",
         "cluster_mutual": f"{CLUSTER}, {_MUTUAL} select {ends}, round_even(score, 4) as score from mutual",

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import transforms as t
 from ..functions.checkpoints import ensure_checkpoint_dir, new_folder
-from ..operators import cluster, drift, mapping, profile, review, rowshape, scoring, tuning
-from ..sources import artifacts, delimited
+from ..operators import cluster, drift, incremental, mapping, profile, review, rowshape, scoring, tuning
+from ..sources import artifacts, delimited, store
 from ..sources.tables import read_text, target_fields
 from . import canonical
 
@@ -164,6 +164,19 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile(cells(spark, sf_dir)).drop("ordinal")
 
 
+def profile_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries' states published one by one, and the profile of all made of states; the sketched counts against exact ones."""
+    ensure_checkpoint_dir(spark)
+    path = new_folder(spark, "states")
+    c = cells(spark, sf_dir)
+    for k in range(3):
+        store.publish(incremental.column_states(c.where(F.pmod("pos", F.lit(3)) == k), "shop"), path, f"delivery-{k}")
+    merged = incremental.merged_profile(store.read(spark, path, incremental.STATE))
+    exact = c.groupBy("table_name", "column_name").agg(F.count_distinct("value").alias("d"))
+    close = F.when(F.col("distinct_exact"), F.col("distinct_estimate") == F.col("d")).otherwise(F.abs(F.col("distinct_estimate") - F.col("d")) <= 0.06 * F.col("d"))
+    return merged.join(exact, ["table_name", "column_name"]).select("table_name", "column_name", "row_count", "null_rate", "inferred_type", "date_format", "is_id", "is_coded", "is_cents", "distinct_exact", close.alias("distinct_close"), F.array_join(F.transform("top", lambda t: t["value"]), "|").alias("top"))
+
+
 def profile_type_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes for each cell type."""
     return profile.type_votes(profile.value_counts(cells(spark, sf_dir)))
@@ -405,6 +418,20 @@ def drift_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_name", "version", F.size("columns").alias("columns"), F.transform("columns", lambda c: F.concat_ws(":", c["column_name"], c["inferred_type"], c["is_id"].cast("string"), c["is_coded"].cast("string"), c["date_format"])).cast("string").alias("fingerprint"))
 
 
+def drift_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries appended to a store of versions, the last one twice, as a job that is run again."""
+    ensure_checkpoint_dir(spark)
+    old, new = _two_versions(spark, sf_dir)
+    path = new_folder(spark, "versions")
+    names = F.explode(F.array(F.lit("forced"), F.lit("blocked"))).alias("source_name")
+    first, last = (settled(v.drop("source_name").select(names, "*")) for v in (old, new))
+    forced = spark.range(1).select(F.lit("forced").alias("source_name"))
+    for run, delivered in (("1", first), ("2", first), ("3", last), ("3", last)):
+        drift.record_delivery(delivered, path, run, forced)
+    out = store.read(spark, path, drift.VERSION)
+    return out.select("source_name", "run_id", "version", F.size("columns").alias("columns"), F.transform("columns", lambda c: F.concat_ws(":", c["column_name"], c["inferred_type"], c["is_id"].cast("string"), c["is_coded"].cast("string"), c["date_format"])).cast("string").alias("fingerprint"))
+
+
 # --- clusters
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .checkpoints import broadcast_counted
+
 MONEY = "decimal(14,2)"
 
 
@@ -63,6 +65,29 @@ def translated(c: Column, codes: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(known, F.trim(c)), F.trim(c))
 
 
+def translate_codes(rows: DataFrame, columns: list[str], value_map: DataFrame) -> DataFrame:
+    """``rows`` with the codes of ``columns`` replaced by their labels in ``value_map`` (column_name, code, label).
+
+    The lookup is a table, counted before it is broadcast: then all columns are
+    translated in one pass over the rows, and beyond that each join shuffles.
+    Codes are trimmed; one that the table lacks stays as it is (see
+    :func:`missing_codes`), and of several labels of a code the smallest counts.
+    """
+    known = value_map.where(F.col("column_name").isin(columns)).groupBy("column_name", "code").agg(F.min("label").alias("label"))
+    out, held = rows, broadcast_counted(known, 1_000_000)
+    for c in columns:
+        own = held.where(F.col("column_name") == c).select(F.col("code").alias("_code"), F.col("label").alias("_label"))
+        out = out.join(own, F.trim(F.col(f"`{c}`")) == F.col("_code"), "left").withColumn(c, F.coalesce("_label", F.trim(F.col(f"`{c}`")))).drop("_code", "_label")
+    return out.select([f"`{c}`" for c in rows.columns])
+
+
+def missing_codes(rows: DataFrame, columns: list[str], value_map: DataFrame) -> DataFrame:
+    """(column_name, code, rows): codes of ``columns`` that ``value_map`` lacks, with the rows that hold them; empty cells are none."""
+    codes = F.array(*[F.struct(F.lit(c).alias("column_name"), F.trim(F.col(f"`{c}`")).alias("code")) for c in columns])
+    held = rows.select(F.inline(codes)).where("code <> ''").groupBy("column_name", "code").agg(F.count("*").alias("rows"))
+    return held.join(value_map.select("column_name", "code").distinct(), ["column_name", "code"], "left_anti")
+
+
 def filled(kind: str, value: str | None, target: str) -> Column:
     """A target that no source column feeds: NULL, a HARDCODED literal or a DERIVED expression."""
     sql_type = {"integer": "bigint", "bigint": "bigint", "decimal": "decimal(12,2)", "date": "date", "boolean": "boolean"}.get(target, "string")

@@ -161,7 +161,7 @@ each as (select signature, tool, verdict in ('TP', 'TN') as ok, list_contains(to
 value as (select signature, tool, count(*) filter (called) as with_n, count(*) filter (not called) as without_n, avg(ok::int) filter (called) as a, avg(ok::int) filter (not called) as b from each group by all having with_n > 0 and without_n > 0),
 valued as (select signature, tool, with_n, without_n, round_even(a, 6) as with_accuracy, round_even(b, 6) as without_accuracy, round_even(a - b, 6) as delta from value)"""
 _DECIDED = """known as (select distinct target as name from h where target is not null),
-dec as (select id, case when id % 3 = 0 then 'accept' when id % 3 = 1 then 'modify' else 'skip' end as decision, 'field_' || id % 26 as new_target from h where id % 40 <> 7 or id % 3 <> 0),
+dec as (select id, case when id % 3 = 0 then 'accept' when id % 3 = 1 then 'modify' else 'skip' end as decision, 'field_' || case when id % 40 < 10 then id % 26 else id % 24 end as new_target from h where id % 40 <> 7 or id % 3 <> 0),
 decided as (select h.id, h.source_name, h.source_column, h.confidence, coalesce(decision, 'pending') as decision, case when decision = 'accept' then target when decision = 'modify' then new_target end as approved_target, case when decision = 'modify' then 'manual' else method end as method
   from h left join (select * from dec where decision <> 'modify' or new_target in (select name from known)) using (id)),
 states as (select d.source_column, count(*) as columns, count(*) filter (decision = 'pending') as pending, any_value(coalesce(c, 0)) as contests from decided d left join (select source_column, count(*) as c from decided where confidence > 0.985 and source_name = 'src0' and source_column in ('COL_1', 'COL_2', 'COL_3') group by all) using (source_column) group by all)"""
@@ -267,6 +267,9 @@ def oracle_sql() -> dict[str, str]:
   try_cast(lower("CLAIMS_IND") as boolean) as claims_made, array_to_string(list_transform(string_split(lower(trim("INS_NM")), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as insured_name,
   case trim("POL_STAT_CD") when 'F' then 'Final' when 'O' then 'Open' else trim("POL_STAT_CD") end as policy_status, 'TX' as region_code, length("POL_NO") as number_length, cast(null as bigint) as customer_id,
   '{{"POL_NO_SEQ":"' || "POL_NO_SEQ" || '","CLAIMS_IND":"' || "CLAIMS_IND" || '"}}' as extended_attributes from legacy""",
+        "definition_staging": f"with {LEGACY} select {_STAGED} from legacy",
+        "canonical_codes": f"""with {LEGACY} select "POL_NO", case trim("POL_STAT_CD") when 'P' then 'P' when '' then '' else 'state ' || lower(trim("POL_STAT_CD")) end as "POL_STAT_CD", lower(trim("INS_NM")) as "INS_NM", "WINBK_FLG" from legacy""",
+        "canonical_codes_missing": f"""with {LEGACY} select 'POL_STAT_CD' as column_name, 'P' as code, count(*) as rows from legacy where "POL_STAT_CD" = 'P' having count(*) > 0 union all select 'WINBK_FLG', "WINBK_FLG", count(*) from legacy group by all""",
         "canonical_unmapped": f"""with {LEGACY}, {_fields()} select field as name, required, "POL_STAT_CD", count(*) as rows from legacy, fields where schema_key = 'policy'
   and field not in ('policy_id', 'policy_number', 'risk_score', 'start_date', 'end_date', 'premium_amount', 'policy_deductible', 'win_back_eligible', 'policy_status', 'region_code', 'customer_id', 'agent_id', 'annual_revenue_impact') group by all""",
         "staging_projection": f"with {LEGACY} select {_STAGED} from legacy",

@@ -95,6 +95,42 @@ def staging_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.project(legacy(spark, sf_dir), listed, approved, RESOLVED, ["SIGN_DT", "CLAIMS_IND"])
 
 
+def definition_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed columns finalised to a definition document, the document read again, and the rows staged by it."""
+    rows = legacy(spark, sf_dir)
+    at = {c: i for i, c in enumerate(rows.columns)}
+    placed = F.create_map(*[F.lit(x) for p in at.items() for x in p])
+    d = spark.createDataFrame([(i, *a) for i, a in enumerate(APPROVED)] + [(90, "CLAIMS_IND", "true_false", None, None), (91, "SIGN_DT", "us_date", None, None)], "n int, column_name string, transform string, prefix string, approved_target string")
+    # Of the texts for one target the last counts, so later ones take later places.
+    decided = d.select(F.lit("oldsys").alias("source_name"), F.lit("legacy").alias("table_name"), "column_name", F.when(F.col("approved_target").isNull(), placed[F.col("column_name")]).otherwise(F.col("n")).alias("ordinal"), "approved_target", t.expression(F.col("transform"), F.col("column_name"), F.col("prefix")).alias("expression"), F.lit(0.9).alias("confidence"), F.lit("rule").alias("method"), F.lit("accepted").alias("decision"))
+    states = review.status(decided, decided.limit(0), review.TABLE)
+    resolved = spark.createDataFrame([("oldsys", "legacy", *r) for r in RESOLVED], "source_name string, table_name string, field string, kind string, value string")
+    missing = resolved.select(*review.TABLE, "field").unionByName(spark.createDataFrame([("oldsys", "legacy", "claim_count")], "source_name string, table_name string, field string"))
+    unmapped = decided.where("column_name = 'SIGN_DT'").select(*review.TABLE, "column_name", "ordinal")
+    path = new_folder(spark, "definitions")
+    artifacts.write_definitions(review.definitions(decided, states, missing, resolutions=resolved, unmapped=unmapped, reviewer="r"), path)
+    listed = [(r.name, r.target_type) for r in canonical.fields(spark).where("schema_key = 'policy'").orderBy("ordinal").collect()]
+    return artifacts.stage(rows, artifacts.read_definitions(spark, path).first(), listed)
+
+
+def _value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup table of codes: all priorities, all order states but one."""
+    o = read(spark, sf_dir, "orders")
+    status = o.where("o_orderstatus <> 'P'").select(F.lit("POL_STAT_CD").alias("column_name"), F.col("o_orderstatus").alias("code"), F.concat(F.lit("state "), F.lower("o_orderstatus")).alias("label"))
+    names = o.select(F.lit("INS_NM").alias("column_name"), F.upper("o_orderpriority").alias("code"), F.lower("o_orderpriority").alias("label"))
+    return status.unionByName(names).distinct()
+
+
+def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C17: coded columns translated by a lookup table."""
+    return t.translate_codes(legacy(spark, sf_dir).select("POL_NO", "POL_STAT_CD", "INS_NM", "WINBK_FLG"), ["POL_STAT_CD", "INS_NM", "WINBK_FLG"], _value_map(spark, sf_dir))
+
+
+def canonical_codes_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C17: codes that the lookup table lacks."""
+    return t.missing_codes(legacy(spark, sf_dir), ["POL_STAT_CD", "INS_NM", "WINBK_FLG"], _value_map(spark, sf_dir))
+
+
 def canonical_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields that neither an approved mapping nor a resolution covers, for each status of the extract's rows."""
     wanted = canonical.fields(spark).where("schema_key = 'policy'").select("name", "required")
@@ -708,7 +744,7 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = _mapped_history(spark, sf_dir)
     known = h.where("target is not null").select(F.col("target").alias("name")).distinct()
     i = F.col("id")
-    d = h.where("id % 40 <> 7 or id % 3 <> 0").select("id", F.when(i % 3 == 0, "accept").when(i % 3 == 1, "modify").otherwise("skip").alias("decision"), F.concat(F.lit("field_"), (i % 26).cast("string")).alias("new_target"))
+    d = h.where("id % 40 <> 7 or id % 3 <> 0").select("id", F.when(i % 3 == 0, "accept").when(i % 3 == 1, "modify").otherwise("skip").alias("decision"), F.concat(F.lit("field_"), F.when(i % 40 < 10, i % 26).otherwise(i % 24).cast("string")).alias("new_target"))
     return review.apply_decisions(h, d, known, ["id"]).join(h.select("id", "source_name", "source_column"), "id")
 
 

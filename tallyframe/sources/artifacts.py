@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.transforms import project
+
 _COLUMN = "name:string,inferred_type:string,null_rate:double,distinct_count:bigint,sample_values:array<string>,value_distribution:map<string,bigint>,date_format:string,is_id_column:boolean,is_coded_column:boolean,is_cents_column:boolean"
 PROFILE = f"source_name string, profiled_at string, profile_hash string, tables array<struct<table_name:string,row_count:bigint,columns:array<struct<{_COLUMN}>>>>"
 PROPOSAL = "source_name string, table_name string, mappings array<struct<source_column:string,target_field:string,confidence:double,method:string,sql_expression:string>>"
@@ -55,6 +57,33 @@ def write_nested(columns: DataFrame, path: str) -> None:
     doc.write.option("maxRecordsPerFile", 1).partitionBy("source_name").json(path)
 
 
+DEFINITION = (
+    "source_name string, table_name string,"
+    " approved_mappings array<struct<source_column:string,target_field:string,sql_expression:string,confidence:double,method:string,reviewer_action:string>>,"
+    " extended_attributes array<string>,"
+    " missing_field_resolutions array<struct<target_field:string,resolution:string,hardcoded_value:string,derivation_sql:string>>,"
+    " reviewer_identity string, reviewed_at timestamp, profile_hash string"
+)
+
+
+def write_definitions(definitions: DataFrame, path: str) -> None:
+    """Mapping definitions as JSON documents, a file for each source and table."""
+    definitions.write.option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(path)
+
+
+def read_definitions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Mapping definitions, one row for each document; of several for a table the one reviewed last."""
+    docs = spark.read.schema(DEFINITION).option("multiLine", True).json(paths)
+    return replaced(docs, ["source_name", "table_name"], ["reviewed_at", "profile_hash"])
+
+
+def stage(rows: DataFrame, definition: Row, fields: list[tuple[str, str]]) -> DataFrame:
+    """The staging table of one definition: its mappings and resolutions over all rows, a column for each of ``fields`` (name, type)."""
+    approved = [(m["target_field"], m["sql_expression"]) for m in definition["approved_mappings"] or [] if m["target_field"] is not None]
+    resolved = [(m["target_field"], m["resolution"], m["hardcoded_value"] if m["resolution"] == "HARDCODED" else m["derivation_sql"]) for m in definition["missing_field_resolutions"] or []]
+    return project(rows, fields, approved, resolved, definition["extended_attributes"] or [])
+
+
 def backfill(proposals: DataFrame, history: DataFrame) -> DataFrame:
     """History rows of proposal files that the history lacks: run ``backfill-<file stem>``."""
     run = F.concat(F.lit("backfill-"), F.regexp_replace("file_name", r"\.[^.]*$", ""))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import ensure_checkpoint_dir
 from ..functions.similarity import ratio, token_set_ratio
 
 # Thresholds of a pair, of a name and of kindred types.
@@ -72,6 +74,7 @@ def pair_scores(columns: DataFrame, threshold: float = THRESHOLD, values: DataFr
         raise ValueError("the threshold is above 0 and at most 1")
     if not columns.groupBy("source_name", "column_name").count().where("count > 1").isEmpty():
         raise ValueError("a source names a column twice: source names must differ")
+    ensure_checkpoint_dir(columns.sparkSession)
     name_floor, value_floor = _floors(threshold)
     keys = ["source_name", "column_name"]
     usable = columns.where(~F.col("column_name").rlike(METADATA)).withColumn("words", expanded_name(F.col("column_name")))
@@ -202,59 +205,49 @@ def _member(p: str) -> Column:
     return F.concat_ws(".", F.col(f"{p}_source_name"), F.col(f"{p}_column_name"))
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    """(member, part): the smallest label spreads over catalog edges until none moves; labels jump to their label's, so long chains take few rounds."""
-    both = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    labels = both.select(F.col("x").alias("member")).distinct().withColumn("part", F.col("member"))
-    while True:
-        near = both.join(labels.withColumnRenamed("member", "y"), "y").groupBy(F.col("x").alias("member")).agg(F.min("part").alias("p"))
-        after = labels.join(near, "member").select("member", F.least("part", "p").alias("part"), (F.col("p") < F.col("part")).alias("moved")).checkpoint()
-        if after.where("moved").isEmpty():
-            return after.select("member", "part")
-        further = after.select(F.col("member").alias("part"), F.col("part").alias("q"))
-        labels = after.join(further, "part").select("member", F.col("q").alias("part"))
-
-
-def _agglomerate(part: pd.DataFrame) -> pd.DataFrame:
-    """Greedy groups of one component: best edge first, at most one member for each source."""
-    score = {}
-    for r in part.itertuples():
-        score[r.x, r.y] = score[r.y, r.x] = r.score
-    groups: list[list[str]] = []
-    confidence: list[float] = []
-    of: dict[str, int] = {}
-    source = lambda m: m.split(".", 1)[0]
-    for r in part[part.mutual].sort_values(["score", "x", "y"], ascending=[False, True, True]).itertuples():
-        if r.x not in of and r.y not in of:
-            of[r.x] = of[r.y] = len(groups)
-            groups.append([r.x, r.y])
-            confidence.append(r.score)
-        elif (r.x in of) != (r.y in of):
-            g, new = (of[r.x], r.y) if r.x in of else (of[r.y], r.x)
-            with_all = [score.get((new, m)) for m in groups[g]]
-            if source(new) not in map(source, groups[g]) and None not in with_all:
-                of[new] = g
-                groups[g].append(new)
-                confidence[g] = min(confidence[g], *with_all)
-    rows = [(min(g), m, len(g), c) for g, c in zip(groups, confidence, strict=True) for m in g]
-    return pd.DataFrame(rows, columns=["cluster", "member", "size", "confidence"])
-
-
 def clusters(columns: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row per column: its group (named by its first member), the group's size and confidence.
 
-    The fold depends on the order of edges only within a connected component of
-    mutual bests, so components are folded on their own, with all pair scores
-    inside them.  What is in no group is a group of one with confidence 0.
+    Groups grow by the mutual bests in order of score: an edge of two free columns
+    makes a group; one of a free column and a group takes it in, if the group has no
+    member of its source and it pairs with every member; others do nothing.  The
+    result is that of going through all edges one by one, in parallel rounds: edges
+    that can't do anything any more are left out, and an edge that comes first
+    among all edges of both its ends (a free column or a whole group) is acted on,
+    as nothing before it can change them.  What is in no group is a group of one
+    with confidence 0.
     """
-    best = mutual_best(pairs).select(_member("a").alias("x"), _member("b").alias("y"), F.lit(True).alias("mutual"))
-    parts = _components(best)
-    scored = pairs.select(_member("a").alias("x"), _member("b").alias("y"), "score").join(best, ["x", "y"], "left")
-    inside = scored.join(parts.select(F.col("member").alias("x"), "part"), "x").join(parts.select(F.col("member").alias("y"), F.col("part").alias("other")), "y").where("part = other")
-    inside = inside.select("part", "x", "y", "score", F.coalesce("mutual", F.lit(False)).alias("mutual"))
-    grouped = inside.groupBy("part").applyInPandas(_agglomerate, "cluster string, member string, size int, confidence double")
-    everyone = columns.select(F.concat_ws(".", "source_name", "column_name").alias("member"))
-    return everyone.join(grouped, "member", "left").select("member", F.coalesce("cluster", "member").alias("cluster"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    ensure_checkpoint_dir(columns.sparkSession)
+    rank = [F.col("score").desc(), "x", "y"]
+    edges = mutual_best(pairs).select(_member("a").alias("x"), _member("b").alias("y"), "score")
+    scores = pairs.select(_member("a").alias("x"), _member("b").alias("y"), "score")
+    scores = scores.unionByName(scores.select(F.col("y").alias("x"), F.col("x").alias("y"), "score")).checkpoint()
+    source = columns.select(F.concat_ws(".", "source_name", "column_name").alias("member"), "source_name").checkpoint()
+    left = edges.checkpoint()
+    grouped = source.select("member", "source_name", F.col("member").alias("cluster"), F.lit(0.0).alias("least")).limit(0).checkpoint()
+    while not left.isEmpty():
+        held = lambda end: grouped.select(F.col("member").alias(end), F.col("cluster").alias(f"{end}_cluster"))
+        open_ = left.join(held("x"), "x", "left").join(held("y"), "y", "left").where("x_cluster is null or y_cluster is null")
+        new = F.when(F.col("x_cluster").isNull(), F.col("x")).otherwise(F.col("y"))
+        open_ = open_.withColumn("cluster", F.coalesce("x_cluster", "y_cluster")).withColumn("new", F.when(F.col("cluster").isNotNull(), new)).checkpoint()
+        # A column fits a group if it pairs with all members and brings a source of its own.
+        asked = open_.where("cluster is not null").select("new", "cluster").distinct().join(source.select(F.col("member").alias("new"), F.col("source_name").alias("own")), "new")
+        with_all = asked.join(grouped.select("member", "source_name", "cluster"), "cluster").join(scores.select(F.col("x").alias("new"), F.col("y").alias("member"), "score"), ["new", "member"], "left")
+        fits = with_all.groupBy("new", "cluster").agg(F.min("score").alias("weakest"), F.bool_and(F.col("score").isNotNull() & (F.col("own") != F.col("source_name"))).alias("fits")).where("fits").select("new", "cluster", "weakest")
+        free = open_.where("cluster is null").withColumn("weakest", F.col("score"))
+        live = free.unionByName(open_.join(fits, ["new", "cluster"]).select(free.columns)).select("x", "y", "score", "new", "cluster", "weakest").checkpoint()
+        node = lambda end: F.when(F.col("cluster").isNotNull() & (F.col("new") != F.col(end)), F.col("cluster")).otherwise(F.col(end))
+        # A group is named by one of its members, which is no free column, so names of both kinds don't meet.
+        ends = live.select("x", "y", "score", F.explode(F.array(node("x"), node("y"))).alias("end"))
+        first = ends.withColumn("place", F.row_number().over(Window.partitionBy("end").orderBy(*rank))).where("place = 1").groupBy("x", "y").count().where("count = 2").select("x", "y")
+        now = live.join(first, ["x", "y"]).checkpoint()
+        made = now.where("cluster is null").select(F.explode(F.array("x", "y")).alias("member"), F.least("x", "y").alias("cluster"), F.col("weakest").alias("least"))
+        taken = now.where("cluster is not null").select(F.col("new").alias("member"), "cluster", F.col("weakest").alias("least"))
+        grouped = grouped.unionByName(made.unionByName(taken).join(source, "member").select(grouped.columns)).checkpoint()
+        left = live.join(now, ["x", "y"], "left_anti").select("x", "y", "score").checkpoint()
+    named = grouped.groupBy("cluster").agg(F.min("member").alias("first"), F.count("*").cast("int").alias("size"), F.min("least").alias("confidence"))
+    found = grouped.select("member", "cluster").join(named, "cluster").select("member", F.col("first").alias("cluster"), "size", "confidence")
+    return source.select("member").join(found, "member", "left").select("member", F.coalesce("cluster", "member").alias("cluster"), F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def score_clusters(found: DataFrame, targets: DataFrame) -> DataFrame:
@@ -285,14 +278,19 @@ def score_clusters(found: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("tp", "fp", "truth", "unscored", "secondary", F.bround("p", 4).alias("precision"), F.bround("r", 4).alias("recall"), F.bround(f1, 4).alias("f1"))
 
 
-def _one_to_one(part: pd.DataFrame) -> pd.DataFrame:
-    used: set = set()
-    rows = []
-    for r in part.sort_values(["votes", "mean", "a", "b"], ascending=[False, False, True, True]).itertuples():
-        if ("a", r.a) not in used and ("b", r.b) not in used:
-            used |= {("a", r.a), ("b", r.b)}
-            rows.append((r.pair, r.a, r.b, int(r.votes), float(r.mean)))
-    return pd.DataFrame(rows, columns=["pair", "a", "b", "votes", "mean"])
+def one_to_one(edges: DataFrame, group: list[str], a: str, b: str, order: list) -> DataFrame:
+    """The edges that a greedy one-to-one choice by ``order`` takes within each ``group``, without going through them one by one.
+
+    An edge that comes first at both its ends is taken whatever else is, and its
+    ends leave; rounds go on until no edge is left.  ``order`` ranks edges without ties.
+    """
+    left, taken = edges.checkpoint(), []
+    while not left.isEmpty():
+        place = lambda end: F.row_number().over(Window.partitionBy(*group, end).orderBy(*order))
+        now = left.withColumn("_a", place(a)).withColumn("_b", place(b)).where("_a = 1 and _b = 1").drop("_a", "_b").checkpoint()
+        taken.append(now)
+        left = left.join(now.select(*group, a), [*group, a], "left_anti").join(now.select(*group, b), [*group, b], "left_anti").select(edges.columns).checkpoint()
+    return reduce(DataFrame.unionByName, taken, edges.limit(0))
 
 
 def vote_consensus(votes: DataFrame, runs: int, *, share: float = 0.8, floor: float = 0.6, known: DataFrame | None = None) -> DataFrame:
@@ -308,7 +306,8 @@ def vote_consensus(votes: DataFrame, runs: int, *, share: float = 0.8, floor: fl
     once = votes.groupBy("pair", "run", "a", "b").agg(F.max("confidence").alias("confidence"))
     tally = once.groupBy("pair", "a", "b").agg(F.count("*").alias("votes"), F.bround(F.avg("confidence"), 6).alias("mean"))
     tally = tally.where((F.col("votes") >= max(1, int(runs * share))) & (F.col("mean") >= floor))
-    return tally.groupBy("pair").applyInPandas(_one_to_one, "pair string, a string, b string, votes int, mean double")
+    ensure_checkpoint_dir(votes.sparkSession)
+    return one_to_one(tally.withColumn("votes", F.col("votes").cast("int")), ["pair"], "a", "b", [F.col("votes").desc(), F.col("mean").desc(), "a", "b"])
 
 
 __all__ = ["clusters", "mutual_best", "pair_scores", "score_clusters", "vote_consensus"]

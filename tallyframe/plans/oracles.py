@@ -344,6 +344,13 @@ from contended c left join open_ o using (source_name, table_name, target) where
         "map_missing": f"{MAPPED}, {BEST}, {CONTENDED} select t.table_name, f.field from (select distinct table_name, schema_key from columns_) t join fields f using (schema_key) where required and not exists (select 1 from contended c where c.table_name = t.table_name and c.final_target = f.field)",
         "drift_deliveries": _DRIFT.split("both_ as (")[0].rstrip().rstrip(",") + f" select x.source_name, '1' as run_id, 1 as version, count(*)::int as columns, {_PRINT} as fingerprint from oprofile, (values ('forced'), ('blocked')) x(source_name) group by x.source_name union all select 'forced', '3', 2, count(*)::int, {_PRINT} from nprofile",
         "drift_changes": _DRIFT,
+        "cluster_votes": """with recursive v as (select 's' || user_id % 4 as pair, event_id % 10 as run, 'a' || event_id % 6 as a, 'b' || user_id % 7 as b, (event_id * 13 % 50 + 50) / 100 as confidence from events),
+once as (select pair, run, a, b, max(confidence) as c from v where a <> 'a5' group by all),
+tally as (select pair, a, b, count(*)::int as votes, round_even(avg(c), 6) as mean from once group by all having count(*) >= 5 and round_even(avg(c), 6) >= 0.6),
+e as (select *, row_number() over (partition by pair order by votes desc, mean desc, a, b) as k from tally),
+g as (select pair, 0::bigint as k, ''::varchar as a, ''::varchar as b, 0 as votes, 0::double as mean, false as took, []::varchar[] as used from (select distinct pair from e)
+  union all select e.pair, e.k, e.a, e.b, e.votes, e.mean, not list_contains(g.used, e.a) and not list_contains(g.used, e.b), case when list_contains(g.used, e.a) or list_contains(g.used, e.b) then g.used else list_concat(g.used, [e.a, e.b]) end from g join e on e.pair = g.pair and e.k = g.k + 1)
+select pair, a, b, votes, mean from g where took""",
         "cluster_pairs": f"{CLUSTER} select {ends}, round_even(name, 4) as name, round_even(overlap, 4) as overlap, round_even(score, 4) as score from pairs",
         "cluster_mutual": f"{CLUSTER}, {_MUTUAL} select {ends}, round_even(score, 4) as score from mutual",
         "score_columns": f"{SCORES} select id, verdict, sql_ok, below_floor, calibration::decimal(10, 4) as calibration, loss::decimal(10, 4) as loss from sc",

@@ -65,12 +65,42 @@ def catalog(spark, n=3, size=6):
 
 
 def test_blocking_loses_no_pair(spark):
-    names = ["a", "ab", "aab", "aaa", "b a", "eff dt", "policy number", "number policy", "xyz", "zz z", "date of birth", "birth date"]
-    d = spark.createDataFrame([(n,) for n in names], "words string")
-    got = {(r.x, r.y) for r in cluster._alike_names(d).collect()}
-    every = d.select(F.col("words").alias("x")).crossJoin(d.select(F.col("words").alias("y")))
-    want = {(r.x, r.y) for r in every.where(cluster.name_similarity(F.col("x"), F.col("y")) >= cluster.NAME_FLOOR).collect()}
-    assert got == want and ("a", "ab") in want
+    import random
+
+    ensure_checkpoint_dir(spark)
+    rng = random.Random(3)
+    words = ["policy", "number", "date", "code", "agent", "effective", "risk", "x", "ab", "ba", "of", "birth", "zip"]
+    names = {"a", "b", "ab", "aab", "aaa", "b a", "a a", "a b", "b b a", "eff dt", "policy number", "number policy", "xyz", "zz z", "date of birth", "birth date"}
+    while len(names) < 130:
+        names.add(" ".join(rng.choice(words) if rng.random() < 0.6 else "".join(rng.choice("abcdeorst") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 3))))
+    d = spark.createDataFrame([(n,) for n in sorted(names)], "words string")
+    every = d.select(F.col("words").alias("x")).crossJoin(d.select(F.col("words").alias("y"))).where("x < y").withColumn("name", cluster.name_similarity(F.col("x"), F.col("y"))).where(F.col("name") >= cluster.NAME_FLOOR).collect()
+    for floor in (cluster.NAME_FLOOR, 0.8):
+        got = {(r.x, r.y): r.name for r in cluster.similar_names(d, floor).collect()}
+        assert got == {(r.x, r.y): r.name for r in every if r.name >= floor} and ("a", "ab") in {(r.x, r.y) for r in every}
+
+
+def test_overlap_loses_no_pair(spark):
+    import random
+
+    rng = random.Random(4)
+    sets = {(f"s{i % 4}", f"c{i}"): {rng.choice("abcdefghijkl") for _ in range(rng.randint(1, 9))} for i in range(60)}
+    listed = spark.createDataFrame([(s, c, v) for (s, c), vs in sets.items() for v in vs], "source_name string, column_name string, v string")
+    for share in (0.05, 0.52, 1.0):
+        got = {(r.a_source_name, r.a_column_name, r.b_source_name, r.b_column_name) for r in cluster.overlapping(listed, share).collect()}
+        want = {(*p, *q) for p in sets for q in sets if p[0] < q[0] and len(sets[p] & sets[q]) / len(sets[p] | sets[q]) >= share - 1e-9}
+        assert want <= got and (want or share == 1.0)
+
+
+def test_pairs_are_those_of_all_pairs(spark):
+    """Candidates against every cross-source pair, by the same scores at a threshold that keeps all."""
+    ensure_checkpoint_dir(spark)
+    columns = catalog(spark, 3, 6)
+    score = lambda t: {tuple(r[:2]) + (r.b_source_name, r.b_column_name): r.score for r in cluster.pair_scores(columns, t).collect()}
+    low, high = score(0.05), score(0.55)
+    assert high == {k: s for k, s in low.items() if s >= 0.55} and len(high) < len(low)
+    given = columns.select("source_name", "column_name", F.explode("vocabulary").alias("v"))
+    assert {(*tuple(r[:2]), r.b_source_name, r.b_column_name): r.score for r in cluster.pair_scores(columns, 0.55, given).collect()} == high
 
 
 def test_groups_against_the_greedy_fold(spark):
@@ -100,10 +130,11 @@ def test_groups_against_the_greedy_fold(spark):
         cluster.pair_scores(columns.unionByName(columns.limit(1)))
 
 
-def test_long_chains_are_one_component(spark):
-    ensure_checkpoint_dir(spark)
-    chain = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(60)], "x string, y string")
-    assert {r.part for r in cluster._components(chain).collect()} == {"n000"}
+def test_long_chains_of_edges(spark):
+    """Edges of falling score along a chain: every second one is taken, whatever the order of rounds."""
+    chain = spark.createDataFrame([("p", f"a{k:03d}", f"b{k:03d}", 1000 - 2 * k) for k in range(12)] + [("p", f"a{k + 1:03d}", f"b{k:03d}", 999 - 2 * k) for k in range(11)], "pair string, a string, b string, w int")
+    got = {(r.a, r.b) for r in cluster.one_to_one(chain, ["pair"], "a", "b", [F.col("w").desc()]).collect()}
+    assert got == {(f"a{k:03d}", f"b{k:03d}") for k in range(12)}
 
 
 def test_votes_against_the_greedy_choice(spark):

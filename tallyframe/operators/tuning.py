@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import ensure_checkpoint_dir
 from ..functions.similarity import field_similarity
 from . import mapping, scoring
 
@@ -82,15 +83,45 @@ def curation_counts(history: DataFrame, labels: DataFrame, active: DataFrame) ->
     return rows.agg(*[F.count_if(c).alias(n) for n, c in (("added_hard", ~held & signed & (F.col("origin") == "hard_case")), ("added_critic", ~held & signed & (F.col("origin") == "critic_accepted")), ("skipped_existing", held), ("skipped_no_signature", ~held & ~signed))])
 
 
-def similar_examples(columns: DataFrame, examples: DataFrame, *, floor: float = 0.35, k: int = 3) -> DataFrame:
-    """The k nearest examples of the same source: half by equal flags, half by name."""
-    flags = ["inferred_type", "is_id", "is_coded", "is_cents", "date_format"]
-    right = examples.select("source_name", F.col("source_column").alias("example"), *[F.col(f).alias(f"e_{f}") for f in flags])
-    rows = columns.join(right, "source_name").where(F.col("column_name") != F.col("example"))
-    equal = sum(F.col(f).eqNullSafe(F.col(f"e_{f}")).cast("int") for f in flags)
-    rows = rows.withColumn("similarity", F.bround(0.5 * equal / 5 + 0.5 * field_similarity(F.col("column_name"), F.col("example")), 4)).where(F.col("similarity") >= floor)
-    order = Window.partitionBy("source_name", "table_name", "column_name").orderBy(F.col("similarity").desc(), "example")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("source_name", "table_name", "column_name", "rank", "example", "similarity")
+FLAGS = ["inferred_type", "is_id", "is_coded", "is_cents", "date_format"]
+
+
+def similar_examples(columns: DataFrame, examples: DataFrame, *, floor: float = 0.35, k: int = 3, watch: list | None = None) -> DataFrame:
+    """The k nearest examples of the same source: half by equal flags, half by name; ties by name of the example.
+
+    Without its name a pair's similarity is at most half the share of equal flags
+    and a half.  So columns meet the examples that share all flags first, then those
+    that share one less, and so on; a column goes on only while that bound reaches
+    its k-th best so far (and the floor).  Flags are matched by their few
+    combinations, and names are compared only for pairs that meet.  ``watch``, if
+    given, gets the number of pairs compared at each step.
+    """
+    ensure_checkpoint_dir(columns.sparkSession)
+    key = ["source_name", "table_name", "column_name"]
+    combo = F.to_json(F.struct(*FLAGS), {"ignoreNullFields": "false"})
+    left = columns.select(*key, combo.alias("combo"), *FLAGS).checkpoint()
+    right = examples.select("source_name", F.col("source_column").alias("example"), combo.alias("e_combo"), *[F.col(f).alias(f"e_{f}") for f in FLAGS]).distinct().checkpoint()
+    kinds = left.select("source_name", "combo", *FLAGS).distinct().join(right.select("source_name", "e_combo", *[f"e_{f}" for f in FLAGS]).distinct(), "source_name")
+    equal = sum(F.col(f).eqNullSafe(F.col(f"e_{f}")).cast("int") for f in FLAGS)
+    kinds = kinds.select("source_name", "combo", "e_combo", equal.alias("equal")).checkpoint()
+    order = Window.partitionBy(*key).orderBy(F.col("similarity").desc(), "example")
+    open_, best = left.select(*key, "combo"), None
+    for level in range(len(FLAGS), -1, -1):
+        bound = 0.5 * level / len(FLAGS) + 0.5
+        if bound < floor:
+            break
+        met = open_.join(kinds.where(F.col("equal") == level), ["source_name", "combo"]).join(right.select("source_name", "e_combo", "example"), ["source_name", "e_combo"]).where(F.col("column_name") != F.col("example"))
+        scored = met.withColumn("similarity", F.bround(0.5 * F.col("equal") / 5 + 0.5 * field_similarity(F.col("column_name"), F.col("example")), 4)).select(*key, "example", "similarity").checkpoint()
+        if watch is not None:
+            watch.append(scored.count())
+        found = scored.where(F.col("similarity") >= floor)
+        found = found if best is None else best.unionByName(found)
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank").checkpoint()
+        full = best.groupBy(*key).agg(F.count("*").alias("c"), F.min("similarity").alias("worst")).where((F.col("c") >= k) & (F.col("worst") > bound - 0.5 / len(FLAGS)))
+        open_ = open_.join(full, key, "left_anti").checkpoint()
+        if open_.isEmpty():
+            break
+    return best.withColumn("rank", F.row_number().over(order)).select(*key, "rank", "example", "similarity")
 
 
 def retire(examples: DataFrame, retired: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Columns come as profile rows (source_name, table_name, column_name, ordinal,
 inferred_type, date_format, is_id, is_coded, is_cents, samples) and targets as
-the field table of :mod:`tallyframe.plans.canonical`.  The field table is small
-and of fixed size, so it is broadcast; names are compared once for each distinct
-pair.
+the field table of :mod:`tallyframe.plans.canonical`.  Field tables grow with the
+introspected targets, so they are counted before they are broadcast; names are
+compared once for each distinct pair.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import transforms
+from ..functions.checkpoints import broadcast_counted
 from . import rowshape
 from ..functions.similarity import field_name, ratio, token_set_ratio
 from .profile import ID_ENDING
 
-# Weights, thresholds and the table of type compatibility.
+# Weights and thresholds; the scores of types and patterns stand in their functions.
 WEIGHTS = (0.65, 0.25, 0.10)
 NO_MATCH = 0.30
 LOW_CONFIDENCE = 0.70
@@ -35,10 +36,10 @@ def split_metadata(columns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def resolve_schema(tables: DataFrame, static: DataFrame, dynamic: DataFrame | None = None) -> DataFrame:
     """Add ``schema_key``: registered at run time, else declared, else ``policy``."""
-    out = tables.join(F.broadcast(static.select("table_name", F.col("schema_key").alias("declared"))), "table_name", "left")
+    out = tables.join(broadcast_counted(static.select("table_name", F.col("schema_key").alias("declared"))), "table_name", "left")
     own = F.lit(None).cast("string")
     if dynamic is not None:
-        out = out.join(F.broadcast(dynamic.select("table_name", F.col("schema_key").alias("registered"))), "table_name", "left")
+        out = out.join(broadcast_counted(dynamic.select("table_name", F.col("schema_key").alias("registered"))), "table_name", "left")
         own = F.col("registered")
     return out.withColumn("schema_key", F.coalesce(own, "declared", F.lit("policy"))).drop("declared", "registered")
 
@@ -47,12 +48,13 @@ def name_scores(columns: DataFrame, fields: DataFrame) -> DataFrame:
     """(column_name, schema_key, field, name_score): the best of a field's names, for distinct names."""
     left = columns.select("column_name", "schema_key").distinct().withColumn("a", field_name(F.col("column_name")))
     names = fields.select("schema_key", F.col("name").alias("field"), F.explode("names").alias("n")).withColumn("b", field_name(F.col("n"))).drop("n").distinct()
-    pairs = left.join(F.broadcast(names), "schema_key")
+    pairs = left.join(broadcast_counted(names), "schema_key")
     distinct = pairs.select("a", "b").distinct().withColumn("s", F.greatest(ratio(F.col("a"), F.col("b")), token_set_ratio(F.col("a"), F.col("b"))))
     return pairs.join(distinct, ["a", "b"]).groupBy("column_name", "schema_key", "field").agg(F.max("s").alias("name_score"))
 
 
 def type_score(source: Column, target: Column, is_id: Column, is_coded: Column, date_format: Column) -> Column:
+    # The score of each pair of types.
     pair = F.concat_ws(">", source, target)
     return (
         F.when(source == target, 1.0)
@@ -88,13 +90,13 @@ def scores(columns: DataFrame, fields: DataFrame, weights: DataFrame | None = No
     """
     named = columns.join(name_scores(columns, fields), ["column_name", "schema_key"])
     target = fields.select("schema_key", F.col("name").alias("field"), F.col("ordinal").alias("field_ordinal"), "target_type", "required", "secondary")
-    rows = named.join(F.broadcast(target), ["schema_key", "field"])
+    rows = named.join(broadcast_counted(target), ["schema_key", "field"])
     rows = rows.withColumn("type_score", type_score(F.col("inferred_type"), F.col("target_type"), F.col("is_id"), F.col("is_coded"), F.col("date_format")))
     rows = rows.withColumn("pattern_score", pattern_score(F.col("column_name"), F.col("target_type")))
     wa, wb, wc = (F.lit(w) for w in WEIGHTS)
     if weights is not None:
-        general = weights.where("source_name is null").select(*(F.col(c).alias(f"g{c}") for c in ("wa", "wb", "wc")))
-        rows = rows.join(F.broadcast(weights.where("source_name is not null")), "source_name", "left").join(F.broadcast(general), F.lit(True), "left")
+        general = weights.where("source_name is null").limit(1).select(*(F.col(c).alias(f"g{c}") for c in ("wa", "wb", "wc")))
+        rows = rows.join(broadcast_counted(weights.where("source_name is not null")), "source_name", "left").join(F.broadcast(general), F.lit(True), "left")
         wa, wb, wc = (F.coalesce(f"w{k}", f"gw{k}", d) for k, d in zip("abc", (wa, wb, wc), strict=True))
     confidence = F.least(F.lit(1.0), wa * F.col("name_score") + wb * F.col("type_score") + wc * F.col("pattern_score"))
     return rows.withColumn("confidence", confidence).drop("wa", "wb", "wc", "gwa", "gwb", "gwc")
@@ -143,7 +145,7 @@ def merge_suggestions(best: DataFrame, suggestions: DataFrame, fields: DataFrame
     target at 0.30.
     """
     known = fields.select("schema_key", F.col("name").alias("s_target"), F.lit(True).alias("known"))
-    rows = best.join(suggestions, KEYS, "left").join(F.broadcast(known), ["schema_key", "s_target"], "left")
+    rows = best.join(suggestions, KEYS, "left").join(broadcast_counted(known), ["schema_key", "s_target"], "left")
     confidence = F.when(F.col("confidence") < LOW_CONFIDENCE, F.coalesce("s_confidence", F.lit(NO_MATCH))).otherwise(F.col("s_confidence"))
     better = F.coalesce((confidence > F.col("confidence")) if strict else (confidence >= F.col("confidence")), F.lit(False))
     rows = rows.withColumn("better", better).withColumn("s_confidence", confidence)
@@ -234,7 +236,7 @@ def decide_contests(contended: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def missing_required(tables: DataFrame, fields: DataFrame, contended: DataFrame) -> DataFrame:
     """Required fields of each table's schema that no column maps to. ``tables``: source_name, table_name, schema_key."""
-    wanted = tables.join(F.broadcast(fields.where("required")), "schema_key").select("source_name", "table_name", F.col("name").alias("field"), "ordinal")
+    wanted = tables.join(broadcast_counted(fields.where("required")), "schema_key").select("source_name", "table_name", F.col("name").alias("field"), "ordinal")
     got = contended.where("final_target is not null").select("source_name", "table_name", F.col("final_target").alias("field"))
     return wanted.join(got, ["source_name", "table_name", "field"], "left_anti")
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import broadcast_counted
+
 TABLE = ["source_name", "table_name"]
 
 AUTO, FLAGGED, ACCEPT = 0.85, 0.50, 0.70
@@ -30,7 +32,7 @@ def auto_missing(missing: DataFrame) -> DataFrame:
 def apply_decisions(mapped: DataFrame, decisions: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
     """accept / modify / skip by ``keys``; a modification to an unknown field is refused and stays pending."""
     known = fields.select(F.col("name").alias("new_target"), F.lit(True).alias("known")).distinct()
-    chosen = decisions.join(F.broadcast(known), "new_target", "left")
+    chosen = decisions.join(broadcast_counted(known), "new_target", "left")
     chosen = chosen.where((F.col("decision") != "modify") | F.col("known")).drop("known")
     rows = mapped.join(chosen, keys, "left")
     target = F.when(F.col("decision") == "accept", F.col("target")).when(F.col("decision") == "modify", F.col("new_target"))

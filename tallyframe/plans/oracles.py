@@ -31,7 +31,7 @@ COLUMNS = {
 TEXTS = {
     **{c: f"strftime({c}, '%Y-%m-%d')" for c in ("o_orderdate", "l_shipdate")},
     "ts": "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')",
-    **{c: f"cast(cast({c} as decimal(20, 4)) as varchar)" for c in ("c_acctbal", "o_totalprice", "s_acctbal", "value", "l_quantity", "l_extendedprice", "l_discount", "l_tax")},
+    **{c: f"cast({c} as varchar)" for c in ("c_acctbal", "o_totalprice", "s_acctbal", "value", "l_quantity", "l_extendedprice", "l_discount", "l_tax")},
 }
 
 

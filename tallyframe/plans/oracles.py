@@ -344,6 +344,22 @@ from contended c left join open_ o using (source_name, table_name, target) where
         "map_missing": f"{MAPPED}, {BEST}, {CONTENDED} select t.table_name, f.field from (select distinct table_name, schema_key from columns_) t join fields f using (schema_key) where required and not exists (select 1 from contended c where c.table_name = t.table_name and c.final_target = f.field)",
         "drift_deliveries": _DRIFT.split("both_ as (")[0].rstrip().rstrip(",") + f" select x.source_name, '1' as run_id, 1 as version, count(*)::int as columns, {_PRINT} as fingerprint from oprofile, (values ('forced'), ('blocked')) x(source_name) group by x.source_name union all select 'forced', '3', 2, count(*)::int, {_PRINT} from nprofile",
         "drift_changes": _DRIFT,
+        "cluster_groups": CLUSTER.replace("with ", "with recursive ", 1) + f""", {_MUTUAL},
+k_ends as (select a_source_name || '.' || a_column_name as x, a_source_name as sx, b_source_name || '.' || b_column_name as y, b_source_name as sy, score from pairs),
+k_met as (select m, list({{'o': o, 's': score}}) as near from (select x as m, y as o, score from k_ends union all select y, x, score from k_ends) group by m),
+k_edges as (select row_number() over (order by score desc, x, y) as k, e.x, e.sx, e.y, e.sy, e.score, p.near as nx, q.near as ny
+  from (select a_source_name || '.' || a_column_name as x, a_source_name as sx, b_source_name || '.' || b_column_name as y, b_source_name as sy, score from mutual) e join k_met p on p.m = e.x join k_met q on q.m = e.y),
+k_fold as (select 0::bigint as k, []::struct(m varchar, s varchar, c bigint, w double)[] as g
+  union all select k, case when cx is null and cy is null then list_concat(g, [{{'m': x, 's': sx, 'c': k, 'w': score}}, {{'m': y, 's': sy, 'c': k, 'w': score}}])
+    when cx is null and cy is not null and fits_x = len(in_y) then list_concat(g, [{{'m': x, 's': sx, 'c': cy, 'w': list_min(list_transform(in_y, lambda t: list_filter(nx, lambda p: p.o = t.m)[1].s))}}])
+    when cy is null and cx is not null and fits_y = len(in_x) then list_concat(g, [{{'m': y, 's': sy, 'c': cx, 'w': list_min(list_transform(in_x, lambda t: list_filter(ny, lambda p: p.o = t.m)[1].s))}}]) else g end
+  from (select *, len(list_filter(in_y, lambda t: t.s <> sx and len(list_filter(nx, lambda p: p.o = t.m)) > 0)) as fits_x, len(list_filter(in_x, lambda t: t.s <> sy and len(list_filter(ny, lambda p: p.o = t.m)) > 0)) as fits_y
+    from (select *, list_filter(g, lambda t: t.c = cx) as in_x, list_filter(g, lambda t: t.c = cy) as in_y
+      from (select e.*, f.g, list_filter(f.g, lambda t: t.m = e.x)[1].c as cx, list_filter(f.g, lambda t: t.m = e.y)[1].c as cy from k_fold f join k_edges e on e.k = f.k + 1)))),
+k_grouped as (select t.u.m as member, t.u.c as c, t.u.w as w from (select unnest(g) as u from k_fold where k = (select count(*) from k_edges)) t),
+k_named as (select c, min(member) as cluster, count(*)::int as size, min(w) as confidence from k_grouped group by c)
+select m.member, coalesce(n.cluster, m.member) as cluster, coalesce(n.size, 1)::int as size, coalesce(n.confidence, 0.0) as confidence
+from (select source_name || '.' || column_name as member from catalog) m left join k_grouped g on g.member = m.member left join k_named n on n.c = g.c""",
         "cluster_votes": """with recursive v as (select 's' || user_id % 4 as pair, event_id % 10 as run, 'a' || event_id % 6 as a, 'b' || user_id % 7 as b, (event_id * 13 % 50 + 50) / 100 as confidence from events),
 once as (select pair, run, a, b, max(confidence) as c from v where a <> 'a5' group by all),
 tally as (select pair, a, b, count(*)::int as votes, round_even(avg(c), 6) as mean from once group by all having count(*) >= 5 and round_even(avg(c), 6) >= 0.6),

@@ -185,7 +185,9 @@ def profile_input(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """All columns; doubles with all their digits in plain notation and times with six decimals, the same in every engine."""
     df = read(spark, sf_dir, name)
     plain = lambda c: F.regexp_replace(F.col(c).try_cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
-    text = {"double": lambda c: F.coalesce(plain(c), F.col(c).cast("string")), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")}
+    shown = lambda c: F.col(c).cast("string")
+    # Only numbers with an exponent are written anew.
+    text = {"double": lambda c: F.when(F.contains(shown(c), F.lit("E")), F.coalesce(plain(c), shown(c))).otherwise(shown(c)), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")}
     if name in ("orders", "lineitem"):  # their times are dates
         text |= {k: lambda c: F.date_format(c, "yyyy-MM-dd") for k in ("timestamp", "timestamp_ntz")}
     return df.select([text.get(k, F.col)(c).alias(c) for c, k in df.dtypes])

@@ -9,7 +9,8 @@ length is taken whole.
 
 SQL can express none of the stages whole (a trained model, hash minima, a forest,
 keyed draws, a tokenizer), so there is no ``ORACLE_SQL``; the tests hold each
-stage, and the whole, against a brute-force version.
+stage's operator against a brute-force version or held-out labels, and check the
+stages' columns and effects on small tables.
 """
 
 from __future__ import annotations

@@ -4,12 +4,14 @@ Writing.  Payload digests are shuffled as headers only; among records with equal
 payloads that with the largest id becomes the ``response`` and the others
 ``revisit`` it.  Archives are written by Spark's own text writer, so tasks may be
 lost and run again, and any store that Spark writes to will do: a record's bytes
-are one row, and the line feed between rows is the record's last byte.
+are rows, and the line feed after a row is a record's last byte.  Tasks pack
+records into rows of at most ``FILE_BYTES``, and the writer gives each row a file
+of its own: only a record that is larger by itself makes a larger file.
 
-Reading.  Archives are read as whole files of a bounded mean size, cut into
-records by their Content-Length (payloads may hold anything, also WARC headers),
-digested anew, and revisit records are joined to the original responses on the
-payload digest, again with headers only.
+Reading.  Archives are read as whole files, cut into records by their
+Content-Length (payloads may hold anything, also WARC headers), digested anew, and
+revisit records are joined to the original responses on the payload digest, again
+with headers only.
 
 Defined results: a null payload is the empty one; a null url is written empty
 and line breaks in urls are left out; rows that repeat the winning id of a
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, shared_dir
 
-#: Mean bytes of an archive file; a reading task holds a few files.
+#: Most bytes of an archive file that holds several records; a reading task holds a few files.
 FILE_BYTES = 16 << 20
 
 # Fixed value: the profile of WARC 1.1 for revisits with an identical payload.
@@ -66,8 +68,6 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     given = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     given = given.withColumn("sha", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     revisits = resolve(given, min_bytes)
-    totals = given.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
-    per_file = max(1, int(FILE_BYTES / (1024 + (totals["bytes"] or 0) / max(1, totals["n"]))))
     revisits = revisits.withColumnRenamed("sha", "rsha").withColumnRenamed("id", "rid")
     rows = given.join(broadcast_if_small(revisits, revisits.count(), 100_000), F.col("id").eqNullSafe(F.col("rid")) & (F.col("sha") == F.col("rsha")), "left")
 
@@ -92,7 +92,30 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
         block,
         F.lit("\r\n\r"),
     )
-    rows.select(record.alias("value")).write.option("maxRecordsPerFile", per_file).text(path)
+    packed = rows.select(record.alias("value")).mapInArrow(_pack(FILE_BYTES), "value string")
+    packed.write.option("maxRecordsPerFile", 1).text(path)
+
+
+def _pack(most: int):
+    """Records joined by line feeds to rows of at most ``most`` bytes, as they come."""
+
+    def row(held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary()).cast(pa.string())], names=["value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                data = record.as_buffer()
+                if held and size + len(data) + 1 > most:
+                    yield row(held)
+                    held, size = [], 0
+                held.append(data.to_pybytes())
+                size += len(data) + 1
+        if held:
+            yield row(held)
+
+    return run
 
 
 def records(content: bytes | memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:

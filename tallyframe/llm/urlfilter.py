@@ -106,7 +106,8 @@ def resolve_link(base: Column, link: Column) -> Column:
 def page_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """(a, b): nodes that a page's canonical links and refresh redirects join to it."""
     html, url = F.col(html_col), F.col(url_col)
-    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), 0), lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh\b"))
+    # a tag that nothing closes is taken to the end of the text, once, and left out: linear whatever the text holds
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^>]*+>?+"), 0), lambda t: t.endswith(">") & (t.rlike(r"(?i)rel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh\b")))
     some = pages.where(html.rlike(r"(?i)canonical|refresh") & (F.instr(url, "://") > 0)).select(url.alias("url"), F.explode(tags).alias("tag"))
     some = materialize(some, "tags")
     href = F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)

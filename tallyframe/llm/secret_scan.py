@@ -42,13 +42,14 @@ THRESHOLD = 0.5
 
 _CHARS = r"[A-Za-z0-9_+/=\-]"
 _RUN = _CHARS + "{16,}+"
-_NAME = r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth|bearer|credential|private[_\-]?key|client[_\-]?secret)"
+_NAME = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth|bearer|credential|private[_\-]?key|client[_\-]?secret)"
 _DIGEST = r"(?i)(?:sha\d*|md5|commit|digest|checksum|hash|etag|uuid|guid|revision|build|version|integrity|fingerprint)"
-#: A secret's name and the sign that gives it a value: at most 40 further characters of the name, 20 of white space and 4 of signs.
-_GIVEN = rf"{_NAME}[A-Za-z0-9_\-]{{0,40}}+[\"']?\s{{0,20}}+[:=]{{1,4}}+\s{{0,20}}+[\"']?"
+#: A whole identifier that holds a secret's name, and the sign that gives it a value.  It begins only where an
+#: identifier does and takes every run as a whole, so no run is read more than twice and none needs a bound.
+_GIVEN = rf"(?<![A-Za-z0-9_\-])(?=[A-Za-z0-9_\-]*?{_NAME})[A-Za-z0-9_\-]++[\"']?\s*+[:=]++\s*+[\"']?"
 _VALUE = r"[^\s\"'<>,;]{8,}+"
 _ASSIGNED = rf"{_GIVEN}({_VALUE})"
-_LEAD = r"^[\"']?[:=]{0,4}+[\"']?"
+_LEAD = r"^[\"']?[:=]*+[\"']?"
 
 #: Contexts of findings: (what stands around the value, is it a secret, kinds of values that stand there).
 CONTEXTS: list[tuple[str, int, str]] = [
@@ -105,8 +106,9 @@ def _values(word: Column) -> Column:
 def candidates(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
     """One row per candidate: id, ``word_at`` (its word's number from 0), ``value``, and the words around it.
 
-    Every pattern takes runs as a whole and looks back over bounded stretches
-    only, so the work is linear in the text, whatever it holds.
+    Every pattern takes runs as a whole, and a word is looked at again only with
+    the three that follow it, so the work is linear in the text, whatever it holds,
+    and what is found of a secret doesn't depend on the rest of its text.
     """
     text = F.col(text_col)
     some = docs.where(F.exists(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), _mixed) | text.rlike(_ASSIGNED)).select(F.col(id_col).alias("id"), *keep, F.split(text, r"[\x20\x09-\x0D]+").alias("w"))
@@ -117,7 +119,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataF
         before = F.concat_ws(" ", near(i - 2), near(i - 1), near(i))
         lead = F.regexp_extract(word, _LEAD, 0)
         # a value that words before this one name
-        named = F.concat_ws(" ", F.right(before, F.lit(120)), lead).rlike(_GIVEN + "$")
+        named = F.concat_ws(" ", before, lead).rlike(_GIVEN + "$")
         first = F.when(named, F.regexp_extract(F.substr(word, F.length(lead) + 1), f"^{_VALUE}", 0)).otherwise(F.lit(""))
         rest = F.when(first == "", word).otherwise(F.substr(word, F.length(lead) + F.length(first) + 1))
         values = F.array_distinct(F.concat(F.filter(F.array(first), lambda v: v != ""), _values(rest)))
@@ -165,7 +167,7 @@ def describe(found: DataFrame, words: DataFrame) -> DataFrame:
         _count(v, "/").alias("slashes"),
         context.rlike(_NAME).cast("double").alias("named"),
         context.rlike(_DIGEST).cast("double").alias("digest_near"),
-        F.concat_ws(" ", F.right("before", F.lit(120)), "word").rlike(_ASSIGNED).cast("double").alias("assigned"),
+        context.rlike(_ASSIGNED).cast("double").alias("assigned"),
         F.col("word").rlike("[\"']").cast("double").alias("quoted"),
     )
 

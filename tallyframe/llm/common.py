@@ -133,3 +133,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def unite_ids(rows: DataFrame) -> DataFrame:
+    """(id, component): the smallest id of those joined by rows (id, component), where an id may have several components."""
+    rows = materialize(rows.distinct(), "rows")
+    first = rows.groupBy("id").agg(F.min("component").alias("first"))
+    edges = rows.join(first, "id").select(F.col("component").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
+    joined = materialize(connected_components(edges), "joined").withColumnRenamed("component", "root")
+    rooted = first.join(joined, F.col("first") == F.col("node"), "left").select("id", F.coalesce("root", "first").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("id").alias("component"))
+    return rooted.join(lowest, "root").select("id", "component")

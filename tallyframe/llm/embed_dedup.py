@@ -25,8 +25,10 @@ aren't joined by others.  The README has the recall against brute force.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, nor do vectors of different length; a null id
-stands alone; rows that repeat an id are one node; an empty table gives an empty
-result; further columns are not looked at.
+stands alone; rows that repeat an id with equal vectors are one node; where an id
+has different vectors each has links of its own (those of one id with each other
+too) and the id unites their components; an empty table gives an empty result;
+further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -41,11 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, materialize
+from .common import connected_components, materialize, unite_ids
 from .textbytes import runs
 
 BITS = 64
 BLOCK = 1024
+#: Vectors of a tile that meets the window behind it: a task holds so many rows of cosines, however large the window.
+TILE = 512
 SEED = 4127
 #: Rounds in a row without a new link after which the passes end.
 IDLE = 2
@@ -122,9 +126,9 @@ def _neighbours(threshold: float, window: int, kind: str):
 
     def stretch(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
-        for s in range(0, len(ids), window):
-            block = v[s : s + 2 * window]
-            near = _near(block[:window], block, threshold)
+        for s in range(0, len(ids), TILE):
+            block = v[s : s + TILE + window]
+            near = _near(block[:TILE], block, threshold)
             at = np.arange(len(near))
             near[at, at] = False
             rows = np.flatnonzero(near.any(axis=1))
@@ -188,6 +192,25 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, passes: int
     rows = rows.select("id", F.col("v").cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
     units = materialize(rows.mapInArrow(_good(kind), "id long, unit binary, digest binary"), "units")
     good = units.where("digest is not null and id is not null")
+    none = F.lit(b"")
+    several = units.where("id is not null").groupBy("id").agg(F.min(F.coalesce("digest", none)).alias("x"), F.max(F.coalesce("digest", none)).alias("y")).where("x <> y")
+    if several.isEmpty():
+        found = _links(good, threshold, passes, window, kind)
+        out = units.select("id").join(found, F.col("id") == F.col("k"), "left")
+    else:  # an id has several vectors: each is a node, and the ids unite the nodes' components at the end
+        nodes = materialize(good.dropDuplicates(["id", "digest"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
+        found = materialize(_links(nodes.select(F.col("node").alias("id"), "unit", "digest"), threshold, passes, window, kind), "linked")
+        own = nodes.select("id", "digest", "node").join(found, F.col("node") == F.col("k")).select("id", "digest", "links", "component")
+        by_id = unite_ids(own.select("id", "component"))
+        own = own.select(F.col("id").alias("i"), F.col("digest").alias("d"), "links")
+        out = units.select("id", "digest").join(own, (F.col("id") == F.col("i")) & (F.col("digest") == F.col("d")), "left")
+        out = out.join(by_id.withColumnRenamed("id", "j"), F.col("id") == F.col("j"), "left")
+    component = F.coalesce("component", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def _links(good: DataFrame, threshold: float, passes: int, window: int, kind: str) -> DataFrame:
+    """(k, links, component) of vectors (id, unit, digest); an id has one vector."""
     classes = good.groupBy("digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
     ranked = materialize(good.select("id", "digest").join(classes, "digest").select("id", "rep", "copies").distinct(), "classes")
     firsts = good.join(ranked.where("id = rep").select("id", "copies").dropDuplicates(["id"]), "id").dropDuplicates(["id"])
@@ -219,7 +242,4 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, passes: int
 
     by_rep = nodes.select(F.col("node").alias("rep"), "component").join(links.withColumnRenamed("id", "rep"), "rep", "left")
     found = ranked.join(by_rep, "rep", "left").select(F.col("id").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    found = found.groupBy("k").agg(F.sum("links").alias("links"), F.min("component").alias("component"))
-    out = units.select("id").join(found, F.col("id") == F.col("k"), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return found.groupBy("k").agg(F.sum("links").alias("links"), F.min("component").alias("component"))

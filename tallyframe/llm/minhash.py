@@ -32,8 +32,9 @@ How the work is kept linear in the input:
 
 Defined results: a null or empty text has ``n_shingles`` 0 and stands alone; a
 null id stands alone with null component and ``kept`` true; rows that repeat an
-id count as copies under that id; an empty table gives an empty result; further
-columns are not looked at.
+id are one document under that id, joined to all that any of its texts is linked
+with (``n_shingles`` is of the row's own text); an empty table gives an empty
+result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, discard, materialize
+from .common import broadcast_if_small, connected_components, discard, materialize, unite_ids
 from .textbytes import U64, chunks, mix, runs, words
 
 #: 32 bands of 4 minima: a pair at similarity 0.75 shares no band with probability 5e-6.
@@ -203,6 +204,16 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(after.select("id", F.coalesce("component", "comp").alias("comp")), "labels")
 
 
+def _by_rows(texts: DataFrame, signed: DataFrame, width: int, percent: int, id_col: str) -> DataFrame:
+    """The result where an id has different texts: rows are the nodes, and the ids unite their components at the end."""
+    numbered = materialize(texts.where("id is not null").withColumn("node", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, width=width, percent=percent, id_col="node")
+    found = materialize(numbered.select("node", "id").join(found.select("node", "n_shingles", F.col("component_id").alias("component")), "node"), "found")
+    out = found.select("id", "n_shingles").join(unite_ids(found.select("id", "component")), "id")
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("component") == F.col("id")).alias("kept"))
+    return out.unionByName(signed.where("id is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept")))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its set size, component, and whether it is kept.
 
@@ -214,6 +225,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 75, id_co
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialize(texts.mapInArrow(_signatures(width), "id long, n long, digest binary, bands array<long>"), "signatures")
 
+    several = signed.where("id is not null").groupBy("id").agg(F.min(F.coalesce("digest", F.lit(b""))).alias("x"), F.max(F.coalesce("digest", F.lit(b""))).alias("y")).where("x <> y")
+    if not several.isEmpty():
+        return _by_rows(texts, signed, width, percent, id_col)
+
     # classes of equal sets
     copies = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("digest", "rep")
     copies = materialize(copies, "copies")

@@ -13,6 +13,9 @@ sequences of ``ORDER`` bytes and the next one, first within tasks and then by
 Spark.  The predictors' tables, the weights and the refinement are all learned
 from the counted sequences, each weighted by its count, and each taken out of its
 own contexts' counts by one occurrence, as an online model would not have seen it.
+Contexts are counted in full before one of them gets a slot, and the weights take
+the sequences in parts, batches and an order that hashes and counts decide, so the
+model is the same however the rows of the input are dealt.
 The tables grow with the counted sequences up to ``1 << MAX_BITS`` slots for each
 order, so that they can travel to all tasks; the counts stay distributed.  Slots
 bear a check of their context, the most frequent context of a slot keeps it, and a
@@ -67,6 +70,8 @@ BATCH = 512
 #: Counted sequences that a learning task takes.
 SEQUENCES = 400_000
 RATE = 0.3
+#: Counts without a dense place that a task holds before it adds them up and hands them on.
+HEAP = 1 << 21
 #: For each refinement its k behind 5 and behind 11 bytes: large ones trust the model, small ones the text.
 STRENGTHS = ((24.0, 6.0), (8.0, 2.0), (2.0, 0.5))
 
@@ -225,13 +230,33 @@ def _bits(packed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield place, (byte >> place) & 1, (byte | 256) >> (place + 1)
 
 
+def _cells(cell: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(cell), 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 200_000]) for x in (cell, n0, n1)], names=["cell", "n0", "n1"])
+
+
+def _added(cell: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums of both counts for each distinct cell."""
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    return cell[first], np.add.reduceat(n0[order], first), np.add.reduceat(n1[order], first)
+
+
 def _tables(bits: int):
-    """Counts of 0 and 1 by slot and check: dense and of fixed size within the task, then its used slots."""
+    """Counts of 0 and 1 by slot and check, none left out.
+
+    The first check that a task meets in a slot is added up in a dense table of
+    fixed size, the others in bounded heaps; Spark adds up what several tasks or
+    heaps bring, so the sums don't depend on how sequences are dealt.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = (ORDER + 1) << bits
         sums, owner = np.zeros((2, size), np.int64), np.zeros(size, np.uint8)
-        for batch in batches:  # frequent sequences come first and take the slots
+        others: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+        for batch in batches:  # frequent sequences come first and take the dense places
             packed, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
             contexts = _contexts(packed)
             for _, bit, node in _bits(packed):
@@ -242,14 +267,40 @@ def _tables(bits: int):
                     for b in (0, 1):
                         mine = own & (bit == b)
                         np.add.at(sums[b], slot[mine], n[mine])
+                    rest = np.flatnonzero(~own)
+                    if len(rest):
+                        others.append(((slot[rest] << 8) | check[rest].astype(np.int64), n[rest] * (1 - bit[rest]), n[rest] * bit[rest]))
+                        held += len(rest)
+            if held > HEAP:
+                yield from _cells(*_added(*(np.concatenate(x) for x in zip(*others, strict=True))))
+                others, held = [], 0
+        if others:
+            yield from _cells(*_added(*(np.concatenate(x) for x in zip(*others, strict=True))))
         used = np.flatnonzero(owner)
-        for i in range(0, len(used), 200_000):
-            k = used[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array((k << 8) | owner[k]), pa.array(sums[0, k]), pa.array(sums[1, k])], names=["cell", "n0", "n1"])
+        yield from _cells((used << 8) | owner[used], sums[0, used], sums[1, used])
 
     return run
 
 
+def _dealt(followed: DataFrame, parts: int) -> DataFrame:
+    """The sequences in parts and an order that only they and their number decide."""
+    return followed.repartition(parts, "key").sortWithinPartitions(F.xxhash64("key"), "key")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sequences and their counts, ``size`` at a time wherever the batches end."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for batch in batches:
+        keys = np.concatenate([keys, batch.column(0).to_numpy().view(np.uint64)])
+        counts = np.concatenate([counts, batch.column(1).to_numpy()])
+        whole = len(keys) // size * size
+        for i in range(0, whole, size):
+            yield keys[i : i + size], counts[i : i + size]
+        keys, counts = keys[whole:], counts[whole:]
+    if len(keys):
+        yield keys, counts
+
+
 class Model:
     def __init__(self, counts: np.ndarray, check: np.ndarray, bits: int) -> None:
         self.counts, self.check, self.bits = counts, check, bits  # uint16 pairs, large counts scaled down together
@@ -324,22 +375,20 @@ class Model:
 def _learn_weights(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, square, total = model.weights.copy(), np.full(model.weights.shape, 1e-2, np.float32), 0.0
-        for batch in batches:
-            every, counts = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float32)
-            for i in range(0, len(every), BATCH):
-                packed, n = every[i : i + BATCH], counts[i : i + BATCH]
-                total += float(n.sum())
-                contexts = _contexts(packed)
-                for place, bit, node in _bits(packed):
-                    x, gate = model.inputs(contexts, place, bit, node)
-                    p = 1 / (1 + np.exp(-np.clip((x * w[gate]).sum(axis=1), -14, 14)))
-                    push = ((bit - p) * n).astype(np.float32)[:, None] * x
-                    g, mass = np.zeros_like(w), np.zeros(len(w), np.float32)
-                    np.add.at(g, gate, push)
-                    np.add.at(mass, gate, n)
-                    g /= np.maximum(mass, 1e-9)[:, None]
-                    square += g * g
-                    w += RATE * g / np.sqrt(square) * 0.1
+        for packed, counts in _groups(batches, BATCH):
+            n = counts.astype(np.float32)
+            total += float(counts.sum())
+            contexts = _contexts(packed)
+            for place, bit, node in _bits(packed):
+                x, gate = model.inputs(contexts, place, bit, node)
+                p = 1 / (1 + np.exp(-np.clip((x * w[gate]).sum(axis=1), -14, 14)))
+                push = ((bit - p) * n).astype(np.float32)[:, None] * x
+                g, mass = np.zeros_like(w), np.zeros(len(w), np.float32)
+                np.add.at(g, gate, push)
+                np.add.at(mass, gate, n)
+                g /= np.maximum(mass, 1e-9)[:, None]
+                square += g * g
+                w += RATE * g / np.sqrt(square) * 0.1
         yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([w.ravel().astype(np.float64)], pa.list_(pa.float64()))], names=["total", "w"])
 
     return run
@@ -348,9 +397,8 @@ def _learn_weights(model: Model):
 def _learn_refinement(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, *REFINED), np.float64)
-        for batch in batches:
-            packed, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(np.float64)
-            contexts = _contexts(packed)
+        for packed, counts in _groups(batches, 8192):
+            n, contexts = counts.astype(np.float64), _contexts(packed)
             for place, bit, node in _bits(packed):
                 x, gate = model.inputs(contexts, place, bit, node)
                 at = np.clip((x * model.weights[gate]).sum(axis=1) * 2 + 16, 0, 31.999)
@@ -366,9 +414,9 @@ def _learn_refinement(model: Model):
 
 
 def _vector_sum(df: DataFrame, column: str, by: str | None = None) -> np.ndarray | None:
-    """Sum of equally long arrays over all rows, element by element, by Spark."""
-    value = F.col("v") * F.col("t") if by else F.col("v")
-    rows = df.select(*([F.col(by).alias("t")] if by else []), F.posexplode(column).alias("i", "v")).groupBy("i").agg(F.sum(value).alias("s"), *([F.sum("t").alias("t")] if by else [])).toArrow()
+    """Sum of equally long arrays over all rows, element by element, by Spark; in decimals, which have no order."""
+    value = (F.col("v") * F.col("t") if by else F.col("v")).cast("decimal(38,10)")
+    rows = df.select(*([F.col(by).alias("t")] if by else []), F.posexplode(column).alias("i", "v")).groupBy("i").agg(F.sum(value).cast("double").alias("s"), *([F.sum("t").alias("t")] if by else [])).toArrow()
     if not rows.num_rows:
         return None
     out = np.zeros(rows.num_rows)
@@ -383,8 +431,8 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, int]:
     followed = counted.where("kind = 1").select("key", "n")
     n_sequences = followed.count()
     bits = min(MAX_BITS, max(12, (4 * n_sequences).bit_length()))
-    followed = followed.coalesce(1 + n_sequences // SEQUENCES)  # tables of a fixed size add up best over many sequences
-    cells = followed.sortWithinPartitions(F.col("n").desc(), "key").mapInArrow(_tables(bits), "cell long, n0 long, n1 long")
+    parts = 1 + n_sequences // SEQUENCES  # tables of a fixed size add up best over many sequences
+    cells = followed.coalesce(parts).sortWithinPartitions(F.col("n").desc(), "key").mapInArrow(_tables(bits), "cell long, n0 long, n1 long")
     cells = cells.select(F.shiftright("cell", 8).cast("int").alias("slot"), "cell", "n0", "n1").repartition("slot").groupBy("slot", "cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     slots = cells.groupBy("slot").agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), F.col("cell").bitwiseAND(F.lit(255)).alias("check"), "n0", "n1")).alias("s")).select("slot", "s.check", "s.n0", "s.n1")
     scale = F.greatest(F.lit(1.0), F.greatest("n0", "n1") / 60000)
@@ -396,10 +444,10 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame, int]:
         counts[at], check[at] = (cell & 0xFFFFFFFF).astype(np.uint32), (cell >> 32).astype(np.uint8)
     del rows
     model = Model(counts.view(np.uint16).reshape(-1, 2), check, bits)
-    w = _vector_sum(followed.mapInArrow(_learn_weights(model), "total double, w array<double>"), "w", "total") if n_texts else None
+    w = _vector_sum(_dealt(followed, parts).mapInArrow(_learn_weights(model), "total double, w array<double>"), "w", "total") if n_texts else None
     if w is not None:
         model.weights = w.reshape(GATES, INPUTS).astype(np.float32)
-        sums = _vector_sum(followed.mapInArrow(_learn_refinement(model), "s array<double>"), "s").reshape(2, *REFINED)
+        sums = _vector_sum(_dealt(followed, parts).mapInArrow(_learn_refinement(model), "s array<double>"), "s").reshape(2, *REFINED)
         centre = 1 / (1 + np.exp(-(np.arange(REFINED[1]) - 16) / 2))
         model.refined = ((sums[1] + 20 * centre) / (sums.sum(axis=0) + 20)).astype(np.float32)
     return model, counted.where("kind = 0").select("key", "n"), n_texts

@@ -117,3 +117,55 @@ def test_archives_of_skewed_records_are_cut_by_bytes(spark, monkeypatch, tmp_pat
     got = {r.page_id: r.payload_bytes for r in warc.read_archives(spark, path).collect()}
     assert got == {i: len(h.encode()) for i, _, h in small + large}
     assert warc.archive_round_trip(whole).count() == 1
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    """One, seven and sixteen partitions, rows in another order: the same model, and so the same scores."""
+    import random
+
+    from tallyframe.llm.lm import score_texts
+
+    rng = random.Random(11)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    rows = [(k, " ".join(rng.choice(names) for _ in range(rng.randint(0, 40)))) for k in range(120)] + [(200, None), (201, "")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for parts, shuffled in ((1, 8), (7, 3), (16, 16)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+            df = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").repartition(parts)
+            seen.append({r.doc_id: (r.score, r.n_known, r.base_score) for r in score_texts(df).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for other in seen[1:]:
+        assert other.keys() == seen[0].keys()
+        for k, (score, known, base) in seen[0].items():
+            assert abs(other[k][0] - score) <= 1e-9 * abs(score) and other[k][1] == known and abs(other[k][2] - base) <= 1e-9 * abs(base)
+
+
+def test_cells_of_shared_slots_keep_all_counts():
+    """However few the slots are and however sequences are dealt: the counts of all contexts, those without a dense place included."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tallyframe.llm import lm
+
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 47, 3000))
+    n = rng.integers(1, 9, len(keys))
+    want: dict[int, list[int]] = {}
+    for key, times in zip(keys, n, strict=True):
+        one = np.array([key], np.uint64)
+        for _, bit, node in lm._bits(one):
+            for slot, check in lm._slots(lm._contexts(one), node, 6):
+                want.setdefault((int(slot[0]) << 8) | int(check[0]), [0, 0])[int(bit[0])] += int(times)
+    for cuts in ([0, 3000], [0, 700, 701, 3000]):
+        got: dict[int, list[int]] = {}
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            batch = pa.RecordBatch.from_arrays([pa.array(keys[i:j]), pa.array(n[i:j])], names=["key", "n"])
+            for out in lm._tables(6)(iter([batch])):
+                for row in out.to_pylist():
+                    cell = got.setdefault(row["cell"], [0, 0])
+                    cell[0] += row["n0"]
+                    cell[1] += row["n1"]
+        assert got == want

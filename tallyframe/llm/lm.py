@@ -4,7 +4,8 @@ The model predicts a text's UTF-8 bytes bit by bit, then an end mark.  For each
 bit, one predictor for each order from 0 to ``ORDER`` looks up how often 0 and 1
 followed its hashed context (the bytes before, and the bits of this byte so far).
 A mixer adds up the predictors' log odds with weights that a gate selects (the
-bit's place and the longest context seen before) and that are learned online, one
+bit's place, the longest context seen before, and how far back the last white space
+is) and that are learned online, one
 small batch after the other; a final table, indexed by the bits so far and the
 mixer's own log odds, refines the probability by what came true.
 
@@ -62,8 +63,8 @@ COMMON = 1 << 18
 TOGETHER = 1 << 15
 CACHE_BITS = 20
 START, END = 0xFE, 0xFF  # bytes that UTF-8 doesn't have
-PRIOR = 0.4
-GATES = 8 * (ORDER + 2)
+PRIOR = 0.08
+GATES = 8 * (ORDER + 2) * (ORDER + 1)
 INPUTS = ORDER + 2
 REFINED = (256, 33)
 BATCH = 512
@@ -301,6 +302,15 @@ def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.n
         yield keys, counts
 
 
+def _since_space(packed: np.ndarray) -> np.ndarray:
+    """How many bytes lie behind the last white space, control or start byte, up to ORDER."""
+    out = np.full(len(packed), ORDER, np.int64)
+    for k in range(ORDER, 0, -1):
+        byte = (packed >> U64(8 * k)) & U64(255)
+        out[(byte <= U64(32)) | (byte == U64(START))] = k - 1
+    return out
+
+
 class Model:
     def __init__(self, counts: np.ndarray, check: np.ndarray, bits: int) -> None:
         self.counts, self.check, self.bits = counts, check, bits  # uint16 pairs, large counts scaled down together
@@ -318,7 +328,7 @@ class Model:
         self.counts = np.frombuffer(zlib.decompress(state["counts"]), np.uint16).reshape(-1, 2)
         self.check = np.frombuffer(zlib.decompress(state["check"]), np.uint8)
 
-    def inputs(self, contexts: list[np.ndarray], place: int, bit: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, contexts: list[np.ndarray], since: np.ndarray, place: int, bit: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For learning: log odds of each predictor with a constant, and the gate; the occurrence at hand is not yet known."""
         x = np.empty((len(bit), INPUTS), np.float32)
         seen, rows = np.zeros(len(bit), np.int64), np.arange(len(bit))
@@ -330,7 +340,7 @@ class Model:
             x[:, o] = np.log(n[:, 1] / n[:, 0])
             seen = np.where(n.sum(axis=1) > 2 * PRIOR + 0.5, o + 1, seen)
         x[:, -1] = 0.3
-        return x, place * (ORDER + 2) + seen
+        return x, (place * (ORDER + 1) + since) * (ORDER + 2) + seen
 
     def ready(self) -> None:
         """For scoring: a slot's check and its log odds in one cell, in place of the counts."""
@@ -355,7 +365,7 @@ class Model:
         if self.cells is None:
             self.ready()
         total = np.zeros(len(packed), np.float64)
-        contexts, by_input = _contexts(packed), np.ascontiguousarray(self.weights.T)
+        contexts, since, by_input = _contexts(packed), _since_space(packed), np.ascontiguousarray(self.weights.T)
         for place, bit, node in _bits(packed):
             seen, inputs = np.zeros(len(packed), np.int64), []
             for o, (slot, check) in enumerate(_slots(contexts, node, self.bits)):
@@ -363,7 +373,7 @@ class Model:
                 hit = (cell >> np.uint32(16)) == check
                 inputs.append((cell & np.uint32(0xFFFF)).astype(np.uint16).view(np.float16).astype(np.float32) * hit)
                 seen[hit] = o + 1
-            gate = place * (ORDER + 2) + seen
+            gate = (place * (ORDER + 1) + since) * (ORDER + 2) + seen
             odds = by_input[-1][gate] * np.float32(0.3)
             for x, w in zip(inputs, by_input, strict=False):
                 odds += x * w[gate]
@@ -378,9 +388,9 @@ def _learn_weights(model: Model):
         for packed, counts in _groups(batches, BATCH):
             n = counts.astype(np.float32)
             total += float(counts.sum())
-            contexts = _contexts(packed)
+            contexts, since = _contexts(packed), _since_space(packed)
             for place, bit, node in _bits(packed):
-                x, gate = model.inputs(contexts, place, bit, node)
+                x, gate = model.inputs(contexts, since, place, bit, node)
                 p = 1 / (1 + np.exp(-np.clip((x * w[gate]).sum(axis=1), -14, 14)))
                 push = ((bit - p) * n).astype(np.float32)[:, None] * x
                 g, mass = np.zeros_like(w), np.zeros(len(w), np.float32)
@@ -398,9 +408,9 @@ def _learn_refinement(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, *REFINED), np.float64)
         for packed, counts in _groups(batches, 8192):
-            n, contexts = counts.astype(np.float64), _contexts(packed)
+            n, contexts, since = counts.astype(np.float64), _contexts(packed), _since_space(packed)
             for place, bit, node in _bits(packed):
-                x, gate = model.inputs(contexts, place, bit, node)
+                x, gate = model.inputs(contexts, since, place, bit, node)
                 at = np.clip((x * model.weights[gate]).sum(axis=1) * 2 + 16, 0, 31.999)
                 low = at.astype(np.int64)
                 part = at - low

@@ -4,6 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe.operators import profile
+from tallyframe.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def _odd(spark):
@@ -31,3 +34,11 @@ def test_few_valued_columns(spark):
 @pytest.mark.parametrize(("text", "kind"), [("20240101\n", "date"), ("2024-01-01\r\n", "date"), ("1/2/2024\r\n", "date"), ("20241301\n", "integer"), ("19000001", "integer"), ("2024-01-00", "string"), ("18991231", "integer"), ("-20240101", "integer"), ("TRUE\n", "string"), ("5\n", "integer")])
 def test_cell_types_at_line_ends(spark, text, kind):
     assert spark.createDataFrame([(text,)], "v string").select(profile.cell_type(F.col("v"))).first()[0] == kind
+
+
+def test_top_values_count_few_valued_columns_only(spark, monkeypatch):
+    asked = []
+    values = registry._values
+    monkeypatch.setattr(registry, "_values", lambda *a, **k: asked.append(k["only"]) or values(*a, **k))
+    registry.profile_top_values(spark, SF)
+    assert len(asked) == 1 and "l_returnflag" in asked[0]["lineitem"] and not asked[0]["lineitem"] & {"l_orderkey", "l_extendedprice", "l_shipdate"}

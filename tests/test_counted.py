@@ -42,3 +42,11 @@ def test_top_values_count_few_valued_columns_only(spark, monkeypatch):
     monkeypatch.setattr(registry, "_values", lambda *a, **k: asked.append(k["only"]) or values(*a, **k))
     registry.profile_top_values(spark, SF)
     assert len(asked) == 1 and "l_returnflag" in asked[0]["lineitem"] and not asked[0]["lineitem"] & {"l_orderkey", "l_extendedprice", "l_shipdate"}
+
+
+def test_missing_fields_profile_once(spark, monkeypatch):
+    made = []
+    profiled = registry.profiled
+    monkeypatch.setattr(registry, "profiled", lambda *a: made.append(1) or profiled(*a))
+    registry.map_missing(spark, SF)
+    assert len(made) == 1

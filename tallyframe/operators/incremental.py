@@ -13,6 +13,8 @@ that they are few.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,12 @@ KEYS = ["table_name", "column_name"]
 STATE = "source_name string, table_name string, column_name string, ordinal int, row_count long, longest int, sketch binary, votes array<struct<cell_type:string,date_format:string,n:long,first_pos:long>>, few array<struct<value:string,n:long,first_pos:long>>"
 
 
-def column_states(cells: DataFrame, source: str) -> DataFrame:
-    """The states of one delivery's columns (:data:`STATE`) from its melted cells; ``few`` is null for columns of more than twenty values."""
+def column_states(cells: DataFrame, source: str, narrowed: Callable[[dict[str, set[str]]], DataFrame] | None = None) -> DataFrame:
+    """The states of one delivery's columns (:data:`STATE`) from its melted cells; ``few`` is null for columns of more than twenty values.
+
+    ``narrowed`` gives the delivery's cells of some columns by table from a scan of
+    those alone; without it all cells are read once more to count the few values.
+    """
     kind = F.when(F.col("value").isNotNull(), cell_type(F.col("value")))
     typed = cells.withColumn("cell_type", kind).withColumn("date_format", F.when(F.col("cell_type") == "date", cell_date_format(F.col("value"))))
     by_type = typed.groupBy(*KEYS, "cell_type", "date_format").agg(
@@ -36,7 +42,14 @@ def column_states(cells: DataFrame, source: str) -> DataFrame:
         F.collect_list(F.struct("cell_type", "date_format", "n", "first_pos")).alias("votes"),
     ).checkpoint()
     some = states.where(F.hll_sketch_estimate("sketch") <= 1.5 * TOP_DISTINCT).select(*KEYS)
-    values = cells.where("value is not null").join(broadcast_counted(some), KEYS, "left_semi").groupBy(*KEYS, "value").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    if narrowed is None:
+        own = cells.where("value is not null").join(broadcast_counted(some), KEYS, "left_semi")
+    else:
+        names: dict[str, set[str]] = {}
+        for r in some.collect():  # names of columns, for the scan
+            names.setdefault(r["table_name"], set()).add(r["column_name"])
+        own = (narrowed(names) if names else cells.limit(0)).where("value is not null")
+    values = own.groupBy(*KEYS, "value").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     few = values.groupBy(*KEYS).agg(F.collect_list(F.struct("value", "n", "first_pos")).alias("few")).where(F.size("few") <= TOP_DISTINCT)
     nothing = F.when(F.hll_sketch_estimate("sketch") == 0, F.array().cast("array<struct<value:string,n:long,first_pos:long>>"))
     out = states.join(few, KEYS, "left").withColumn("few", F.coalesce("few", nothing)).withColumn("source_name", F.lit(source))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import profile
+from tallyframe.operators import incremental, profile
 from tallyframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,12 @@ def test_missing_fields_profile_once(spark, monkeypatch):
     monkeypatch.setattr(registry, "profiled", lambda *a: made.append(1) or profiled(*a))
     registry.map_missing(spark, SF)
     assert len(made) == 1
+
+
+def test_states_count_few_values_from_a_narrow_scan(spark):
+    df, asked = _odd(spark), []
+    cells = profile.melt(df, F.col("n"), "t")
+    narrow = lambda names: asked.append(names) or profile.melt(df, F.col("n"), "t", names["t"])
+    show = lambda d: sorted((r.column_name, r.row_count, sorted(map(repr, r.few or []))) for r in d.collect())
+    assert show(incremental.column_states(cells, "s", narrow)) == show(incremental.column_states(cells, "s"))
+    assert len(asked) == 1 and "n" not in asked[0]["t"]

@@ -20,10 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import bpe, langid, minhash, mixing, secret_scan
-from tallyframe.llm.common import beside_wide_rows, discard, fresh, materialize
+from tallyframe.llm.common import beside_wide_rows, bounded_batches, discard, fresh, materialize
 
 ORACLE_SQL = None
 
+#: Bytes of an Arrow batch.  Executors and their workers live through all stages, and
+#: both keep what a stage's batches once took; a longer text is a batch of its own.
+BATCH = 1 << 20
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Label each text with its language in ``lang``; texts without a letter (``und``) go.
@@ -33,6 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without a label in ``lang`` teach nothing, and where none has one, nothing
     is learned, all is ``und`` and goes.  Ties of two languages go to the first by name.
     """
+    bounded_batches(spark, BATCH)
     found = fresh("_found", docs)
     out = langid.with_language(docs, langid.train_folds(docs), found)
     return out.where(F.col(f"{found}.lang_pred") != "und").select(*[F.col(f"{found}.lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
@@ -44,6 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are near to nothing and stay, as does a null id; of
     rows that repeat an id one stays.
     """
+    bounded_batches(spark, BATCH)
     found = materialize(minhash.near_duplicates(docs).select("doc_id", "kept"), "found")
     gone = materialize(found.where("not kept").select("doc_id").distinct(), "gone")
     out = docs.join(beside_wide_rows(gone, gone.count()), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
@@ -81,6 +87,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     One row for each row of the input, in the columns of
     :func:`tallyframe.llm.bpe.encode_documents`; a null text has no ids.
     """
+    bounded_batches(spark, BATCH)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -5,6 +5,8 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from test_llm_ops import brute_sets, components
 
 
@@ -169,3 +171,20 @@ def test_cells_of_shared_slots_keep_all_counts():
                     cell[0] += row["n0"]
                     cell[1] += row["n1"]
         assert got == want
+
+
+@pytest.mark.parametrize("stage", ["language_id", "byte_bpe"])
+def test_pipeline_hands_texts_to_workers_in_small_batches(spark, stage):
+    import corpus_pipeline as p
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(64 << 20))
+    try:
+        docs = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat('word ', 20000) as text", "'en' as lang", "'web' as source", "100000L as n_chars")
+        assert dict(p.STAGES)[stage](spark, docs, "").count() == 40
+        sizes = [r["n"] for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    finally:
+        spark.conf.set(key, was)
+    assert sum(sizes) >= 4_000_000
+    assert max(sizes) <= p.BATCH + 200_000
